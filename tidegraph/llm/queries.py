@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontaminate, language, packing, quality, sharding, tokens
+from tidegraph.llm import decontaminate, language, packing, quality, sharding, substrings, suffixes, tokens
 from tidegraph.llm.common import table
 
 
@@ -16,6 +16,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that a string of 100 bytes covers which starts earlier too."""
+    out = suffixes.remove_later(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "__later.n_bytes", "__later.n_removed", "__later.n_spans", F.sha2("__later.kept", 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document, learned from those whose crc32(doc_id) mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -29,6 +35,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that a window of 35 words covers which occurs again."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "__repeats.n_words", "__repeats.n_removed", F.sha2(F.col("__repeats.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document, by a permutation of row numbers."""
     return sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"), 8)
@@ -45,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op4_language_id, op6_packing, op8_sharding, op9_quality, op10_token_counts)
+    f.__name__: f for f in (op1_decontaminate, op3_suffix_array, op4_language_id, op6_packing, op7_substrings, op8_sharding, op9_quality, op10_token_counts)
 }
 
 #: Words of a lower-cased text, its five-word shingles, for DuckDB.
