@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontaminate, language, packing, quality, sharding, substrings, suffixes, tokens
+from tidegraph.llm import decontaminate, jaccard, language, packing, quality, sharding, substrings, suffixes, tokens
 from tidegraph.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of each document, linked at a Jaccard similarity of 0.8 of five-word shingles."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -57,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_suffix_array, op4_language_id, op6_packing, op7_substrings, op8_sharding, op9_quality, op10_token_counts)
+    f.__name__: f for f in (op1_decontaminate, op3_suffix_array, op4_language_id, op5_jaccard_join, op6_packing, op7_substrings, op8_sharding, op9_quality, op10_token_counts)
 }
 
 #: Words of a lower-cased text, its five-word shingles, for DuckDB.
