@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontaminate, jaccard, language, packing, quality, sharding, substrings, suffixes, tokens
+from tidegraph.llm import decontaminate, jaccard, language, packing, quality, sharding, substrings, suffixes, tokens, warc
 from tidegraph.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to archives, read back and merged into one index."""
+    return warc.archive_and_index(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document that a string of 100 bytes covers which starts earlier too."""
     out = suffixes.remove_later(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -62,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_suffix_array, op4_language_id, op5_jaccard_join, op6_packing, op7_substrings, op8_sharding, op9_quality, op10_token_counts)
+    f.__name__: f for f in (op1_decontaminate, op2_warc, op3_suffix_array, op4_language_id, op5_jaccard_join, op6_packing, op7_substrings, op8_sharding, op9_quality, op10_token_counts)
 }
 
 #: Words of a lower-cased text, its five-word shingles, for DuckDB.
@@ -76,9 +81,27 @@ def _shingles(source: str, key: str, name: str) -> str:
 {name} AS (SELECT DISTINCT {key}, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_w WHERE len(w) > 0))"""
 
 
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INT >> {15 - 5 * j}) & 31) + 1, 1)" for i in range(8) for j in range(4))
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
     "op1_decontaminate": f"""WITH {_shingles("documents", "doc_id", "d")}, {_shingles("benchmark", "item_id", "b")},
 q AS (SELECT item_id, count(*) AS n_item_shingles FROM b GROUP BY 1),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles AS containment FROM m JOIN q USING (item_id) WHERE 10 * n_shared >= 8 * n_item_shingles""",
+    "op5_jaccard_join": f"""WITH RECURSIVE {_shingles("documents", "doc_id", "d")},
+c AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b USING (s) JOIN c x ON x.doc_id = a.doc_id JOIN c y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM documents LEFT JOIN c USING (doc_id) JOIN r ON r.a = doc_id GROUP BY doc_id""",
+    "op7_substrings": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i+34], ' ')) AS k FROM i),
+t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM t WHERE c > 1),
+n AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM w),
+x AS (SELECT n.doc_id, string_agg(n.w[n.j], ' ' ORDER BY n.j) FILTER (g.j IS NULL) AS kept, count(g.j) AS gone FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.j = n.j GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN x USING (doc_id)""",
 }
