@@ -1,5 +1,78 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline: quality rules, near duplicates, repeated substrings, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, with text and n_chars
+of what is left. Between stages the documents are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidegraph.llm import decontaminate, jaccard, packing, quality, substrings
+from tidegraph.llm.common import stored, table
+from tidegraph.llm.superkmers import LEAST
+
+
+def _id() -> F.Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
+
+
+def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
+    """docs with another text; n_chars follows where docs has it."""
+    out = docs.withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the lines that failed go from the others."""
+    judged = quality.clean_lines(docs).where("__quality.kept")
+    changed = F.when(F.col("__quality.n_lines_failed") > 0, F.col("__quality.cleaned")).otherwise(F.col("text"))
+    return _with_text(judged, changed).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest doc_id stays; of rows with one doc_id, one."""
+    found = jaccard.near_duplicates(docs)
+    stay = found.where("doc_id <=> component_id").select(_id().alias("__id")).distinct()
+    one = Window.partitionBy("__id").orderBy(F.xxhash64("text"), "text")
+    kept = docs.withColumn("__id", _id()).join(stay, "__id", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    return kept.select(*docs.columns)
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 35 that come again go; a document that loses all its words goes."""
+    out = substrings.remove_repeats(docs).where("__repeats.n_removed < __repeats.n_words or __repeats.n_words = 0")
+    changed = F.when(F.col("__repeats.n_removed") > 0, F.col("__repeats.kept")).otherwise(F.col("text"))
+    return _with_text(out, changed).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return docs.withColumn("__id", _id()).join(found.select(_id().alias("__id")).distinct(), "__id", "left_anti").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_substrings),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: SQL has no tokenizer; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,13 +9,10 @@ more than ``most_lost`` of the characters of its lines is rejected, and so is on
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-
-from tidegraph.llm.textblocks import rows
+from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -27,9 +24,6 @@ BOILERPLATE = re.compile(
     r"licen[sc]ed under|copyright (?:\(c\)|\d{4}))|©",
     re.IGNORECASE,
 )
-COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_failed", "n_chars_lost", "cleaned")
-
-
 def repeated_words(words: list[bytes], n: int = 8) -> int:
     """Words that windows of n words cover which the text has twice or more."""
     count = len(words) - n + 1
@@ -73,43 +67,56 @@ def bad_line(line: str) -> bool:
     return bool(BOILERPLATE.search(line))
 
 
-def clean_lines(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+FIELDS = {
+    "n_words": pa.int64(),
+    "word_chars": pa.int64(),
+    "n_symbols": pa.int64(),
+    "n_dup_lines": pa.int64(),
+    "n_repeat_words": pa.int64(),
+    "base_failed": pa.bool_(),
+    "kept": pa.bool_(),
+    "n_lines_failed": pa.int64(),
+    "n_chars_lost": pa.int64(),
+    "cleaned": pa.string(),
+}
+STRUCT = "struct<n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint, base_failed: boolean, kept: boolean, n_lines_failed: bigint, n_chars_lost: bigint, cleaned: string>"
+
+
+def judge(text: str, most_lost: float) -> tuple:
+    """The values of FIELDS for one text."""
+    words = text.encode().split()
+    n = len(words)
+    seen: set[str] = set()
+    good: list[str] = []
+    dup = failed = lost = total = 0
+    for line in text.split("\n"):
+        if not line.strip(BLANKS):
+            continue
+        dup += line in seen
+        seen.add(line)
+        total += len(line)
+        if bad_line(line):
+            failed += 1
+            lost += len(line)
+        else:
+            good.append(line)
+    repeats = repeated_words(words)
+    base = n < 20 or 100 * repeats > 30 * n
+    chars = len(text) - sum(text.count(c) for c in BLANKS)
+    return n, chars, sum(text.count(c) for c in SYMBOLS), dup, repeats, base, not base and lost <= most_lost * total, failed, lost, "\n".join(good)
+
+
+def clean_lines(docs: DataFrame, most_lost: float = 0.5, into: str = "__quality") -> DataFrame:
+    """docs with one more column ``into``: struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_lines_failed, n_chars_lost and cleaned, the lines that passed.
 
-    A null or empty text has no words: it fails the base rules and cleaned is empty. Repeated rows and null ids stay as they are;
-    other columns are not read. Every line of a text counts, however long it is.
+    A null or empty text has no words: it fails the base rules and cleaned is empty. Repeated rows and null ids stay as they are, and
+    so do all columns of docs. Every line of a text counts, however long it is.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.string()]
-        for batch in rows(batches, 8 << 20):
-            out: list[list] = [[] for _ in COLUMNS]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = text or ""
-                words = text.encode().split()
-                n = len(words)
-                seen: set[str] = set()
-                good: list[str] = []
-                dup = failed = lost = total = 0
-                for line in text.split("\n"):
-                    if not line.strip(BLANKS):
-                        continue
-                    dup += line in seen
-                    seen.add(line)
-                    total += len(line)
-                    if bad_line(line):
-                        failed += 1
-                        lost += len(line)
-                    else:
-                        good.append(line)
-                repeats = repeated_words(words)
-                base = n < 20 or 100 * repeats > 30 * n
-                row = (doc_id, n, len(text) - sum(text.count(c) for c in BLANKS), sum(text.count(c) for c in SYMBOLS), dup, repeats, base, not base and lost <= most_lost * total, failed, lost, "\n".join(good))
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], list(COLUMNS))
+    def run(column: pa.Array) -> pa.Array:
+        values = [judge(x.as_py() or "", most_lost) for x in column]
+        columns = list(zip(*values, strict=True)) or [()] * len(FIELDS)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, FIELDS.values(), strict=True)], list(FIELDS))
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(
-        run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_failed long, n_chars_lost long, cleaned string"
-    )
+    return docs.withColumn(into, F.arrow_udf(run, STRUCT)("text"))

@@ -58,7 +58,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of each document and whether line-first cleaning keeps it."""
-    return quality.clean_lines(table(spark, sf_dir, "documents", "doc_id", "text")).drop("cleaned")
+    out = quality.clean_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", *[f"__quality.{x}" for x in quality.FIELDS if x != "cleaned"])
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
