@@ -1,0 +1 @@
+"""Relational operators on posts, reshares, trees, activations and graphs."""

@@ -1,0 +1 @@
+"""Iterative programs: model fitting and prediction."""

@@ -1,0 +1 @@
+"""Empty on purpose: the data sets are read in batches, and no operator of the library works on streams."""
