@@ -9,9 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidegraph.llm import superkmers as S
 from tidegraph.llm.textblocks import Words, blocks, mix, whole, window_hashes, word_hashes
@@ -53,7 +51,7 @@ def runs_of(w: Words, n: int) -> S.Runs | None:
         data[stop[ends] - 1] = 10
         return data, np.diff(np.concatenate(([0], stop[ends])))
 
-    return S.Runs(mix(least[head]), h1, h2, w.row[w.piece[head]], start, size, np.zeros(len(head), np.uint64), pack)
+    return S.Runs(mix(least[head]), h1, h2, w.row[w.piece[head]], start, size, np.zeros(len(head), np.int64), pack)
 
 
 def counted(b: S.Bucket, n: int) -> tuple[np.ndarray, ...]:
@@ -99,8 +97,8 @@ def counted(b: S.Bucket, n: int) -> tuple[np.ndarray, ...]:
 
 def _apply(text: pa.Array, spans: pa.Array) -> pa.Array:
     words, removed, kept = [], [], []
-    for t, s in zip(pc.fill_null(text, "").to_pylist(), spans.to_pylist(), strict=True):
-        w = t.encode().split()
+    for t, s in zip(S.unzipped(text), spans.to_pylist(), strict=True):
+        w = t.split()
         words.append(len(w))
         if s:
             gone = S.covered(s, len(w))
@@ -126,6 +124,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "__repeats
             if (runs := runs_of(w, window)) is not None:
                 yield runs
 
-    spans = S.repeated_spans(docs, cut, lambda b: counted(b, window), window, False, 3.1)
-    apply = F.arrow_udf(_apply, "struct<n_words: bigint, n_removed: bigint, kept: string>")
-    return S.with_spans(docs, spans).withColumn(into, apply("text", "__spans")).drop("__spans")
+    kind = "struct<n_words: bigint, n_removed: bigint, kept: string>"
+    return S.with_repeats(docs, into, kind, cut, lambda b: counted(b, window), _apply, window, False, 3.1)

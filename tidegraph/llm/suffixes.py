@@ -13,14 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidegraph.llm import superkmers as S
 from tidegraph.llm.textblocks import mix, powers, utf8
 
-LENGTH, MINIMISER = 100, 32
+LENGTH, MINIMISER = 100, 12
 #: Bytes that numpy works on at once.
 BLOCK = 1 << 20
 _B = 0x9E3779B97F4A7C15
@@ -72,17 +70,32 @@ def runs_of(data: np.ndarray, off: np.ndarray, row: np.ndarray, base: np.ndarray
     count = np.diff(np.append(np.searchsorted(at, head), len(at)))
     last = head + count + n - 1
     h1, h2 = S.span_hashes(value, head, last)
-    mark = (anchor[head] - head).astype(np.uint64)
-    h2 = mix(h2 ^ mark)  # strings are the same if their anchors are in the same place
+    mark = anchor[head] - head
     piece = np.searchsorted(off, head, "right") - 1
     length = last - head
 
     def pack(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return data[S.ranges(head[chosen], length[chosen])], length[chosen]
 
-    key = gram[anchor[head]]
-    # the anchor's place in the low byte of mark, its hash above
-    return S.Runs(mix(key), h1, h2, row[piece], base[piece] + head - off[piece], count, (key & ~np.uint64(255)) | mark, pack)
+    return S.Runs(mix(gram[anchor[head]]), h1, h2, row[piece], base[piece] + head - off[piece], count, mark, pack)
+
+
+def _may_repeat(b: S.Bucket, n: int, k: int) -> np.ndarray:
+    """Strings that may have a window in common with another one.
+
+    A window holds the anchor and, on one side of it at least, half of its other bytes: strings that share a window share the anchor with these.
+    """
+    half = (n - k + 1) // 2
+    raw, begin = b.text.tobytes(), b.at + b.mark
+    out = np.zeros(len(b.at), bool)
+    for first, last in ((-half, k), (0, k + half)):
+        at = np.flatnonzero((b.mark + first >= 0) & (b.mark + last <= b.length))
+        seen: dict[bytes, int] = {}
+        for i, a in zip(at.tolist(), begin[at].tolist(), strict=True):
+            j = seen.setdefault(raw[a + first : a + last], i)
+            if j != i:
+                out[i] = out[j] = True
+    return out
 
 
 def _columns(text: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -123,18 +136,15 @@ def _columns(text: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.n
             yield c, order, common
 
 
-def settled(b: S.Bucket, n: int) -> tuple[np.ndarray, ...]:
+def settled(b: S.Bucket, n: int, k: int) -> tuple[np.ndarray, ...]:
     """Spans of all windows of a bucket that start earlier too."""
     # the earliest occurrence of each string; all later ones go as a whole
     order = np.lexsort((b.start, b.doc_id, b.string))
     head = order[np.searchsorted(b.string[order], np.arange(len(b.at)))]
     later = (b.doc_id != b.doc_id[head][b.string]) | (b.start != b.start[head][b.string])
     gone = np.flatnonzero(later)
-    # strings whose anchor no other string has cannot repeat
-    left = b.mark & 255
-    key = b.mark & ~np.int64(255)
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(count[inverse] > 1)
+    left = b.mark
+    some = np.flatnonzero(_may_repeat(b, n, k))
     flags = np.zeros(int(b.windows.sum()), bool)
     first = np.concatenate(([0], np.cumsum(b.windows)[:-1]))
     if some.size:
@@ -159,8 +169,7 @@ def settled(b: S.Bucket, n: int) -> tuple[np.ndarray, ...]:
 
 def _apply(text: pa.Array, spans: pa.Array) -> pa.Array:
     size, removed, runs, kept = [], [], [], []
-    for t, s in zip(pc.fill_null(text, "").to_pylist(), spans.to_pylist(), strict=True):
-        raw = t.encode()
+    for raw, s in zip(S.unzipped(text), spans.to_pylist(), strict=True):
         size.append(len(raw))
         if s:
             gone = S.covered(s, len(raw))
@@ -181,13 +190,12 @@ def remove_later(docs: DataFrame, length: int = LENGTH, into: str = "__later") -
     comes before all others; rows with the same id and text start at the same places, so neither is earlier. Matches never cross documents. All columns of docs stay.
     """
     if not MINIMISER < length <= 255:
-        raise ValueError("strings have 33 to 255 bytes")
+        raise ValueError("strings have 13 to 255 bytes")
 
     def cut(column: pa.Array) -> Iterator[S.Runs]:
         for data, off, row, base in _blocks(column, length - 1):
             if (runs := runs_of(data, off, row, base, length, MINIMISER)) is not None:
                 yield runs
 
-    spans = S.repeated_spans(docs, cut, lambda b: settled(b, length), length, True, 3.9)
-    apply = F.arrow_udf(_apply, "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: binary>")
-    return S.with_spans(docs, spans).withColumn(into, apply("text", "__spans")).drop("__spans")
+    kind = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: binary>"
+    return S.with_repeats(docs, into, kind, cut, lambda b: settled(b, length, MINIMISER), _apply, length, True, 3.5)

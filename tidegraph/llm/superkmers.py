@@ -2,7 +2,7 @@
 
 Equal windows have equal minimisers, so they meet in one bucket; a run of windows travels as one string, a few times shorter
 than its windows. A block sends each different string once: a string that comes again in the task is settled where it is read, so
-that copies, however many, reach a bucket once from each task. Strings are identified by 128 bits; their windows are compared exactly in the bucket.
+that copies, however many, reach a bucket once from each task. Where it is read a string is known by 128 bits; in the bucket strings and windows are compared themselves.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,12 +112,12 @@ class Sender:
         if (at := order[settled]).size:
             self.spans.append(np.stack([doc[at], hashed[at], runs.start[at], runs.start[at] + runs.windows[at] + self.reach - 1]))
         at, w = order[send], weight[group[send]]
-        by = np.argsort(runs.bucket[at], kind="stable")
+        by = np.lexsort((runs.start[at], doc[at], runs.bucket[at]))  # neighbours are alike, and pack well
         at, w = at[by], w[by]
         if not at.size:
             return
         data, length = runs.pack(at)
-        meta = np.stack([runs.h1[at].view(np.int64), runs.h2[at].view(np.int64), doc[at], hashed[at], runs.start[at], runs.windows[at], runs.mark[at].view(np.int64), w, length])
+        meta = np.stack([doc[at], hashed[at], runs.start[at], runs.windows[at], runs.mark[at], w, length])
         number = runs.bucket[at]
         edge = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
         stop = np.concatenate(([0], np.cumsum(length)))
@@ -133,7 +132,9 @@ class Sender:
         zip_ = zstandard.ZstdCompressor(level=3).compress
         out: list[tuple[int, bytes, bytes]] = []
         for k, parts in self.text.items():
-            out.append((k, zip_(b"".join(parts)), zip_(np.ascontiguousarray(np.concatenate(self.meta[k], axis=1)).tobytes())))
+            meta = np.concatenate(self.meta[k], axis=1)
+            meta[0] = np.diff(meta[0], prepend=0)
+            out.append((k, zip_(b"".join(parts)), zip_(np.ascontiguousarray(meta).tobytes())))
         if self.spans:
             all_ = np.concatenate(self.spans, axis=1)
             to = self.buckets + (mix(all_[0].view(np.uint64) ^ all_[1].view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
@@ -166,18 +167,21 @@ class Bucket:
 
 def unpack(group: pa.Table) -> Bucket:
     un = zstandard.ZstdDecompressor().decompress
-    text = np.frombuffer(b"".join(un(x) for x in group.column("packed").to_pylist()), np.uint8)
-    meta = np.concatenate([np.frombuffer(un(x), np.int64).reshape(9, -1) for x in group.column("meta").to_pylist()], axis=1)
-    h1, h2, doc, th, start, windows, mark, weight, length = meta
-    at = np.concatenate(([0], np.cumsum(length)[:-1]))
-    order = np.lexsort((start, doc, h2, h1))
-    new = np.ones(len(order), bool)
-    new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
-    head = order[new]
-    total = np.add.reduceat(weight[order], np.flatnonzero(new))
-    string = np.empty(len(order), np.int64)
-    string[order] = np.cumsum(new) - 1
-    return Bucket(text, at[head], length[head], windows[head], mark[head], total, string, doc, th, start, windows)
+    raw = b"".join(un(x) for x in group.column("packed").to_pylist())
+    parts = []
+    for x in group.column("meta").to_pylist():
+        part = np.frombuffer(un(x), np.int64).reshape(7, -1).copy()
+        part[0] = np.cumsum(part[0])
+        parts.append(part)
+    doc, th, start, windows, mark, weight, length = np.concatenate(parts, axis=1)
+    stop = np.cumsum(length)
+    begin = stop - length
+    number: dict[bytes, int] = {}
+    string = np.array([number.setdefault(raw[a:z], len(number)) for a, z in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
+    head = np.zeros(len(number), np.int64)
+    head[string[::-1]] = np.arange(len(string))[::-1]
+    total = np.bincount(string, weights=weight).astype(np.int64)
+    return Bucket(np.frombuffer(raw, np.uint8), begin[head], length[head], windows[head], mark[head], total, string, doc, th, start, windows)
 
 
 def flagged_spans(flags: np.ndarray, first: np.ndarray, width: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,8 +196,27 @@ def flagged_spans(flags: np.ndarray, first: np.ndarray, width: np.ndarray, reach
     return stretch[begin], place[begin], place[end] + reach
 
 
-def repeated_spans(docs: DataFrame, cut: Callable[[pa.Array], Iterator[Runs]], settle: Callable[[Bucket], tuple[np.ndarray, ...]], reach: int, ordered: bool, growth: float) -> DataFrame:
-    """doc_id, th and spans: the stretches of each document (doc_id, th) that windows to be removed cover.
+def pack_texts(text: pa.Array) -> pa.Array:
+    """Each text, compressed by itself; null stays null."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([None if x is None else pack(x.encode()) for x in text.to_pylist()], pa.binary())
+
+
+def _unzip(packed: pa.Array) -> pa.Array:
+    un = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if x is None else un(x).decode() for x in packed.to_pylist()], pa.string())
+
+
+def unzipped(packed: pa.Array) -> list[bytes]:
+    """Texts as bytes; null: empty."""
+    un = zstandard.ZstdDecompressor().decompress
+    return [b"" if x is None else un(x) for x in packed.to_pylist()]
+
+
+def with_repeats(
+    docs: DataFrame, into: str, kind: str, cut: Callable[[pa.Array], Iterator[Runs]], settle: Callable[[Bucket], tuple[np.ndarray, ...]], apply: Callable[[pa.Array, pa.Array], pa.Array], reach: int, ordered: bool, growth: float
+) -> DataFrame:
+    """docs with one more column ``into`` of type ``kind``: what apply(packed texts, spans) makes of the stretches that windows to be removed cover.
 
     cut: the runs of a column of texts, with the hash of the bucket in ``bucket``; settle: the spans (doc_id, th, first, last) of a bucket.
     growth: packed bytes for a byte of text, about; it only sets the number of buckets.
@@ -201,15 +224,19 @@ def repeated_spans(docs: DataFrame, cut: Callable[[pa.Array], Iterator[Runs]], s
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * growth / BUCKET_BYTES))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
+    # where ids repeat, a hash of the text tells the rows of one id apart
+    unique = docs.groupBy(doc.alias("d")).count().where("count > 1").isEmpty()
+    th = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce("text", F.lit("")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(buckets, reach, ordered)
         for batch in rows(batches):
-            doc_id = pc.fill_null(batch.column("doc_id"), LEAST).to_numpy(zero_copy_only=False)
-            th = batch.column("th").to_numpy(zero_copy_only=False)
+            doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            hashed = batch.column("th").to_numpy(zero_copy_only=False)
             for runs in cut(batch.column("text")):
                 runs.bucket = (runs.bucket % np.uint64(buckets)).astype(np.int64)
-                sender.add(runs, doc_id, th)
+                sender.add(runs, doc_id, hashed)
                 if sender.size >= SEND_BYTES:
                     yield from sender.flush()
         yield from sender.flush()
@@ -222,17 +249,15 @@ def repeated_spans(docs: DataFrame, cut: Callable[[pa.Array], Iterator[Runs]], s
             found = settle(unpack(group))
         return pa.table([pa.array(x) for x in found], ["doc_id", "th", "first", "last"])
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInArrow(send, "bucket long, packed binary, meta binary")
+    sent = docs.select(doc.alias("doc_id"), th.alias("th"), "text").mapInArrow(send, "bucket long, packed binary, meta binary")
     spans = sent.groupBy("bucket").applyInArrow(meet, SPANS)
     # a document has no more spans than windows; all of one document are as bounded as its text
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-
-
-def with_spans(docs: DataFrame, spans: DataFrame, name: str = "__spans") -> DataFrame:
-    """docs and their spans (null where there are none); no column of docs is changed."""
-    found = spans.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias(name))
-    keyed = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "__t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(found, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__th")), "left").drop("__doc", "__th", "__d", "__t")
+    found = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
+    # texts travel packed; the spans are as many as there are repeats, so this join is never a broadcast
+    keyed = docs.withColumns({"__d": doc, "__t": th, "__z": F.arrow_udf(pack_texts, "binary")("text")}).drop("text")
+    joined = keyed.join(found.hint("merge"), (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__th")), "left")
+    text = F.arrow_udf(_unzip, "string")("__z").alias("text")
+    return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns], F.arrow_udf(apply, kind)("__z", "__spans").alias(into))
 
 
 def covered(spans: list | None, n: int) -> np.ndarray:
