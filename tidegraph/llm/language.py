@@ -87,8 +87,12 @@ def learn(docs: DataFrame, most: int = 400) -> Filter:
     """
     if most > 1000:
         raise ValueError("at most 1000 documents of a language")  # beyond, Spark does not limit before it shuffles
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = docs.where("text is not null and lang is not null").selectExpr("lang", "doc_id", "xxhash64(doc_id) h").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("lang", "doc_id").distinct()
+    # first within parts of each language, then over what these leave: no task sees a whole language
+    ids = docs.where("text is not null and lang is not null").selectExpr("lang", "doc_id", "xxhash64(doc_id) h")
+    for part in (F.pmod("h", F.lit(64)), F.lit(0)):
+        w = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
+        ids = ids.withColumn("part", part).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("lang", "doc_id", "h")
+    ids = ids.select("lang", "doc_id").distinct()
     sample = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
