@@ -11,6 +11,7 @@ page, so that one URL with many captures spreads over ranges.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -88,27 +89,35 @@ def _record(smallest: int) -> list:
     return [text.alias("value")]
 
 
-def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, smallest: int = 0, compression: str = "gzip") -> None:
     """Writes a record for each row of pages (page_id, url, html and, if there is one, seen, seconds since 1970) under path.
 
     Of equal payloads of at least ``smallest`` bytes the smallest page_id's is a response, others are revisits of it; rows with that same page_id are responses all.
-    A null html is an empty payload, a null page_id larger than all others, a null url an urn of the page.
+    An archive is one gzip stream, or plain with compression="none". A null html is an empty payload, a null page_id larger than all others, a null url an urn of the page.
     """
     seen = F.col("seen").cast("long") if "seen" in pages.columns else F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 29))
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), seen.alias("seen"), F.col("html").cast("string").alias("html"))
-    first = _digests(slim.select("page_id", "html"), False).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
+    known = _digests(slim.select("page_id", "html"), False)
+    first = known.groupBy("payload_digest").agg(F.min("page_id").alias("first"))
+    key = F.coalesce("page_id", F.lit(-(1 << 63)))
+    given = known.select(key.alias("__id"), "payload_digest").distinct().join(first, "payload_digest")
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / ARCHIVE_BYTES))
-    rows = _digests(slim, True).join(first, "payload_digest")
-    # revisits are dealt by page: copies of one payload, however many, do not end up in one archive
-    rows.repartition(files, "page_id", "url").select(*_record(smallest)).write.option("lineSep", END).text(path)
+    # payloads are dealt once, by page: copies of one payload, however many, do not end up in one archive
+    rows = _digests(slim, True).withColumn("__id", key).repartition(files, "__id", "payload_digest")
+    made = rows.join(given.hint("merge"), ["__id", "payload_digest"])
+    made.select(*_record(smallest)).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 NAME = re.compile(rb"^([\w-]+): *(.*?)\r?$", re.MULTILINE)
 
 
+def plain(content: bytes) -> bytes:
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+
+
 def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset, length, header and block of each record of an archive."""
+    """Offset (in the plain archive), length, header and block of each record."""
     at = 0
     while at < len(content):
         stop = content.find(b"\r\n\r\n", at)
@@ -140,7 +149,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 out = []
-                for at, length, header, block in parse(content.as_py()):
+                for at, length, header, block in parse(plain(content.as_py())):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     found = header["warc-payload-digest"].removeprefix("sha1:")
                     kind = header["warc-type"]
