@@ -92,4 +92,4 @@ def test_entry():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert set(e.oracle_sql()) <= set(names) and len(names) > 70
+    assert set(e.oracle_sql()) <= set(names) and len(names) > 60
