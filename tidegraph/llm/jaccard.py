@@ -6,7 +6,7 @@ that differ in at most k elements agree on x+1 parts at least. Each part of a se
 more than x parts are empty in both. Sets with that many empty parts give signatures under another dealing too, and so on;
 those that are sparse under all of them meet by a signature of their own. So no link is lost.
 
-Sets that share a signature are candidates, in stars: each with the smallest of its group. Candidates are verified on the shingles themselves. Where the members of a group
+Sets that share a signature are candidates, in stars: each with the smallest of its group. Candidates are verified on the shingles themselves. Where the members of a star
 are not in one component afterwards, all its pairs between components are examined: parity sketches, which bound the difference from below,
 leave those that may be similar, and these are verified too.
 """
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import stored
-from tidegraph.llm.superkmers import LEAST
+from tidegraph.llm.superkmers import LEAST, pack_texts, unzipped
 from tidegraph.llm.textblocks import blocks, mix, rows, shingle_set, shingles
 
 SHINGLE = 5
-#: Similarity in hundredths; dealings of the domain; bits of a parity sketch; records that a task gathers before it sends; bytes of a bucket, about.
-SIMILAR, DEALINGS, SKETCH_BITS, SEND, BUCKET_BYTES = 80, 4, 1024, 4_000_000, 8 << 20
+#: Ids (8 bytes each) up to which a set of them is broadcast.
+BROADCAST_IDS = 500_000
+#: Similarity in hundredths; dealings of the domain; least bits of a parity sketch; records that a task gathers before it sends; bytes of a bucket, about.
+SIMILAR, DEALINGS, SKETCH_BITS, SEND, BUCKET_BYTES = 80, 4, 256, 4_000_000, 8 << 20
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,10 +72,13 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 count[row] = size
                 for f, salt in ((f1, 0x51), (f2, 0x52)):
                     f[row] = mix(np.add.reduceat(mix(value ^ np.uint64(salt)), at[:-1]) + size.astype(np.uint64)).view(np.int64)
-                bit = (mix(value ^ np.uint64(0x53)) % np.uint64(SKETCH_BITS)).astype(np.int64) + np.repeat(np.arange(len(row)), size) * SKETCH_BITS
-                odd = np.packbits((np.bincount(bit, minlength=len(row) * SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
-                for i, r in enumerate(row.tolist()):
-                    sketch[r] = odd[i * SKETCH_BITS // 8 : (i + 1) * SKETCH_BITS // 8]
+                # as many bits as the next power of two over the set's size, so that folding makes sketches of two sizes comparable
+                width = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(size)).astype(np.int64))
+                place = np.concatenate(([0], np.cumsum(width)))
+                bit = (mix(value ^ np.uint64(0x53)) & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(place[:-1], size)
+                odd = np.packbits((np.bincount(bit, minlength=place[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+                for r, a, z in zip(row.tolist(), (place[:-1] // 8).tolist(), (place[1:] // 8).tolist(), strict=True):
+                    sketch[r] = odd[a:z]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(f1), pa.array(f2), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
@@ -206,34 +211,54 @@ def groups(docs: DataFrame, n: int, similar: int, largest: int, total: int) -> D
     return sent.groupBy("bucket").applyInArrow(meet, "members array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, similar: int) -> DataFrame:
-    """Those of the pairs (a, b) of documents whose sets are similar: counted on the shingles themselves."""
-    pairs = stored(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A parity sketch (of 64-bit words) with fewer words: halves laid over each other."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and packed text of the documents of ids (doc_id), stored. A few ids are broadcast, so that no text moves; many are joined by a shuffle."""
+    ids = stored(ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     keyed = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "text")
-    texts = stored(keyed.join(ids, "doc_id", "left_semi"), "texts")
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return stored(keyed.join(ids, "doc_id", "left_semi").select("doc_id", F.arrow_udf(pack_texts, "binary")("text").alias("packed")), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, similar: int) -> DataFrame:
+    """Those of the pairs (a, b) of documents whose sets are similar: counted on the shingles themselves."""
+    a = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a"))
+    b = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                x, y = x.as_py() or "", y.as_py() or ""
+            for x, y in zip(unzipped(batch.column("text_a")), unzipped(batch.column("text_b")), strict=True):
                 if x != last:
-                    last, own = x, shingle_set(_lower(x), n)
-                other = shingle_set(_lower(y), n)
+                    last, own = x, shingle_set(x.lower(), n)  # of bytes: A-Z only
+                other = shingle_set(y.lower(), n)
                 both = len(own & other)
                 good.append(both > 0 and 100 * both >= similar * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    joined = pairs.hint("merge").join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _lower(text: str) -> bytes:
-    return text.encode().lower()  # of bytes: A-Z only
+def _near(similar: int):
+    """Whether two sets may be similar, from their sizes and sketches; never False for similar ones."""
+
+    def run(na: pa.Array, nb: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
+        out = []
+        for m, n, x, y in zip(na.to_pylist(), nb.to_pylist(), sa.to_pylist(), sb.to_pylist(), strict=True):
+            words = min(len(x), len(y)) // 8
+            apart = int(np.bitwise_count(folded(np.frombuffer(x, np.uint64), words) ^ folded(np.frombuffer(y, np.uint64), words)).sum())
+            out.append(100 * min(m, n) >= similar * max(m, n) and (100 + similar) * apart <= (100 - similar) * (m + n))
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,7 +290,9 @@ def _pairs_between(similar: int):
 
     def run(group: pa.Table) -> pa.Table:
         ids, comp, size = (group.column(c).to_numpy() for c in ("id", "component", "n"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        raw = [np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()]
+        words = min(map(len, raw))
+        sketch = np.stack([folded(x, words) for x in raw])
         a, b = [], []
         for i in range(len(ids) - 1):
             j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
@@ -289,42 +316,39 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -
     id_ = F.coalesce("doc_id", F.lit(LEAST)).alias("id")
     full = known.where("n_shingles > 0")
     # equal sets are one node, named by the smallest id
-    nodes = stored(full.groupBy("f1", "f2").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    names = stored(full.select(id_, "f1", "f2").distinct().join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("id", "node"), "names")
-    facts = nodes.select("node", "n", "sketch")
+    nodes = full.groupBy("f1", "f2").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("node"))
+    names = stored(full.select(id_, "f1", "f2").distinct().join(nodes.hint("merge"), ["f1", "f2"]).select("id", "node"), "names")
     sizes = full.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
     largest, total = sizes[0] or 0, sizes[1] or 0
     met = stored(groups(docs, n, similar, largest, total), "groups")
-
-    def may_link(pairs: DataFrame) -> DataFrame:
-        a, b = (facts.selectExpr(f"node {x}", f"n n{x}", f"sketch s{x}") for x in "ab")
-        apart = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)), lambda i: F.bit_count(_word("sa", i).bitwiseXOR(_word("sb", i)))), F.lit(0), lambda x, y: x + y)
-        near = ((100 + similar) * apart <= (100 - similar) * (F.col("na") + F.col("nb"))) & (100 * F.least("na", "nb") >= similar * F.greatest("na", "nb"))
-        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
-
-    def _word(column: str, i) -> F.Column:
-        return F.conv(F.hex(F.substring(F.col(column), i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    facts = full.select(id_, "n_shingles", "sketch").join(names.where("id = node"), "id").groupBy(F.col("id").alias("node")).agg(F.max(F.struct("n_shingles", "sketch")).alias("s"))
+    facts = stored(facts.select("node", F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "facts")
 
     star = met.select(F.col("members")[0].alias("x"), F.explode("members").alias("y")).where("x <> y").distinct()
-    star = star.join(names.selectExpr("id x", "node a"), "x").join(names.selectExpr("id y", "node b"), "y")
-    star = star.where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+    star = star.join(names.selectExpr("id x", "node center").hint("merge"), "x").join(names.selectExpr("id y", "node").hint("merge"), "y")
+    star = stored(star.where("center <> node").select("center", "node").distinct(), "stars")
+    a, b = (facts.selectExpr(f"node {x}", f"n n{x}", f"sketch s{x}").hint("merge") for x in "ab")
+    asked = star.selectExpr("least(center, node) a", "greatest(center, node) b").distinct()
+    asked = stored(asked.join(a, "a").join(b, "b").where(_near(similar)("na", "nb", "sa", "sb")).select("a", "b"), "candidates")
     # rows that share an id but not a set
-    twins = names.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count_distinct("node").alias("k")).where("k > 1").select("id", "a")
+    twins = names.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
     twins = twins.join(names, "id").select("a", F.col("node").alias("b")).where("a <> b")
-    links = stored(verified(may_link(star), docs, n, similar).union(twins), "links")
+
+    texts = packed_texts(docs, asked.selectExpr("a doc_id").union(asked.select("b")).distinct())
+    links = stored(verified(asked, texts, n, similar).union(twins), "links")
     reached = stored(components(links), "components")
 
-    # groups of three and more whose members are in different components
-    whole = met.where(F.size("members") > 2).select(F.xxhash64("members").alias("g"), "members").dropDuplicates(["g"])
-    member = whole.select("g", F.explode("members").alias("id")).join(names, "id").select("g", "node").distinct()
-    member = member.join(reached, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
-    open_ = stored(member, "members")
-    mixed = open_.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
-    asked = open_.join(mixed, "g", "left_semi").join(facts, "node").select("g", F.col("node").alias("id"), "component", "n", "sketch")
-    more = asked.groupBy("g").applyInArrow(_pairs_between(similar), "a long, b long").selectExpr("least(a, b) a", "greatest(a, b) b").distinct().join(star, ["a", "b"], "left_anti")
-    found = stored(verified(more, docs, n, similar), "more-links")
-    if not found.isEmpty():
+    # a group lies within the star of its smallest member: of stars in several components, all pairs between these that the sketches leave
+    near = star.union(star.selectExpr("center", "center").distinct())
+    placed = near.join(reached.hint("merge"), "node", "left").select("center", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("center").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("center")
+    open_ = placed.join(mixed.hint("merge"), "center", "left_semi").join(facts.hint("merge"), "node").select("center", F.col("node").alias("id"), "component", "n", "sketch")
+    more = open_.groupBy("center").applyInArrow(_pairs_between(similar), "a long, b long").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+    more = stored(more.join(asked.hint("merge"), ["a", "b"], "left_anti"), "more-candidates")
+    if not more.isEmpty():
+        texts = packed_texts(docs, more.selectExpr("a doc_id").union(more.select("b")).distinct())
+        found = stored(verified(more, texts, n, similar), "more-links")
         reached = stored(components(links.union(found)), "components")
-    final = names.join(reached, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
-    out = known.withColumn("id", F.when(F.col("n_shingles") > 0, F.coalesce("doc_id", F.lit(LEAST)))).join(final, "id", "left")
+    final = names.join(reached.hint("merge"), "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    out = known.withColumn("id", F.when(F.col("n_shingles") > 0, F.coalesce("doc_id", F.lit(LEAST)))).join(final.hint("merge"), "id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.nullif("component", F.lit(LEAST))).otherwise(F.col("doc_id")).alias("component_id"))
