@@ -6,7 +6,7 @@ of what is left. Between stages the documents are written as Parquet and read ag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import decontaminate, jaccard, packing, quality, substrings
@@ -14,8 +14,13 @@ from tidegraph.llm.common import stored, table
 from tidegraph.llm.superkmers import LEAST
 
 
-def _id() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
+def _rows(docs: DataFrame) -> DataFrame:
+    """id, doc: a number for each row, and the row; stored, so that all reads see the same numbers. doc_id may be null or shared, the number is not."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("doc")), "rows")
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("doc_id"), F.col("doc.text").alias("text"))
 
 
 def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
@@ -32,12 +37,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest doc_id stays; of rows with one doc_id, one."""
-    found = jaccard.near_duplicates(docs)
-    stay = found.where("doc_id <=> component_id").select(_id().alias("__id")).distinct()
-    one = Window.partitionBy("__id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.withColumn("__id", _id()).join(stay, "__id", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    return kept.select(*docs.columns)
+    """Of rows that links between their texts connect, the one with the smallest doc_id stays (null is smallest; of several, the smallest hash of the text)."""
+    rows = _rows(docs)
+    found = jaccard.near_duplicates(_texts(rows)).select(F.col("doc_id").alias("id"), "component_id")
+    names = rows.select("id", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(LEAST)).alias("name"), F.xxhash64("doc.text").alias("hash"))
+    stay = found.join(names, "id").groupBy("component_id").agg(F.min(F.struct("name", "hash", "id")).alias("least")).select("least.id")
+    return rows.join(stay, "id", "left_semi").select("doc.*")
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +53,10 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.withColumn("__id", _id()).join(found.select(_id().alias("__id")).distinct(), "__id", "left_anti").select(*docs.columns)
+    """Rows whose text holds a benchmark item go."""
+    rows = _rows(docs)
+    found = decontaminate.contained(_texts(rows), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return rows.join(stored(found.select(F.col("doc_id").alias("id")).distinct(), "found"), "id", "left_anti").select("doc.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

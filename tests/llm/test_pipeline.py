@@ -85,6 +85,26 @@ def test_stages_of_nothing(spark, corpus):
         assert f(spark, spark.createDataFrame([], SCHEMA), folder).count() == 0
 
 
+def test_rows_with_null_and_shared_ids_go_by_their_own_text(spark, corpus):
+    folder, _, items = corpus
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(6)]
+    near = texts[0].rsplit(" ", 1)[0] + " changed"
+    bad = texts[5] + " " + items[1][1]
+    ids = [None, None, None, 7, 7]
+    rows = [*zip(ids, texts), (9, near), (7, texts[3]), (None, bad), (7, bad + " more"), (None, None), (None, ""), (8, texts[4] + " x")]
+    docs = spark.createDataFrame([(i, t, "en", f"src{k}", None if t is None else len(t)) for k, (i, t) in enumerate(rows)], SCHEMA)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+
+    def of(f):
+        return sorted(((r["doc_id"], r["text"]) for r in f(spark, docs, folder).collect()), key=key)
+
+    gone = {5, 6, 8, 11}  # near copies of rows 0, 3, 7, 4
+    assert of(corpus_pipeline.near_duplicates) == sorted((r for k, r in enumerate(rows) if k not in gone), key=key)
+    assert of(corpus_pipeline.decontamination) == sorted((r for r in rows if bad not in (r[1] or "")), key=key)
+
+
 def test_names():
     assert [q.split("_")[0] for q in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
     assert set(ORACLE_SQL) <= set(QUERIES)
