@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph import queries
 from tidegraph.functions import scalar as C
 from tidegraph.operators import cascades, clusters, evaluate, features, graphs, sampling, sequences, trees
 from tidegraph.plans import em, mln, mrf, predict, seqlabel
@@ -176,6 +177,33 @@ def test_features(nodes, graph):
     assert {tuple(r) for r in mrf.feature_sums(mrf.transitions(nodes, graph)).select("v", "pos", "n_active").collect()} >= {(2, 1, 1), (4, 1, 1)}
 
 
+CHAIN = [("c1", i, i - 1 if i > 1 else None, 0.1 * i, i - 1) for i in range(1, 7)] + [("c2", i, i - 1 if i > 1 else None, 0.1 * i, i - 1) for i in range(1, 4)]
+
+
+@pytest.fixture
+def chain(spark, monkeypatch):
+    """The tables of the queries are a cascade 1 to 6, each user the child of the one before, and one that stops at 3."""
+    nodes = spark.createDataFrame([(c, u, p, when(t), d) for c, u, p, t, d in CHAIN], "cascade_id string, user_id long, parent_id long, act_time timestamp, depth int")
+    act = spark.createDataFrame([(c, u, t, 0.6 if c == "c1" else 0.3) for c, u, _, t, _ in CHAIN], "cascade_id string, user_id long, t double, max_t double")
+    graph = graphs.from_trees(nodes)
+    for name, df in (("nodes_of", nodes), ("act_of", act), ("graph_of", graph), ("evidence_of", features.evidence(nodes, graph))):
+        monkeypatch.setattr(queries, name, lambda s, d, df=df: df)
+    return nodes, graph
+
+
+def test_histories_are_whole(spark, monkeypatch):
+    ev = spark.createDataFrame([("c", 9, i, [1 + i % 2], 2, int(i == 4)) for i in range(5)] + [("d", 9, 0, [1, 2], 2, 0), ("d", 8, 0, [1], 1, 1)], "cascade_id string, v long, depth int, active array<int>, d long, state int")
+    monkeypatch.setattr(queries, "evidence_of", lambda s, d: ev)
+    got = {(r["cascade_id"], r["v"], r["depth"]): (r["on"], r["lags"], r["slack"]) for r in queries.long_features_whole(spark, "").collect()}
+    for c, v, depth, *_ in ev.collect():
+        steps = sorted((r["depth"], r["active"]) for r in ev.collect() if (r["cascade_id"], r["v"]) == (c, v) and r["depth"] <= depth)
+        d, lags = (2, 5) if v == 9 else (1, 1)
+        on = sorted(p + lag * d for lag, (_, active) in enumerate(reversed(steps)) for p in active)
+        assert got[c, v, depth] == (",".join(map(str, on)), lags, lags * d + 1 - len(on))
+    weights = {(r["v"], r["pos"]) for r in queries.memm_long_fit(spark, "").collect()}
+    assert weights == {(9, i) for i in range(11)} | {(8, 0), (8, 1)}
+
+
 def test_scaling_matches_the_data():
     rng = np.random.default_rng(0)
     x = (rng.random((200, 3)) < 0.4).astype(float)

@@ -49,13 +49,19 @@ def bin_features(ev: DataFrame) -> DataFrame:
     return out.select("cascade_id", "v", "depth", "state", "d", "seen", (F.col("d") + 1 - F.size("seen")).alias("slack"))
 
 
-def long_features(ev: DataFrame, most: int = 3) -> DataFrame:
-    """Indices of the last ``most`` observations, the newest first: position + lag * d, and the slack to most * d + 1."""
-    w = Window.partitionBy("cascade_id", "v").orderBy("depth").rowsBetween(-(most - 1), 0)
+def long_features(ev: DataFrame, most: int | None = None) -> DataFrame:
+    """Indices of all observations so far, the newest first: position + lag * d, and the slack to lags * d + 1; lags is the longest sequence of
+    the receiver. With ``most``, only the last ``most`` observations, and lags is ``most``."""
+    w = Window.partitionBy("cascade_id", "v").orderBy("depth").rowsBetween(Window.unboundedPreceding if most is None else -(most - 1), 0)
+    if most is None:
+        longest = ev.groupBy("cascade_id", "v").count().groupBy("v").agg(F.max("count").cast("int").alias("lags"))
+        ev = ev.join(longest, "v")
+    else:
+        ev = ev.withColumn("lags", F.lit(most))
     hist = ev.withColumn("hist", F.reverse(F.collect_list("active").over(w)))
     flat = F.flatten(F.transform("hist", lambda a, lag: F.transform(a, lambda p: (p + lag * F.col("d")).cast("int"))))
     out = hist.withColumn("on", F.array_sort(flat))
-    return out.select("cascade_id", "v", "depth", "state", "d", "on", (most * F.col("d") + 1 - F.size("on")).alias("slack"))
+    return out.select("cascade_id", "v", "depth", "state", "d", "on", "lags", (F.col("lags") * F.col("d") + 1 - F.size("on")).alias("slack"))
 
 
 def decayed(ev: DataFrame, td: float) -> DataFrame:

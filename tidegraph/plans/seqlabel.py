@@ -18,8 +18,9 @@ from tidegraph.plans.loops import settled
 WEIGHTS = "v long, pos int, weight double, n_active int, iterations int"
 
 
-def gis(x: np.ndarray, active: np.ndarray, n_active: int, most: int = 500, stop: float = 1e-4) -> tuple[np.ndarray, int]:
-    """Weights of a model whose active states share the features x and whose inactive state has the slack alone; all features of a row sum to a constant."""
+def gis(x: np.ndarray, active: np.ndarray, n_active: int, most: int = 500, stop: float = 1e-4, size: int | None = None) -> tuple[np.ndarray, int]:
+    """Weights of a model whose active states share the features x and whose inactive state has the slack alone; all features of a row sum to a constant. size: how many
+    features there are, where those that no row has are left out of x (their weights stay 0)."""
     total = x.sum(axis=1)[0]
     idle = np.zeros(x.shape[1])
     idle[-1] = total
@@ -32,7 +33,7 @@ def gis(x: np.ndarray, active: np.ndarray, n_active: int, most: int = 500, stop:
         have = (p[:, None] * x).sum(axis=0) + (1 - p).sum() * idle
         change = (np.log(wanted) - np.log(np.where(have == 0, 1e-10, have))) / total
         lam += change
-        if np.linalg.norm(change) / np.sqrt(len(lam)) < stop:
+        if np.linalg.norm(change) / np.sqrt(size or len(lam)) < stop:
             break
     return lam, i
 
@@ -45,18 +46,22 @@ def _matrix(on: pd.Series, d: int, slack: pd.Series) -> np.ndarray:
     return x
 
 
-def fit_memm(features: DataFrame, column: str = "seen", width: int = 1, iterations: int = 500, stop: float = 1e-4) -> DataFrame:
+def fit_memm(features: DataFrame, column: str = "seen", width: int | str = 1, iterations: int = 500, stop: float = 1e-4) -> DataFrame:
     """v, pos (0: slack), weight, n_active, iterations; users who never act have no model. features: bin_features, or long_features with
-    column="on" and width its number of lags."""
+    column="on" and width="lags", its number of lags."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         active = (df["state"] > 0).to_numpy()
         if not active.any():
             return pd.DataFrame([], columns=["v", "pos", "weight", "n_active", "iterations"])
         df = df.sort_values(["cascade_id", "depth"], kind="stable")
-        d = int(df["d"].iloc[0]) * width
+        d = int(df["d"].iloc[0]) * (int(df[width].iloc[0]) if isinstance(width, str) else width)
         n_active = int(df.loc[df["state"] > 0, "state"].nunique())
-        lam, i = gis(_matrix(df[column], d, df["slack"]), (df["state"] > 0).to_numpy(), n_active, iterations, stop)
+        used = np.unique(np.concatenate([np.asarray(x, dtype=int) for x in df[column]]))
+        x = _matrix(df[column].map(lambda on: np.searchsorted(used, on) + 1), len(used), df["slack"])
+        few, i = gis(x, (df["state"] > 0).to_numpy(), n_active, iterations, stop, d + 1)
+        lam = np.zeros(d + 1)
+        lam[np.append(used - 1, d)] = few
         return pd.DataFrame({"v": df["v"].iloc[0], "pos": [*range(1, d + 1), 0], "weight": lam, "n_active": n_active, "iterations": i})
 
     return features.groupBy("v").applyInPandas(run, WEIGHTS)

@@ -646,8 +646,15 @@ def bin_features(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"{R}{_EV}, b AS (SELECT cascade_id, v, depth, state, d, list_sort(list_concat(active, coalesce(list_transform(lag(active) OVER w, lambda x: x + d), []), coalesce(list_transform(lag(active, 2) OVER w, lambda x: x + 2 * d), []))) AS o FROM ev WINDOW w AS (PARTITION BY cascade_id, v ORDER BY depth)) SELECT cascade_id, v, depth, state, d, array_to_string(o, ',') AS \"on\", 3 * d + 1 - len(o) AS slack FROM b")
 def long_features(s: SparkSession, d: str) -> DataFrame:
-    """Histories of observations, the newest first."""
-    b = features.long_features(evidence_of(s, d), 3)
+    """The last three observations, the newest first (V6, V7, W5); long_features_whole has all."""
+    b = features.long_features(evidence_of(s, d), 3).drop("lags")
+    return b.withColumn("on", F.array_join(F.col("on").cast("array<string>"), ","))
+
+
+@query()
+def long_features_whole(s: SparkSession, d: str) -> DataFrame:
+    """The same over whole histories, as long as each receiver's longest (V6, W5); lags is their length."""
+    b = features.long_features(evidence_of(s, d))
     return b.withColumn("on", F.array_join(F.col("on").cast("array<string>"), ","))
 
 
@@ -671,8 +678,8 @@ def memm_fit(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def memm_long_fit(s: SparkSession, d: str) -> DataFrame:
-    """The same on histories (M8)."""
-    return seqlabel.fit_memm(features.long_features(evidence_of(s, d), 3), "on", 3, iterations=50)
+    """The same on whole histories (M8)."""
+    return seqlabel.fit_memm(features.long_features(evidence_of(s, d)), "on", "lags", iterations=50)
 
 
 @query()
