@@ -204,6 +204,16 @@ def test_histories_are_whole(spark, monkeypatch):
     assert weights == {(9, i) for i in range(11)} | {(8, 0), (8, 1)}
 
 
+def test_predictions_go_on_until_no_frontier_grows(spark, chain):
+    def of(f, threshold):
+        return {(r["cascade_id"], r["user_id"]): (r["parent_id"], r["depth"]) for r in f(spark, "").collect() if r["threshold"] == threshold}
+
+    want = {(c, u): (u - 1 if u > 1 else None, u - 1) for c in ("c1", "c2") for u in range(1, 7)}  # each k is 1, each w 1/2
+    assert of(queries.ic_predict_whole, 0.3) == of(queries.lt_predict_whole, 0.1) == want
+    deep = {u for (_, u), (_, d) in of(queries.memm_predict, 0.3).items() if d > 2}
+    assert deep == {4, 5, 6}
+
+
 def test_scaling_matches_the_data():
     rng = np.random.default_rng(0)
     x = (rng.random((200, 3)) < 0.4).astype(float)

@@ -463,6 +463,13 @@ def ic_predict(s: SparkSession, d: str) -> DataFrame:
     return out.select("threshold", "cascade_id", "user_id", "parent_id", "depth")
 
 
+@query()
+def ic_predict_whole(s: SparkSession, d: str) -> DataFrame:
+    """Cascade prediction at two thresholds until no frontier grows (M6)."""
+    out = predict.ic(trees.truncated(nodes_of(s, d), 1), em.initial_k(graph_of(s, d)), list(_THR))
+    return out.select("threshold", "cascade_id", "user_id", "parent_id", "depth")
+
+
 @query(
     f"""{R}{_ACT}, {_INIT}, iw AS (SELECT src AS u, dst AS v, CAST(1 AS DOUBLE) / (1 + count(*) OVER (PARTITION BY dst)) AS w FROM g), th AS (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE]) AS threshold),
 f0 AS (SELECT threshold, i.* FROM init i JOIN (SELECT cascade_id, max(depth) AS depth FROM init GROUP BY 1) USING (cascade_id, depth), th),
@@ -477,6 +484,14 @@ def lt_predict(s: SparkSession, d: str) -> DataFrame:
     return out.select("threshold", "cascade_id", "user_id", "parent_id", "depth")
 
 
+@query()
+def lt_predict_whole(s: SparkSession, d: str) -> DataFrame:
+    """Threshold prediction until no frontier grows."""
+    par = em.initial_w(graph_of(s, d), graphs.vertices(nodes_of(s, d)))
+    out = predict.lt(trees.truncated(nodes_of(s, d), 1), par, list(_THR))
+    return out.select("threshold", "cascade_id", "user_id", "parent_id", "depth")
+
+
 # evaluation: trees to depth 3 as prediction of the whole, roots given
 
 _EVAL = """n_ref AS (SELECT count(*) AS n FROM (SELECT src FROM g UNION SELECT dst FROM g)),
@@ -684,9 +699,9 @@ def memm_long_fit(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def memm_predict(s: SparkSession, d: str) -> DataFrame:
-    """A round of prediction with these models (2.10 j, J19)."""
+    """Prediction with these models until no frontier grows (2.10 j, J19)."""
     models = seqlabel.fit_memm(features.bin_features(evidence_of(s, d)), iterations=50)
-    return seqlabel.predict(trees.truncated(nodes_of(s, d), 1), graph_of(s, d), models, [0.3], 1)
+    return seqlabel.predict(trees.truncated(nodes_of(s, d), 1), graph_of(s, d), models, [0.3])
 
 
 @query()
