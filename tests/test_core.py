@@ -214,6 +214,75 @@ def test_predictions_go_on_until_no_frontier_grows(spark, chain):
     assert deep == {4, 5, 6}
 
 
+def test_registered_fits_are_those_of_plain_loops(spark, monkeypatch, nodes, act, graph):
+    for name, df in (("nodes_of", nodes), ("act_of", act), ("graph_of", graph)):
+        monkeypatch.setattr(queries, name, lambda s, d, df=df: df)
+    edges = [tuple(r) for r in graph.collect()]
+    t = {(c, u): x for c, u, _, x, _ in NODES}
+    depth = {(c, u): x for c, u, _, _, x in NODES}
+    k0 = {(u, v): 1 / sum(a == u for a, _ in edges) for u, v in edges}
+    tried = {(u, v): sum((c, u) in t and ((c, v) not in t or t[c, u] <= t[c, v]) for c in SPAN) for u, v in edges}
+    after = [(c, u, v, t[c, v] - t[c, u]) for c in SPAN for u, v in edges if (c, u) in t and (c, v) in t and t[c, u] <= t[c, v]]
+    next_ = [(c, u, v) for c, u, v, _ in after if depth[c, v] == depth[c, u] + 1]
+
+    def inverse(k, pairs):
+        p = {(c, v): 1 - np.prod([1 - k[a, b] for x, a, b, *_ in pairs if (x, b) == (c, v)]) for c, _, v, *_ in pairs}
+        return {e: sum(1 / p[c, v] for c, u, v, *_ in pairs if (u, v) == e and p[c, v] > 0) for e in edges}
+
+    k = dict(k0)
+    for _ in range(20):
+        s = inverse(k, next_)
+        k = {e: k[e] * s[e] / sum((c, e[0]) in t for c in SPAN) for e in edges}
+    assert values(queries.emic_fit_whole(spark, ""), "k") == pytest.approx(k, abs=1e-3)
+    k = dict(k0)
+    for _ in range(20):
+        s = inverse(k, after)
+        k = {e: ((b := tried[e] + 10) - max(b * b - 40 * k[e] * s[e], 0) ** 0.5) / 20 for e in edges}
+    assert values(queries.daic_fit_whole(spark, ""), "k") == pytest.approx(k, abs=1e-3)
+    assert values(queries.daic_fit(spark, ""), "k") != pytest.approx(k, abs=1e-3)
+    k, r = dict(k0), dict.fromkeys(edges, 1 / 30)
+    for _ in range(20):
+        x = {(c, u, v): k[u, v] * np.exp(-r[u, v] * dt) for c, u, v, dt in after}
+        b = {(c, u, v): y / (y + 1 - k[u, v]) for (c, u, v), y in x.items()}
+        a = {i: r[i[1:]] * y for i, y in b.items()}
+        al = {i: a[i] / sum(y for j, y in a.items() if (j[0], j[2]) == (i[0], i[2])) for i in a}
+        m = {(c, u, v): (al[c, u, v], al[c, u, v] + (1 - al[c, u, v]) * b[c, u, v], dt) for c, u, v, dt in after}
+        k = {e: sum(y for i, (_, y, _) in m.items() if i[1:] == e) / tried[e] for e in edges}
+        r = {e: sum(w for i, (w, _, _) in m.items() if i[1:] == e) / sum(y * dt for i, (_, y, dt) in m.items() if i[1:] == e) for e in edges}
+    got = queries.ctic_fit_whole(spark, "")
+    assert values(got, "k") == pytest.approx(k, abs=5e-3) and values(got, "r") == pytest.approx(r, rel=5e-3)
+
+
+def test_registered_sequence_models_have_all_states_and_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in range(12):
+        rows += [(f"c{c}", 5, i, sorted(set(rng.integers(1, 4, 2).tolist())), 3, 0) for i in range(2)] + [(f"c{c}", 5, 2, [c % 3 + 1], 3, c % 3 + 1 if c < 8 else 0)]
+    ev = spark.createDataFrame(rows, "cascade_id string, v long, depth int, active array<int>, d long, state int")
+    monkeypatch.setattr(queries, "evidence_of", lambda s, d: ev)
+    got = queries.crf_fit(spark, "").collect()
+    assert {r["state"] for r in got} == {0, 1, 2, 3}
+    bins = features.bin_features(ev).toPandas().sort_values("depth")
+    seqs = [(np.array([[0] * 3, *([int(i in s) for i in (1, 2, 3)] for s in one["seen"])], float), np.array([0, *one["state"]])) for _, one in bins.groupby("cascade_id")]
+    w = np.array([r["weight"] for k in ("emit", "move") for r in sorted(got, key=lambda r: (r["state"], r["other"])) if r["kind"] == k])
+    assert np.linalg.norm(seqlabel.crf_value(w, seqs, 4)[1]) < 1e-2
+    x = np.array([[int(i in s) for i in (1, 2, 3)] + [0] for s in bins["seen"]], float)
+    x[:, -1] = 4 - x.sum(axis=1)
+    want, rounds = seqlabel.gis(x, (bins["state"] > 0).to_numpy(), 3)
+    fits = {r["pos"]: r for r in queries.memm_fit(spark, "").collect()}
+    assert [fits[p]["weight"] for p in (1, 2, 3, 0)] == pytest.approx(want) and fits[0]["iterations"] == rounds > 50
+
+    steps = bins[["cascade_id", "v", "depth", "seen", "d"]].assign(state=(bins["state"] > 0).astype(int))
+    monkeypatch.setattr(queries, "nodes_of", lambda s, d: None)
+    monkeypatch.setattr(queries, "graph_of", lambda s, d: None)
+    monkeypatch.setattr(mrf, "transitions", lambda n, g: spark.createDataFrame(steps.assign(seen=[list(map(int, s)) for s in steps["seen"]]), "cascade_id string, v long, depth int, seen array<int>, d long, state int"))
+    x[:, 1:], x[:, 0] = x[:, :3].copy(), 1
+    y, lam = steps["state"].to_numpy(float), np.zeros(4)
+    for _ in range(50):
+        lam += 0.01 * (y - 1 / (1 + np.exp(-x @ lam))) @ x
+    assert [r["weight"] for r in queries.mrf_fit(spark, "").orderBy("pos").collect()] == pytest.approx(lam, abs=0.02)
+
+
 def test_scaling_matches_the_data():
     rng = np.random.default_rng(0)
     x = (rng.random((200, 3)) < 0.4).astype(float)

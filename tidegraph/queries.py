@@ -377,6 +377,12 @@ def emic_fit(s: SparkSession, d: str) -> DataFrame:
     return em.fit_emic(nodes_of(s, d), graph_of(s, d), 3, 0.0)[0].withColumn("k", F.round("k", 6))
 
 
+@query()
+def emic_fit_whole(s: SparkSession, d: str) -> DataFrame:
+    """The discrete cascade model (M3, J15, J16, A12) with the reference's rounds (20) and stop."""
+    return em.fit_emic(nodes_of(s, d), graph_of(s, d))[0].withColumn("k", F.round("k", 6))
+
+
 _DAIC = f"{_ACT}, {_K0}" + "".join(
     f", {_inverse(i, 'ap')}, q{i} AS (SELECT u, v, n_pos + n_neg + 10.0 AS b, k * coalesce(s, 0) AS c FROM tried JOIN k{i} USING (u, v) LEFT JOIN s{i} USING (u, v)), k{i + 1} AS (SELECT u, v, (b - sqrt(CASE WHEN b * b - 40 * c < 1e-10 THEN 0 ELSE b * b - 40 * c END)) / 20 AS k FROM q{i})" for i in range(2)
 )
@@ -388,6 +394,12 @@ def daic_fit(s: SparkSession, d: str) -> DataFrame:
     return em.fit_daic(act_of(s, d), graph_of(s, d), 2, 0.0)[0].withColumn("k", F.round("k", 6))
 
 
+@query()
+def daic_fit_whole(s: SparkSession, d: str) -> DataFrame:
+    """The penalised cascade model (M4) with the reference's rounds (20) and stop."""
+    return em.fit_daic(act_of(s, d), graph_of(s, d))[0].withColumn("k", F.round("k", 6))
+
+
 _CTIC = f"{_ACT}, {_K0}, c0 AS (SELECT u, v, k, 1.0 / 30 AS r FROM k0)".replace("1.0 / 30", "CAST(1 AS DOUBLE) / 30") + "".join(
     f""", x{i} AS (SELECT cascade_id, u, v, d, k, r, k * exp(-r * d) AS x FROM (SELECT cascade_id, u, v, CASE WHEN dt = 0 THEN CAST(1 AS DOUBLE) / 43200 ELSE dt END AS d FROM ap) JOIN c{i} USING (u, v)),
 y{i} AS (SELECT *, x / (x + 1 - k) AS b, r * x / (x + 1 - k) AS a FROM x{i}),
@@ -403,6 +415,12 @@ def ctic_fit(s: SparkSession, d: str) -> DataFrame:
     return em.fit_ctic(act_of(s, d), graph_of(s, d), 2, 0.0)[0].select("u", "v", F.round("k", 5).alias("k"), F.round("r", 3).alias("r"))
 
 
+@query()
+def ctic_fit_whole(s: SparkSession, d: str) -> DataFrame:
+    """The continuous-time cascade model (M2) with the reference's rounds (20) and stop."""
+    return em.fit_ctic(act_of(s, d), graph_of(s, d))[0].select("u", "v", F.round("k", 5).alias("k"), F.round("r", 3).alias("r"))
+
+
 _ASLT = f"""{_ACT}, vs AS (SELECT DISTINCT user_id AS v FROM nodes), ind AS (SELECT vs.v, count(g.src) AS n FROM vs LEFT JOIN g ON g.dst = vs.v GROUP BY 1),
 w0 AS (SELECT u, v, CAST(1 AS DOUBLE) / (n + 1) AS w, CAST(1 AS DOUBLE) / 30 AS r FROM (SELECT src AS u, dst AS v FROM g UNION ALL SELECT v, v FROM vs) JOIN ind USING (v)),
 hs AS (SELECT cascade_id, v, max(r) * sum(w * exp(-r * CASE WHEN dt = 0 THEN CAST(1 AS DOUBLE) / 43200 ELSE dt END)) AS s FROM ap JOIN w0 USING (u, v) GROUP BY 1, 2),
@@ -688,27 +706,26 @@ def reduced_parents(s: SparkSession, d: str) -> DataFrame:
 @query()
 def memm_fit(s: SparkSession, d: str) -> DataFrame:
     """A maximum-entropy model for each receiver."""
-    return seqlabel.fit_memm(features.bin_features(evidence_of(s, d)), iterations=50)
+    return seqlabel.fit_memm(features.bin_features(evidence_of(s, d)))
 
 
 @query()
 def memm_long_fit(s: SparkSession, d: str) -> DataFrame:
     """The same on whole histories (M8)."""
-    return seqlabel.fit_memm(features.long_features(evidence_of(s, d)), "on", "lags", iterations=50)
+    return seqlabel.fit_memm(features.long_features(evidence_of(s, d)), "on", "lags")
 
 
 @query()
 def memm_predict(s: SparkSession, d: str) -> DataFrame:
     """Prediction with these models until no frontier grows (2.10 j, J19)."""
-    models = seqlabel.fit_memm(features.bin_features(evidence_of(s, d)), iterations=50)
+    models = seqlabel.fit_memm(features.bin_features(evidence_of(s, d)))
     return seqlabel.predict(trees.truncated(nodes_of(s, d), 1), graph_of(s, d), models, [0.3])
 
 
 @query()
 def crf_fit(s: SparkSession, d: str) -> DataFrame:
-    """A linear-chain CRF for each receiver (M9, M11), fitted on binary states."""
-    b = features.bin_features(evidence_of(s, d)).withColumn("state", (F.col("state") > 0).cast("int"))
-    return seqlabel.fit_crf(b, iterations=10)
+    """A linear-chain CRF for each receiver (M9, M11); a state for each parent."""
+    return seqlabel.fit_crf(features.bin_features(evidence_of(s, d)))
 
 
 _MR = f"""{_EV.split('se AS')[0]}ms AS (SELECT n.cascade_id, ix.v, n.depth, list(ix.pos) AS active, any_value(ix.d) AS d, any_value(o.depth) AS own FROM nodes n JOIN ix ON ix.u = n.user_id LEFT JOIN nodes o ON o.cascade_id = n.cascade_id AND o.user_id = ix.v WHERE o.depth IS NULL OR n.depth < o.depth GROUP BY 1, 2, 3),
@@ -724,7 +741,7 @@ def mrf_features(s: SparkSession, d: str) -> DataFrame:
 @query()
 def mrf_fit(s: SparkSession, d: str) -> DataFrame:
     """A random field with sampled expectations."""
-    return mrf.fit(mrf.transitions(nodes_of(s, d), graph_of(s, d)), iterations=10, samples=200)
+    return mrf.fit(mrf.transitions(nodes_of(s, d), graph_of(s, d)))
 
 
 @query(f"{R}{_ACT} SELECT '0 !isActivated(\"N' || src || '\", c) v activates(\"N' || src || '\", \"N' || dst || '\", c)' AS value FROM g")
