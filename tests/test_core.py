@@ -283,6 +283,16 @@ def test_registered_sequence_models_have_all_states_and_rounds(spark, monkeypatc
     assert [r["weight"] for r in queries.mrf_fit(spark, "").orderBy("pos").collect()] == pytest.approx(lam, abs=0.02)
 
 
+def test_differences_of_whole_predictions(spark, monkeypatch, nodes, graph):
+    for name, df in (("nodes_of", nodes), ("graph_of", graph)):
+        monkeypatch.setattr(queries, name, lambda s, d, df=df: df)
+    monkeypatch.setattr(queries, "ic_predict_whole", lambda s, d: nodes.where("depth < 2").withColumn("threshold", F.lit(0.1)))
+    extra = spark.createDataFrame([("c1", 9, 0.1), ("c1", 1, 0.1), ("c2", 8, 0.3)], "cascade_id string, user_id long, threshold double")
+    monkeypatch.setattr(queries, "lt_predict_whole", lambda s, d: extra)
+    want = {("c1", 9, "b", False)} | {(c, u, "a", True) for c, u, _, _, d in NODES if d < 2 and (c, u) != ("c1", 1)}
+    assert {tuple(r) for r in queries.method_diff_whole(spark, "").select("cascade_id", "user_id", "only_in", "is_true").collect()} == want
+
+
 def test_scaling_matches_the_data():
     rng = np.random.default_rng(0)
     x = (rng.random((200, 3)) < 0.4).astype(float)

@@ -579,6 +579,13 @@ def method_diff(s: SparkSession, d: str) -> DataFrame:
     return evaluate.method_diff(trees.truncated(n, 2), trees.truncated(n, 3).where("user_id % 2 = 0"), n.where("user_id % 3 = 0"))
 
 
+@query()
+def method_diff_whole(s: SparkSession, d: str) -> DataFrame:
+    """Where whole predictions of the cascade (a) and the threshold model (b) at 0.1 differ; all nodes are the truth."""
+    a, b = (f(s, d).where("threshold = 0.1") for f in (ic_predict_whole, lt_predict_whole))
+    return evaluate.method_diff(a, b, nodes_of(s, d))
+
+
 @query(f"{R}{_CASC}, e AS (SELECT split_part(cascade_id, '-', 1) AS kind, depth, size FROM casc) SELECT depth, round(avg(size) FILTER (kind = 'click'), 6) AS click, round(avg(size) FILTER (kind = 'view'), 6) AS \"view\" FROM e WHERE kind IN ('click', 'view') GROUP BY 1")
 def method_report(s: SparkSession, d: str) -> DataFrame:
     """A report by depth with a column for each method."""
