@@ -87,6 +87,30 @@ def test_chains_and_groups_of_near_copies(spark):
     assert got == {d: x for (d, *_), x in zip(rows, brute.components(rows))}
 
 
+def test_large_stars_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(jaccard, "STAR", 20)
+    rows = []
+    for i in range(300):  # one large component, some small ones and strays, of sizes that differ
+        component = 0 if i < 200 else 1000 + i // 3 if i < 260 else i
+        n = int(rng.integers(60, 120))
+        sketch = np.zeros(4, np.uint64)
+        sketch[0] = rng.integers(0, 1 << int(rng.integers(1, 40)))
+        rows.append((5, i, component, n, bytearray(sketch.tobytes())))
+    tasks = jaccard._blocks(spark.createDataFrame(rows, "center long, id long, component long, n long, sketch binary"), 80)
+    assert tasks.groupBy("task").count().agg({"count": "max"}).first()[0] < 4 * 20
+    assert tasks.groupBy("task").agg({"component": "min"}).count() > 10
+    got = [tuple(sorted(r)) for r in tasks.groupBy("task").applyInArrow(jaccard._pairs_between(80), "a long, b long").collect()]
+    word = [int.from_bytes(r[4], "little") for r in rows]
+    want = {(a[1], b[1]) for k, a in enumerate(rows) for b in rows[k + 1 :] if a[2] != b[2] and 100 * min(a[3], b[3]) >= 80 * max(a[3], b[3]) and 180 * (word[a[1]] ^ word[b[1]]).bit_count() <= 20 * (a[3] + b[3])}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_components_with_split_stars(docs, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "STAR", 2)
+    test_components_of_similar_sets(docs, documents)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(5)
     bands = jaccard.Bands(80, 3000)

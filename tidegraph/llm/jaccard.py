@@ -32,6 +32,8 @@ SHINGLE = 5
 BROADCAST_IDS = 500_000
 #: Similarity in hundredths; dealings of the domain; least bits of a parity sketch; records that a task gathers before it sends; bytes of a bucket, about.
 SIMILAR, DEALINGS, SKETCH_BITS, SEND, BUCKET_BYTES = 80, 4, 256, 4_000_000, 8 << 20
+#: Members of a star, or of a block of a larger one, that one task compares.
+STAR = 2048
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -286,25 +288,51 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pairs_between(similar: int):
-    """Of a group (id, component, n, sketch): pairs of different components that the sketches do not rule out."""
+    """Of a group (id, component, n, sketch, first): pairs of different components that sizes and sketches do not rule out; if some rows are not first, only
+    pairs of one that is and one that is not."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, comp, size = (group.column(c).to_numpy() for c in ("id", "component", "n"))
         raw = [np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()]
         words = min(map(len, raw))
         sketch = np.stack([folded(x, words) for x in raw])
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            both = size[j] + size[i]
-            j = j[(100 + similar) * np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= (100 - similar) * both]
-            a += [ids[i]] * len(j)
-            b += ids[j].tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        first = group.column("first").to_numpy().astype(bool)
+        others = np.flatnonzero(~first)
+        a, b = [ids[:0]], [ids[:0]]
+        for i in np.flatnonzero(first):
+            j = others if len(others) else np.arange(i + 1, len(ids))
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= similar * np.maximum(size[j], size[i]))]
+            j = j[(100 + similar) * np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= (100 - similar) * (size[j] + size[i])]
+            a.append(np.full(len(j), ids[i]))
+            b.append(ids[j])
+        return pa.table([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
     return run
 
 
+def _blocks(members: DataFrame, similar: int) -> DataFrame:
+    """task, id, component, n, sketch, first: members (center, id, component, n, sketch) of large stars, dealt into tasks of two blocks of about ``STAR`` each, or of one.
+
+    A block holds members of one star and one band of sizes: of one component if that has more than STAR members there, else of all smaller ones. Similar
+    sets are in the same or neighbouring bands; blocks of one large component do not meet.
+    """
+    width = max(math.log(100 / similar), 1e-6) * (1 + 1e-9)
+    large = members.groupBy("center", "component").count().where(F.col("count") > STAR).select("center", "component", F.lit(True).alias("large"))
+    placed = members.join(F.broadcast(large), ["center", "component"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    placed = placed.withColumn("own", F.when(F.col("large"), F.col("component")).otherwise(0)).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
+    key = ["center", "large", "own", "band"]
+    parts = stored(placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts")), "parts")
+    block = F.struct("large", "own", "band", "part").alias("block")
+    placed = placed.join(F.broadcast(parts), key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("center", block, "id", "component", "n", "sketch")
+    blocks = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("center", block)
+    tasks = blocks.selectExpr("center", "block x").join(blocks.selectExpr("center", "block y").hint("merge"), "center")
+    tasks = tasks.where("x <= y and abs(x.band - y.band) <= 1 and not (x.large and y.large and x.own = y.own)").withColumn("task", F.xxhash64("center", "x", "y"))
+    columns = ["id", "component", "n", "sketch"]
+    one = placed.join(tasks.selectExpr("center", "x block", "task").hint("merge"), ["center", "block"]).select("task", *columns, F.lit(True).alias("first"))
+    two = placed.join(tasks.where("x <> y").selectExpr("center", "y block", "task").hint("merge"), ["center", "block"]).select("task", *columns, F.lit(False).alias("first"))
+    return one.union(two)
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
@@ -341,9 +369,18 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -
     # a group lies within the star of its smallest member: of stars in several components, all pairs between these that the sketches leave
     near = star.union(star.selectExpr("center", "center").distinct())
     placed = near.join(reached.hint("merge"), "node", "left").select("center", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("center").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("center")
-    open_ = placed.join(mixed.hint("merge"), "center", "left_semi").join(facts.hint("merge"), "node").select("center", F.col("node").alias("id"), "component", "n", "sketch")
-    more = open_.groupBy("center").applyInArrow(_pairs_between(similar), "a long, b long").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+    mixed = placed.groupBy("center").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("center", "k")
+    mixed = stored(mixed, "mixed")
+
+    def members(stars: DataFrame) -> DataFrame:
+        return placed.join(stars.select("center"), "center", "left_semi").join(facts.hint("merge"), "node").select("center", F.col("node").alias("id"), "component", "n", "sketch")
+
+    more = members(mixed.where(F.col("k") <= STAR).hint("merge")).withColumn("first", F.lit(True)).groupBy("center").applyInArrow(_pairs_between(similar), "a long, b long")
+    large = mixed.where(F.col("k") > STAR)
+    if not large.isEmpty():
+        # so few stars are broadcast: no task gets the whole of one
+        more = more.union(_blocks(stored(members(F.broadcast(large)), "large-stars"), similar).groupBy("task").applyInArrow(_pairs_between(similar), "a long, b long"))
+    more = more.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
     more = stored(more.join(asked.hint("merge"), ["a", "b"], "left_anti"), "more-candidates")
     if not more.isEmpty():
         texts = packed_texts(docs, more.selectExpr("a doc_id").union(more.select("b")).distinct())
