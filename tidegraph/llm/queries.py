@@ -12,7 +12,7 @@ from tidegraph.llm.common import table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold at least 0.8 of the five-word shingles of a benchmark item."""
+    """Documents that hold at least 0.8 of the five-word shingles of a benchmark item, in lower case and without punctuation."""
     return decontaminate.contained(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
@@ -76,8 +76,12 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _WORDS = r"regexp_extract_all({}, '[^ \t\n\x0b\x0c\r]+')"
 
 
-def _shingles(source: str, key: str, name: str) -> str:
-    words = _WORDS.format(_LOWER)
+#: A text in composed lower case without punctuation.
+_PLAIN = r"regexp_replace(lower(nfc_normalize(text)), '[^\pL\pM\pN]+', ' ', 'g')"
+
+
+def _shingles(source: str, key: str, name: str, text: str = _LOWER) -> str:
+    words = _WORDS.format(text)
     return f"""{name}_w AS (SELECT {key}, {words} AS w FROM {source} WHERE text IS NOT NULL),
 {name} AS (SELECT DISTINCT {key}, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_w WHERE len(w) > 0))"""
 
@@ -88,7 +92,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
-    "op1_decontaminate": f"""WITH {_shingles("documents", "doc_id", "d")}, {_shingles("benchmark", "item_id", "b")},
+    "op1_decontaminate": f"""WITH {_shingles("documents", "doc_id", "d", _PLAIN)}, {_shingles("benchmark", "item_id", "b", _PLAIN)},
 q AS (SELECT item_id, count(*) AS n_item_shingles FROM b GROUP BY 1),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles AS containment FROM m JOIN q USING (item_id) WHERE 10 * n_shared >= 8 * n_item_shingles""",
