@@ -4,11 +4,13 @@ Pieces of documents are dealt to partitions of bounded size. Each partition is p
 decreasing and compared with the largest of several lower bounds from dual feasible functions: when the bins
 equal the bound, no packing has fewer. Partitions with a gap give up their bins that are not full; in
 each round those of several partitions meet, are packed again, and the new packing is taken
-when it has fewer bins.
+when it has fewer bins. Rounds go on until no partition has a gap or all have met; ``certificate`` compares
+the whole result with the bound of all pieces.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -17,11 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import stored
+from tidegraph.llm.common import bounded_batches, stored
 from tidegraph.llm.tokens import pieces
 
 #: Pieces in a partition, about; and partitions that meet in a round.
-PARTITION, MEET, ROUNDS = 100_000, 8, 3
+PARTITION, MEET = 100_000, 8
 
 
 def best_fit_decreasing(lengths: list[int], size: int) -> list[int]:
@@ -58,6 +60,11 @@ def lower_bound(lengths: list[int], size: int) -> int:
     counts = [0] * (size + 1)
     for n in lengths:
         counts[n] += 1
+    return _bound(counts, size)
+
+
+def _bound(counts: list[int], size: int) -> int:
+    """lower_bound of counts[n] pieces of each length n."""
     total = sum(n * c for n, c in enumerate(counts))
     best = -(-total // size)
     small, large, mass = 0, 0, total  # of pieces under t; of those over size - t
@@ -88,7 +95,7 @@ def _packer(size: int, level: int, share: int):
         bound = lower_bound(lengths, size)
         before = df["seq"].nunique() if level else math.inf
         if max(bins) + 1 < before:
-            df["seq"] = [level << 60 | int(key[0]) << 30 | b for b in bins]
+            df["seq"] = [level << 58 | int(key[0]) << 30 | b for b in bins]
             made = max(bins) + 1
         else:
             made = before
@@ -112,18 +119,19 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k.json
 
     A null text is the end id alone, an empty table gives no row, repeated rows and null ids are pieces of their own. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     cut = stored(pieces(docs, vocabulary, size).withColumn("m", F.monotonically_increasing_id()), "pieces")
     groups, share = max(1, math.ceil(cut.count() / partition)), partition // MEET
     start = cut.withColumns({"grp": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "m"), F.lit(groups)), "seq": F.lit(0).cast("long"), "open": F.lit(True), "bound": F.lit(0).cast("long"), "made": F.lit(0).cast("long")})
-    packed = stored(start.groupBy("grp").applyInPandas(_packer(size, 0, share), COLUMNS), "packed-0")
-    for level in range(1, ROUNDS + 1):
-        if groups == 1:
-            break
-        groups = math.ceil(groups / MEET)
-        # what is open meets what other partitions have open; the rest keeps its place
-        again = packed.where("open").withColumn("grp", F.call_function("div", F.col("grp"), F.lit(MEET).cast("long")))
-        done = packed.where("not open").withColumn("grp", F.call_function("div", F.col("grp"), F.lit(MEET).cast("long")))
-        packed = stored(done.unionByName(again.groupBy("grp").applyInPandas(_packer(size, level, share), COLUMNS)), f"packed-{level}")
+    now = stored(start.groupBy("grp").applyInPandas(_packer(size, 0, share), COLUMNS), "packed-0")
+    done, level = [], 0
+    while groups > 1 and not now.where("open").isEmpty():
+        # what is open meets what other partitions have open; the rest keeps its place and is not written again
+        groups, level = math.ceil(groups / MEET), level + 1
+        done.append(now.where("not open"))
+        again = now.where("open").withColumn("grp", F.call_function("div", F.col("grp"), F.lit(MEET).cast("long")))
+        now = stored(again.groupBy("grp").applyInPandas(_packer(size, level, share), COLUMNS), f"packed-{level}")
+    packed = functools.reduce(DataFrame.unionByName, done, now)
 
     w = Window.partitionBy("seq").orderBy("length", "doc_id", "piece", "m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return packed.select(
@@ -137,3 +145,11 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k.json
         F.col("bound").alias("partition_bound"),
         F.col("made").alias("partition_bins"),
     )
+
+
+def certificate(packed: DataFrame, size: int = 2048) -> tuple[int, int]:
+    """Sequences of a packing, and a number below which no packing of all its pieces can go. Only counts of lengths reach the driver."""
+    counts = [0] * (size + 1)
+    for r in packed.groupBy("length").count().collect():  # size rows at most
+        counts[r["length"]] = r["count"]
+    return packed.where("offset = 0").count(), _bound(counts, size)

@@ -1,9 +1,9 @@
 """Token counts, and token ids of whole texts, in Arrow functions.
 
-A text is split where the tokenizer always splits: at a space between two characters that are not
-white. Each part between two such spaces is encoded by itself, so long texts need no more memory than
-their parts, and parts that come again are looked up. Parts not seen before go to the tokenizer
-in batches of about equal bytes.
+A text is split where the tokenizer always splits: at white between two characters that are not
+white, and between a letter and a sign. Each part is encoded by itself. Plain texts of a byte-level vocabulary are cut by their bytes, all
+texts of a slice at once; a slice has about equal bytes, each of its different parts is encoded once, and texts longer than a slice
+are cut at safe spaces, so they need no more memory than others. Other texts are cut one by one, and parts that come again are looked up.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidegraph.llm.textblocks import rows
+from tidegraph.llm.common import bounded_batches
+from tidegraph.llm.textblocks import rows, utf8
 
 #: Python's white characters include all that byte-level pre-tokenizers take as white.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -29,8 +30,14 @@ RARE = re.compile(r"[^\S \n]")
 WITHIN = re.compile(r"(?<=\S)(?=\n\S)|(?<=[^\W\d_])(?=[.,;:!?#*%&$|()\"-])")
 #: Parts that may stand side by side in one call: white, then letters and signs of the Latin blocks, nothing white within.
 PLAIN = re.compile(r"[ \n][!-~\u00a1-\u024f]+")
-#: Bytes of new parts that go to the tokenizer at once, and parts that a worker remembers.
-BATCH_BYTES, REMEMBERED = 1 << 18, 500_000
+#: A text that is not plain: characters outside of the Latin blocks, two white characters in a row, white at its end.
+NOT_PLAIN = r"[^\n !-~\x{a1}-\x{24f}]|[ \n][ \n]|[ \n]$"
+#: Bytes before which a part ends if a letter stands there.
+SIGN, LETTER = np.zeros(256, bool), np.zeros(256, bool)
+SIGN[list(b'.,;:!?#*%&$|()"-')] = True
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Bytes of new parts that go to the tokenizer at once, parts that a worker remembers, and bytes of text that are cut at once.
+BATCH_BYTES, REMEMBERED, SLICE_BYTES = 1 << 18, 500_000, 6 << 20
 
 
 class Encoder:
@@ -69,7 +76,9 @@ class Encoder:
 
                 with open(twin, "rb") as f:
                     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-                self.twin = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+                coding = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+                self.twin, self.twin_ids = coding.encode_ordinary, lambda text: coding.encode_to_numpy(text, disallowed_special=())
+                self.newline = ranks.get(b"\n")
                 self.width = np.zeros(max(ranks.values()) + 1, np.int64)
                 for token, i in ranks.items():
                     self.width[i] = len(token)
@@ -149,6 +158,105 @@ class Encoder:
                 yield b"".join(map(get, parts))
             at = end
 
+    def plain(self, text: pa.Array) -> np.ndarray:
+        """Which texts can be cut by their bytes."""
+        if not self.twin or self.newline is None:
+            return np.zeros(len(text), bool)
+        odd = pc.match_substring_regex(text, NOT_PLAIN)
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(text, special))
+        return ~odd.to_numpy(zero_copy_only=False)
+
+    def distinct(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of plain texts: where the parts of each begin (one more at the end), the number of each part, and of each number its first id, how many, and all ids."""
+        data, off = utf8(text)
+        start = (data == 32) | (data == 10)
+        start[1:] |= SIGN[data[1:]] & LETTER[data[:-1]]
+        start[off[:-1][off[:-1] < off[1:]]] = True
+        begin = np.flatnonzero(start)
+        first = np.searchsorted(begin, off)
+        stop = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, stop, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        raw, at = utf8_of(parts.dictionary)
+        count = len(at) - 1
+        if not count:
+            return first, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        # side by side each part begins with white; those that have none get a line break, which is a token of its own
+        bare = (raw[at[:-1]] != 32) & (raw[at[:-1]] != 10)
+        size = np.diff(at) + bare
+        put = np.concatenate(([0], np.cumsum(size)))
+        joined = np.full(put[-1], 10, np.uint8)
+        keep = np.ones(put[-1], bool)
+        keep[put[:-1][bare]] = False
+        joined[keep] = raw
+        ids, a = [], 0
+        while a < count:
+            z = max(a + 1, int(np.searchsorted(put, put[a] + BATCH_BYTES, "right")) - 1)
+            ids.append(self.twin_ids(joined[put[a] : put[z]].tobytes().decode()))
+            a = z
+        flat = np.concatenate(ids).astype("<u4")
+        edge = np.searchsorted(np.cumsum(self.width[flat]), put[1:]) + 1
+        begin_id = np.concatenate(([0], edge[:-1])) + bare
+        return first, parts.indices.to_numpy(zero_copy_only=False), begin_id, edge - begin_id, flat
+
+    def counts(self, text: pa.Array) -> np.ndarray:
+        """Ids of each text of a slice without nulls."""
+        out = np.zeros(len(text), np.int64)
+        plain = self.plain(text)
+        if plain.any():
+            first, part, _, many, _ = self.distinct(text.filter(pa.array(plain)))
+            total = np.concatenate(([0], np.cumsum(many[part])))
+            out[plain] = total[first[1:]] - total[first[:-1]]
+        if not plain.all():
+            out[~plain] = [len(x) // 4 for x in self.encode(text.filter(pa.array(~plain)).to_pylist())]
+        return out
+
+    def ids(self, text: pa.Array) -> list[bytes]:
+        """The ids of each text of a slice without nulls, as little-endian 32-bit numbers."""
+        plain = self.plain(text)
+        other = self.encode(text.filter(pa.array(~plain)).to_pylist()) if not plain.all() else iter(())
+        if plain.any():
+            first, part, begin, many, flat = self.distinct(text.filter(pa.array(plain)))
+            size = many[part]
+            at = np.concatenate(([0], np.cumsum(size)))
+            raw = memoryview(flat[np.arange(at[-1]) + np.repeat(begin[part] - at[:-1], size)].tobytes())
+            edge = (4 * at[first]).tolist()
+            mine = iter(zip(edge, edge[1:], strict=False))
+        return [bytes(raw[slice(*next(mine))]) if p else next(other) for p in plain]
+
+    def slices(self, text: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """The texts (null: empty) in slices of about SLICE_BYTES, and the row of each; a longer text comes in pieces, which are encoded one by one."""
+        text = pc.fill_null(text, "").cast(pa.large_string())
+        off = np.concatenate(([0], np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))))
+        a = 0
+        while a < len(text):
+            z = max(a + 1, int(np.searchsorted(off, off[a] + SLICE_BYTES, "right")) - 1)
+            if off[z] - off[a] > 2 * SLICE_BYTES and self.splits:
+                for piece in safe_cuts(text[a].as_py().encode()):
+                    yield pa.array([piece.decode()], pa.large_string()), np.array([a])
+            else:
+                yield text.slice(a, z - a), np.arange(a, z)
+            a = z
+
+
+def utf8_of(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a column of large binaries without nulls, and where each begins; one more at the end."""
+    _, offsets, data = parts.buffers()
+    off = np.frombuffer(offsets, np.int64)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8))[off[0] : off[-1]], off - off[0]
+
+
+def safe_cuts(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about SLICE_BYTES that begin at a space between two characters of ASCII that are not white."""
+    begin = 0
+    while begin < len(raw):
+        at = raw.find(b" ", begin + SLICE_BYTES)
+        while at >= 0 and not (at + 1 < len(raw) and 32 < raw[at - 1] < 127 and 32 < raw[at + 1] < 127):
+            at = raw.find(b" ", at + 1)
+        end = at if at >= 0 else len(raw)
+        yield raw[begin:end]
+        begin = end
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -171,9 +279,12 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
         coder = encoder(vocabulary)
         for batch in rows(batches):
             text = pc.fill_null(batch.column("text"), "")
-            n = [len(ids) // 4 for ids in coder.encode(text.to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.cast(pc.binary_length(text), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n = np.zeros(len(text), np.int64)
+            for part, row in coder.slices(text):
+                n[row] += coder.counts(part)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.cast(pc.binary_length(text), pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
@@ -185,9 +296,25 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", size: int = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last = encoder(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
+
+        def texts(column: pa.Array) -> Iterator[tuple[int, bytes]]:
+            held: list[bytes] = []
+            now = -1
+            for part, row in coder.slices(column):
+                for r, ids in zip(row.tolist(), coder.ids(part), strict=True):
+                    if held and r != now:
+                        yield now, b"".join(held)
+                        held = []
+                    now = r
+                    held.append(ids)
+            if held:
+                yield now, b"".join(held)
+
         for batch in rows(batches):
             out: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(pc.fill_null(batch.column("text"), "").to_pylist()), strict=True):
+            names = batch.column("doc_id").to_pylist()
+            for row, ids in texts(batch.column("text")):
+                doc_id = names[row]
                 ids += last
                 n = len(ids) // 4
                 first = n % size or size
