@@ -111,7 +111,7 @@ def _apply(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "__repeats") -> DataFrame:
-    """docs with one more column ``into``: struct of n_words, n_removed and kept, the words left, joined by one space.
+    """docs with one more column ``into`` (and underscores, where docs has one of that name) at the end: struct of n_words, n_removed and kept, the words left, joined by one space.
 
     A window counts wherever it starts again, in its own document too; windows are judged on the input. A null or empty text has no words; repeated
     rows are copies of each other; a null doc_id is an id like others. All columns of docs stay.

@@ -184,7 +184,7 @@ def _apply(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def remove_later(docs: DataFrame, length: int = LENGTH, into: str = "__later") -> DataFrame:
-    """docs with one more column ``into``: struct of n_bytes, n_removed, n_spans and kept, the bytes that stay (they may end within a character).
+    """docs with one more column ``into`` (and underscores, where docs has one of that name) at the end: struct of n_bytes, n_removed, n_spans and kept, the bytes that stay (they may end within a character).
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a smaller doc_id, or further left in the same one. A null text is empty; a null doc_id
     comes before all others; rows with the same id and text start at the same places, so neither is earlier. Matches never cross documents. All columns of docs stay.

@@ -14,9 +14,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
+from tidegraph.llm.common import bounded_batches, free_name, quoted
 from tidegraph.llm.textblocks import mix, powers, rows
 
 #: Bytes of packed strings in a bucket, about; bytes that a task gathers before it sends; strings known to repeat that a task remembers.
@@ -216,12 +218,14 @@ def unzipped(packed: pa.Array) -> list[bytes]:
 def with_repeats(
     docs: DataFrame, into: str, kind: str, cut: Callable[[pa.Array], Iterator[Runs]], settle: Callable[[Bucket], tuple[np.ndarray, ...]], apply: Callable[[pa.Array, pa.Array], pa.Array], reach: int, ordered: bool, growth: float
 ) -> DataFrame:
-    """docs with one more column ``into`` of type ``kind``: what apply(packed texts, spans) makes of the stretches that windows to be removed cover.
+    """docs with one more column at the end, of type ``kind``: what apply(packed texts, spans) makes of the stretches that windows to be removed cover.
 
+    The column is called ``into``, with underscores after it where docs has one of that name; all columns of docs stay as they are.
     cut: the runs of a column of texts, with the hash of the bucket in ``bucket``; settle: the spans (doc_id, th, first, last) of a bucket.
     growth: packed bytes for a byte of text, about; it only sets the number of buckets.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * growth / BUCKET_BYTES))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
@@ -251,13 +255,27 @@ def with_repeats(
 
     sent = docs.select(doc.alias("doc_id"), th.alias("th"), "text").mapInArrow(send, "bucket long, packed binary, meta binary")
     spans = sent.groupBy("bucket").applyInArrow(meet, SPANS)
-    # a document has no more spans than windows; all of one document are as bounded as its text
-    found = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
+    # overlapping spans of a document become one before any are gathered: what is gathered is shorter than its text
+    by = Window.partitionBy("doc_id", "th").orderBy("first", "last")
+    reached = F.coalesce(F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    merged = spans.withColumn("new", (F.col("first") > reached).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.groupBy("doc_id", "th", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    found = merged.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     # texts travel packed; the spans are as many as there are repeats, so this join is never a broadcast
-    keyed = docs.withColumns({"__d": doc, "__t": th, "__z": F.arrow_udf(pack_texts, "binary")("text")}).drop("text")
-    joined = keyed.join(found.hint("merge"), (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__th")), "left")
-    text = F.arrow_udf(_unzip, "string")("__z").alias("text")
-    return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns], F.arrow_udf(apply, kind)("__z", "__spans").alias(into))
+    rest = [F.col(quoted(c)) for c in docs.columns if c != "text"]
+    keyed = docs.select(doc.alias("doc_id"), th.alias("th"), F.struct(*rest).alias("rest"), F.arrow_udf(pack_texts, "binary")("text").alias("packed"))
+    joined = keyed.join(found.hint("merge"), ["doc_id", "th"], "left").select("rest", "packed", "spans")
+    schema = StructType([joined.schema["rest"], StructField("text", StringType()), StructField("found", _parse_datatype_string(kind))])
+
+    def settle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):  # unpacked texts are several times larger
+                part = batch.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), _unzip(part.column(1)), apply(part.column(1), part.column(2))], ["rest", "text", "found"])
+
+    out = joined.mapInArrow(settle_rows, schema)
+    columns = [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return out.select(*columns, F.col("found").alias(free_name(docs.columns, into)))
 
 
 def covered(spans: list | None, n: int) -> np.ndarray:
