@@ -49,13 +49,13 @@ def shingles(text, n=5):
 
 
 def components(rows, similar=80):
-    """For each row, its set's size and the smallest id that links reach; rows with one id are one document."""
+    """For each row, its set's size and the smallest id that links reach; rows are documents of their own, a null id is larger than others."""
     sets = [shingles(t) for _, t, *_ in rows]
     at = defaultdict(list)
     for i, s in enumerate(sets):
         for x in s:
             at[x].append(i)
-    root = {key(d): key(d) for d, *_ in rows}
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
@@ -65,10 +65,10 @@ def components(rows, similar=80):
     for i, s in enumerate(sets):
         for j, both in Counter(j for x in s for j in at[x] if j < i).items():
             if 100 * both >= similar * (len(s) + len(sets[j]) - both):
-                a, b = find(key(rows[i][0])), find(key(rows[j][0]))
+                a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    out = []
-    for (d, *_), s in zip(rows, sets):
-        r = find(key(d)) if s else d
-        out.append((len(s), None if r == LEAST else r))
-    return out
+    least = {}
+    for i, (d, *_) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(len(s), least.get(find(i)) if s else d) for i, ((d, *_), s) in enumerate(zip(rows, sets))]

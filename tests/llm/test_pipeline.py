@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -41,7 +42,7 @@ def stages(rows, items):
     out = []
     kept = []
     for d, t, *_ in rows:
-        *_, keep, failed, _, cleaned = quality.judge(t or "", 0.5)
+        *_, keep, failed, _, cleaned = quality.judge(pa.array([t], pa.string()), 0.5)[0].as_py().values()
         if keep:
             kept.append((d, cleaned if failed else t))
     out.append(kept)

@@ -1,10 +1,11 @@
 """N-gram Jaccard join with PartEnum signatures, and the components of its links.
 
 Two sets with a Jaccard similarity of at least g differ in few elements: |r ^ s| <= (1-g)/(1+g) (|r|+|s|). Sizes fall into bands such that similar sets are in
-the same or neighbouring ones; for each band the bound is a number k. The domain of shingles is dealt into k+1+x parts: sets
-that differ in at most k elements agree on x+1 parts at least. Each part of a set that is not empty is one signature, and similar sets share one unless
-more than x parts are empty in both. Sets with that many empty parts give signatures under another dealing too, and so on;
-those that are sparse under all of them meet by a signature of their own. So no link is lost.
+the same or neighbouring ones; for each band the bound is a number k. The domain of shingles is dealt into k // 2 + 1 + x parts, and each part into three smaller
+ones. Sets that differ in at most k elements have x + 1 parts at least in which they differ in one element at most, and there agree on two of the three smaller
+parts. Each part of a set gives the three subsets of two smaller parts that are not empty as signatures; k = 0 has the whole set. Similar sets share a signature unless
+more than x parts of both are poor: have a subset that is empty. Sets with that many poor parts give signatures under another dealing too, and so on;
+those that are poor under all of them meet by a signature of their own. So no link is lost.
 
 Sets that share a signature are candidates, in stars: each with the smallest of its group. Candidates are verified on the shingles themselves. Where the members of a star
 are not in one component afterwards, all its pairs between components are examined: parity sketches, which bound the difference from below,
@@ -18,22 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import stored
-from tidegraph.llm.superkmers import LEAST, pack_texts, unzipped
+from tidegraph.llm.common import bounded_batches, stored
+from tidegraph.llm.superkmers import pack_texts, unzipped
 from tidegraph.llm.textblocks import blocks, mix, rows, shingle_set, shingles
 
 SHINGLE = 5
 #: Ids (8 bytes each) up to which a set of them is broadcast.
 BROADCAST_IDS = 500_000
 #: Similarity in hundredths; dealings of the domain; least bits of a parity sketch; records that a task gathers before it sends; bytes of a bucket, about.
-SIMILAR, DEALINGS, SKETCH_BITS, SEND, BUCKET_BYTES = 80, 4, 256, 4_000_000, 8 << 20
-#: Members of a star, or of a block of a larger one, that one task compares.
-STAR = 2048
+SIMILAR, DEALINGS, SKETCH_BITS, SEND, BUCKET_BYTES = 80, 4, 256, 2_000_000, 8 << 20
+#: Smaller parts of a part; a signature leaves one of them out.
+SUB = 3
+#: Members of a star, or of a block of a larger one, that one task compares; and the nearest of other components that are tried for each before all others.
+STAR, NEAREST = 2048, 4
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -87,10 +89,10 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
 
 
 class Bands:
-    """Bands of sizes and, for the pairs whose larger set is in a band: differences allowed and parts of a dealing."""
+    """Bands of sizes and, for the pairs whose larger set is in a band: differences allowed, parts of a dealing, and poor parts that a set may have."""
 
     def __init__(self, similar: int, largest: int) -> None:
-        self.similar, low = similar, 1
+        low = 1
         self.low: list[int] = []
         self.allowed: list[int] = []
         self.spare: list[int] = []
@@ -99,15 +101,16 @@ class Bands:
             self.low.append(low)
             k = 2 * high * (100 - similar) // (100 + similar)
             self.allowed.append(k)
-            few = 0.06 * (k + 1)
-            self.spare.append(math.ceil(few + 2.5 * math.sqrt(few)) if k else 0)
+            few = 0.06 * (k // 2 + 1)
+            self.spare.append(int(few + 2.5 * math.sqrt(few)) if k else 0)
             low = high + 1
 
     def signatures(self, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of sets value[at[i]:at[i+1]], and the set of each."""
         size = np.diff(at)
         band = np.searchsorted(np.array(self.low), size, "right") - 1
-        parts = np.array(self.allowed) + 1 + np.array(self.spare)
+        allowed, spare = np.array(self.allowed), np.array(self.spare)
+        parts = np.where(allowed > 0, allowed // 2 + 1 + spare, 1)
         out_s, out_i = [], []
         for up in (0, 1):
             instance = band + up  # with sets of its own band, and of the next
@@ -120,18 +123,27 @@ class Bands:
                 v = value if len(mine) == len(size) else value[np.repeat(at[mine] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
                 salt = mix(np.array([deal + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
                 m = mix(v ^ salt)
-                part = ((m >> np.uint64(32)) * p[which].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[which]
-                total = np.zeros(base[-1], np.uint64)
-                np.add.at(total, part, m)
-                full = np.zeros(base[-1], bool)
-                full[part] = True
+                # the upper half of the hash chooses the smaller part
+                small = ((m >> np.uint64(32)) * (SUB * p[which]).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + SUB * base[which]
+                total = np.zeros(SUB * base[-1], np.uint64)
+                np.add.at(total, small, m)
+                full = np.zeros(SUB * base[-1], bool)
+                full[small] = True
+                total, full = total.reshape(-1, SUB), full.reshape(-1, SUB)
                 owner = np.repeat(np.arange(len(mine)), p)
                 place = np.arange(base[-1]) - base[owner]
-                tag = (instance[mine][owner] * DEALINGS + deal).astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64)
-                out_s.append(mix(total[full] + mix(tag[full])))
-                out_i.append(mine[owner[full]])
-                empty = p - np.add.reduceat(full.astype(np.int64), base[:-1])
-                mine = mine[empty > np.array(self.spare)[instance[mine]]]
+                tag = (instance[mine][owner] * DEALINGS + deal).astype(np.uint64) * np.uint64(1 << 32) + SUB * place.astype(np.uint64)
+                one = allowed[instance[mine]][owner] == 0  # equal sets: the whole
+                all_, filled = total.sum(axis=1, dtype=np.uint64), full.sum(axis=1)
+                if one.any():
+                    out_s.append(mix(all_[one] + mix(tag[one])))
+                    out_i.append(mine[owner[one]])
+                for j in range(SUB):
+                    some = ~one & (filled > full[:, j])  # what is left is not empty
+                    out_s.append(mix(all_[some] - total[some, j] + mix(tag[some] + np.uint64(j))))
+                    out_i.append(mine[owner[some]])
+                poor = np.add.reduceat(((filled < 2) & ~one).astype(np.int64), base[:-1])
+                mine = mine[poor > spare[instance[mine]]]
                 if not mine.size:
                     break
             else:
@@ -144,7 +156,7 @@ def groups(docs: DataFrame, n: int, similar: int, largest: int, total: int) -> D
     """members: documents that share a signature, ascending; each group once from a bucket. Equal sets of a batch send one of them."""
     spark = docs.sparkSession
     bands = Bands(similar, largest)
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 0.6 * 16 / BUCKET_BYTES))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 0.9 * 16 / BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1).compress
@@ -162,7 +174,7 @@ def groups(docs: DataFrame, n: int, similar: int, largest: int, total: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["bucket", "signatures", "documents"])
 
         for batch in rows(batches):
-            ids = pc.fill_null(batch.column("doc_id"), LEAST).to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for row, at, value in sets(batch.column("text"), n):
                 print_ = np.stack([np.add.reduceat(mix(value ^ np.uint64(s)), at[:-1]) for s in (0x51, 0x52)], axis=1)
                 order = np.argsort(ids[row], kind="stable")
@@ -224,8 +236,7 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and packed text of the documents of ids (doc_id), stored. A few ids are broadcast, so that no text moves; many are joined by a shuffle."""
     ids = stored(ids, "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "text")
-    return stored(keyed.join(ids, "doc_id", "left_semi").select("doc_id", F.arrow_udf(pack_texts, "binary")("text").alias("packed")), "texts")
+    return stored(docs.join(ids, "doc_id", "left_semi").select("doc_id", F.arrow_udf(pack_texts, "binary")("text").alias("packed")), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, similar: int) -> DataFrame:
@@ -287,9 +298,9 @@ def components(edges: DataFrame) -> DataFrame:
     return now.selectExpr("u node", "v component").union(now.selectExpr("v node", "v component").distinct())
 
 
-def _pairs_between(similar: int):
+def _pairs_between(similar: int, most: int | None = None):
     """Of a group (id, component, n, sketch, first): pairs of different components that sizes and sketches do not rule out; if some rows are not first, only
-    pairs of one that is and one that is not."""
+    pairs of one that is and one that is not. With ``most``, for each member only so many others, nearest by their sketches."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, comp, size = (group.column(c).to_numpy() for c in ("id", "component", "n"))
@@ -300,9 +311,13 @@ def _pairs_between(similar: int):
         others = np.flatnonzero(~first)
         a, b = [ids[:0]], [ids[:0]]
         for i in np.flatnonzero(first):
-            j = others if len(others) else np.arange(i + 1, len(ids))
+            j = others if len(others) else np.arange(len(ids)) if most else np.arange(i + 1, len(ids))
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= similar * np.maximum(size[j], size[i]))]
-            j = j[(100 + similar) * np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= (100 - similar) * (size[j] + size[i])]
+            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            near = (100 + similar) * apart <= (100 - similar) * (size[j] + size[i])
+            j, apart = j[near], apart[near]
+            if most and len(j) > most:
+                j = j[np.lexsort((ids[j], apart / (size[j] + size[i])))[:most]]
             a.append(np.full(len(j), ids[i]))
             b.append(ids[j])
         return pa.table([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
@@ -333,24 +348,52 @@ def _blocks(members: DataFrame, similar: int) -> DataFrame:
     return one.union(two)
 
 
+def _apart(near: DataFrame, facts: DataFrame, reached: DataFrame, similar: int, most: int | None) -> DataFrame:
+    """a, b: pairs (see _pairs_between) of members of one star (center, node) that are in different components."""
+    placed = near.join(reached.hint("merge"), "node", "left").select("center", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("center").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("center", "k")
+    mixed = stored(mixed, "mixed")
+
+    def members(stars: DataFrame) -> DataFrame:
+        return placed.join(stars.select("center"), "center", "left_semi").join(facts.hint("merge"), "node").select("center", F.col("node").alias("id"), "component", "n", "sketch")
+
+    pairs = members(mixed.where(F.col("k") <= STAR).hint("merge")).withColumn("first", F.lit(True)).groupBy("center").applyInArrow(_pairs_between(similar, most), "a long, b long")
+    large = mixed.where(F.col("k") > STAR)
+    if not large.isEmpty():
+        # so few stars are broadcast: no task gets the whole of one
+        pairs = pairs.union(_blocks(stored(members(F.broadcast(large)), "large-stars"), similar).groupBy("task").applyInArrow(_pairs_between(similar, most), "a long, b long"))
+    return pairs.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
-    Words are lower-cased in A-Z; a text with fewer than n words has one shingle, one without words none, and no links. Rows with the same doc_id count as one
-    document; a null doc_id is one id, smaller than all others. Documents link when 100 |both| >= similar |either|.
+    Words are lower-cased in A-Z; a text with fewer than n words has one shingle, one without words none, and no links. Documents link when
+    100 |both| >= similar |either|. Only texts link: rows that share a doc_id, or have none, are documents of their own. A null doc_id is
+    larger than all others, so component_id is null only where no row of the component has an id.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _linked(docs, n, similar)
+    rows_ = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    found = stored(_linked(rows_.selectExpr("row doc_id", "text"), n, similar).selectExpr("doc_id row", "n_shingles", "component_id component").join(rows_.select("row", "doc_id").hint("merge"), "row"), "numbered")
+    least = found.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return found.join(least.hint("merge"), "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _linked(docs: DataFrame, n: int, similar: int) -> DataFrame:
+    """near_duplicates of documents whose doc_id are not null and all different."""
     known = stored(describe(docs, n), "described")
-    id_ = F.coalesce("doc_id", F.lit(LEAST)).alias("id")
+    id_ = F.col("doc_id").alias("id")
     full = known.where("n_shingles > 0")
     # equal sets are one node, named by the smallest id
-    nodes = full.groupBy("f1", "f2").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("node"))
-    names = stored(full.select(id_, "f1", "f2").distinct().join(nodes.hint("merge"), ["f1", "f2"]).select("id", "node"), "names")
+    nodes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
+    names = stored(full.select(id_, "f1", "f2").join(nodes.hint("merge"), ["f1", "f2"]).select("id", "node"), "names")
     sizes = full.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
     largest, total = sizes[0] or 0, sizes[1] or 0
     met = stored(groups(docs, n, similar, largest, total), "groups")
-    facts = full.select(id_, "n_shingles", "sketch").join(names.where("id = node"), "id").groupBy(F.col("id").alias("node")).agg(F.max(F.struct("n_shingles", "sketch")).alias("s"))
-    facts = stored(facts.select("node", F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "facts")
+    facts = stored(full.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch").join(names.where("id = node").select("node").hint("merge"), "node", "left_semi"), "facts")
 
     star = met.select(F.col("members")[0].alias("x"), F.explode("members").alias("y")).where("x <> y").distinct()
     star = star.join(names.selectExpr("id x", "node center").hint("merge"), "x").join(names.selectExpr("id y", "node").hint("merge"), "y")
@@ -358,34 +401,20 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -
     a, b = (facts.selectExpr(f"node {x}", f"n n{x}", f"sketch s{x}").hint("merge") for x in "ab")
     asked = star.selectExpr("least(center, node) a", "greatest(center, node) b").distinct()
     asked = stored(asked.join(a, "a").join(b, "b").where(_near(similar)("na", "nb", "sa", "sb")).select("a", "b"), "candidates")
-    # rows that share an id but not a set
-    twins = names.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
-    twins = twins.join(names, "id").select("a", F.col("node").alias("b")).where("a <> b")
-
     texts = packed_texts(docs, asked.selectExpr("a doc_id").union(asked.select("b")).distinct())
-    links = stored(verified(asked, texts, n, similar).union(twins), "links")
+    links = stored(verified(asked, texts, n, similar), "links")
     reached = stored(components(links), "components")
 
-    # a group lies within the star of its smallest member: of stars in several components, all pairs between these that the sketches leave
-    near = star.union(star.selectExpr("center", "center").distinct())
-    placed = near.join(reached.hint("merge"), "node", "left").select("center", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("center").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("center", "k")
-    mixed = stored(mixed, "mixed")
-
-    def members(stars: DataFrame) -> DataFrame:
-        return placed.join(stars.select("center"), "center", "left_semi").join(facts.hint("merge"), "node").select("center", F.col("node").alias("id"), "component", "n", "sketch")
-
-    more = members(mixed.where(F.col("k") <= STAR).hint("merge")).withColumn("first", F.lit(True)).groupBy("center").applyInArrow(_pairs_between(similar), "a long, b long")
-    large = mixed.where(F.col("k") > STAR)
-    if not large.isEmpty():
-        # so few stars are broadcast: no task gets the whole of one
-        more = more.union(_blocks(stored(members(F.broadcast(large)), "large-stars"), similar).groupBy("task").applyInArrow(_pairs_between(similar), "a long, b long"))
-    more = more.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
-    more = stored(more.join(asked.hint("merge"), ["a", "b"], "left_anti"), "more-candidates")
-    if not more.isEmpty():
+    # a group lies within the star of its smallest member: of stars in several components, the pairs between these that the sketches leave. First each member's
+    # nearest, which joins most components; then all that are still apart
+    tested, near = asked, star.union(star.selectExpr("center", "center").distinct())
+    for most in (NEAREST, None):
+        more = _apart(near, facts, reached, similar, most)
+        more = stored(more.join(tested.hint("merge"), ["a", "b"], "left_anti"), "more-candidates")
+        if more.isEmpty():
+            continue
         texts = packed_texts(docs, more.selectExpr("a doc_id").union(more.select("b")).distinct())
-        found = stored(verified(more, texts, n, similar), "more-links")
-        reached = stored(components(links.union(found)), "components")
-    final = names.join(reached.hint("merge"), "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
-    out = known.withColumn("id", F.when(F.col("n_shingles") > 0, F.coalesce("doc_id", F.lit(LEAST)))).join(final.hint("merge"), "id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.nullif("component", F.lit(LEAST))).otherwise(F.col("doc_id")).alias("component_id"))
+        links = links.union(stored(verified(more, texts, n, similar), "more-links"))
+        tested, reached = tested.union(more), stored(components(links), "components")
+    final = names.join(reached.hint("merge"), "node", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "node").alias("component"))
+    return known.join(final.hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
