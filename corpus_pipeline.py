@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import decontaminate, jaccard, packing, quality, substrings
-from tidegraph.llm.common import stored, table
+from tidegraph.llm.common import quoted, stored, table
 from tidegraph.llm.superkmers import LEAST
 
 
@@ -31,9 +31,10 @@ def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the lines that failed go from the others."""
-    judged = quality.clean_lines(docs).where("__quality.kept")
-    changed = F.when(F.col("__quality.n_lines_failed") > 0, F.col("__quality.cleaned")).otherwise(F.col("text"))
-    return _with_text(judged, changed).select(*docs.columns)
+    judged = quality.clean_lines(docs)
+    found = F.col(quoted(judged.columns[-1]))
+    changed = F.when(found["n_lines_failed"] > 0, found["cleaned"]).otherwise(F.col("text"))
+    return _with_text(judged.where(found["kept"]), changed).select(*map(quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 35 that come again go; a document that loses all its words goes."""
-    out = substrings.remove_repeats(docs).where("__repeats.n_removed < __repeats.n_words or __repeats.n_words = 0")
-    changed = F.when(F.col("__repeats.n_removed") > 0, F.col("__repeats.kept")).otherwise(F.col("text"))
-    return _with_text(out, changed).select(*docs.columns)
+    out = substrings.remove_repeats(docs)
+    found = F.col(quoted(out.columns[-1]))
+    changed = F.when(found["n_removed"] > 0, found["kept"]).otherwise(F.col("text"))
+    return _with_text(out.where((found["n_removed"] < found["n_words"]) | (found["n_words"] == 0)), changed).select(*map(quoted, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
