@@ -1 +1 @@
-"""Analytics of information cascades as Spark jobs: from posts and reshares to trees, graphs, diffusion models, predictions and their evaluation."""
+"""Analytics of information cascades as Spark jobs: from posts and reshares to trees, graphs, models of spreading, predictions and their evaluation."""

@@ -1,4 +1,4 @@
-"""Activation sequences and the joins that diffusion models are fitted on. Times are months of 30 days since the cascade began."""
+"""Activation sequences and the joins that models of spreading are fitted on. Times are months of 30 days since the cascade began."""
 
 from __future__ import annotations
 

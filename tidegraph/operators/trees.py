@@ -1,4 +1,4 @@
-"""Diffusion trees as rows: cascade_id, user_id, parent_id (null for roots), act_time, depth.
+"""Trees of who reached whom first, as rows: cascade_id, user_id, parent_id (null for roots), act_time, depth.
 
 Who is whose child is decided by the first reshare that touches a user, which takes two aggregations and no sequential state.
 """

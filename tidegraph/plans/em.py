@@ -1,4 +1,4 @@
-"""Diffusion models fitted by expectation maximisation, each step a few joins and aggregations.
+"""Models of spreading, fitted by expectation maximisation, each step a few joins and aggregations.
 
 Parameters are rows: (u, v, k), (u, v, k, r), or (u, v, w) with (v, r). ``step`` functions map parameters to parameters; ``fit`` repeats a
 step, cutting lineage each round, until the change is small.

@@ -145,7 +145,7 @@ _N = "cascade_id, user_id, parent_id, act_time, depth"
 
 
 @query(f"{R}{_TREE} SELECT {_N} FROM nodes")
-def diffusion_tree(s: SparkSession, d: str) -> DataFrame:
+def first_touch_tree(s: SparkSession, d: str) -> DataFrame:
     """First-touch trees with depths."""
     return trees.trees(adapter.reshares(s, d), adapter.postcascades(s, d)).select(*_N.split(", "))
 
@@ -643,7 +643,7 @@ def dbscan_cores(s: SparkSession, d: str) -> DataFrame:
     return clusters.dbscan(pairs_of(s, d), cascades_of(s, d).select("cascade_id"))
 
 
-@query()
+@query(f"{R}{_PAIRS}, rc AS (SELECT cascade_id AS a, cascade_id AS b FROM sz UNION SELECT rc.a, e.j FROM rc JOIN (SELECT i, j FROM pr WHERE sim >= 0.5 UNION ALL SELECT j, i FROM pr WHERE sim >= 0.5) e ON e.i = rc.b) SELECT a AS cascade_id, min(b) AS label FROM rc GROUP BY 1")
 def similar_groups(s: SparkSession, d: str) -> DataFrame:
     """Cascades connected over similar pairs."""
     return clusters.connected(pairs_of(s, d), cascades_of(s, d).select("cascade_id"), 0.5)
