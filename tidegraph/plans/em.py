@@ -137,29 +137,36 @@ def aslt_h(par: DataFrame, act: DataFrame, ap: DataFrame) -> DataFrame:
     return all_.select("cascade_id", "v", F.when(F.col("t") == 0, 1.0).otherwise(F.coalesce("s", F.lit(0.0))).alias("h"))
 
 
-def aslt_g(par: DataFrame, ex: DataFrame, inactive: DataFrame) -> DataFrame:
-    """cascade_id, v, g for the rond set. ex: exposed(); inactive: inactive_parents()."""
-    on = ex.join(par, ["u", "v"]).select("cascade_id", "v", (F.col("w") * F.exp(-F.col("r") * F.col("dt"))).alias("x"))
-    off = inactive.join(par.select("u", "v", "w"), ["u", "v"]).select("cascade_id", "v", F.col("w").alias("x"))
-    own = ex.select("cascade_id", "v").distinct().join(par.where("u = v").select("v", F.col("w").alias("x")), "v").select("cascade_id", "v", "x")
-    return on.unionByName(off).unionByName(own).groupBy("cascade_id", "v").agg(F.sum("x").alias("g"))
+def aslt_g(par: DataFrame, ex: DataFrame) -> DataFrame:
+    """cascade_id, v, g for the rond set. ex: exposed().
 
+    Of v's sources those that are active are in ex, so the weight of the others is the weight of all less theirs: inactive sources are never made as rows.
+    """
+    whole = par.groupBy("v").agg(F.sum("w").alias("whole"))
+    less = ex.join(par, ["u", "v"]).groupBy("cascade_id", "v").agg(F.sum(F.col("w") * F.expm1(-F.col("r") * F.col("dt"))).alias("less"))
+    return less.join(whole, "v").select("cascade_id", "v", F.greatest(F.col("whole") + F.col("less"), F.lit(0.0)).alias("g"))
 
-def aslt_step(par: DataFrame, act: DataFrame, ap: DataFrame, ex: DataFrame, inactive: DataFrame) -> DataFrame:
-    """u, v, w, r from the rates and weights before; columns of w have length 1."""
+
+def aslt_step(par: DataFrame, act: DataFrame, ap: DataFrame, ex: DataFrame) -> DataFrame:
+    """u, v, w, r from the rates and weights before; columns of w have length 1.
+
+    A source that is inactive in a cascade of v's rond set, and v itself, add w / g there; summed over cascades that is w times the sum of 1 / g, less those in which the source is active.
+    """
     from pyspark.sql import Window
 
-    h, g = aslt_h(par, act, ap), aslt_g(par, ex, inactive)
+    h, g = aslt_h(par, act, ap), aslt_g(par, ex).where("g > 0")
     dt: Column = F.col("dt")
-    phi_h = ap.join(par, ["u", "v"]).join(h, ["cascade_id", "v"]).where("h > 0").select("u", "v", (F.col("w") * F.col("r") * F.exp(-F.col("r") * guarded(dt)) / F.col("h")).alias("x"), guarded(dt, 1 / 1440).alias("d"), F.lit(1).alias("acts"))
-    psi = ex.join(par, ["u", "v"]).join(g, ["cascade_id", "v"]).where("g > 0").select("u", "v", (F.col("w") * F.exp(-F.col("r") * dt) / F.col("g")).alias("x"), dt.alias("d"), F.lit(0).alias("acts"))
-    quiet = inactive.select("cascade_id", "u", "v").union(ex.select("cascade_id", F.col("v").alias("u"), "v").distinct())
-    phi_g = quiet.join(par, ["u", "v"]).join(g, ["cascade_id", "v"]).where("g > 0").select("u", "v", (F.col("w") / F.col("g")).alias("x"), F.lit(0.0).alias("d"), F.lit(0).alias("acts"))
+    phi = F.col("w") * F.col("r") * F.exp(-F.col("r") * guarded(dt)) / F.col("h")
+    phi_h = ap.join(par, ["u", "v"]).join(h, ["cascade_id", "v"]).where("h > 0").select("u", "v", phi.alias("x"), phi.alias("y"), guarded(dt, 1 / 1440).alias("d"), F.lit(1).alias("acts"))
+    decay = -F.col("r") * dt
+    psi = ex.join(par, ["u", "v"]).join(g, ["cascade_id", "v"]).select("u", "v", (F.col("w") * F.exp(decay) / F.col("g")).alias("x"), (F.col("w") * F.expm1(decay) / F.col("g")).alias("y"), dt.alias("d"), F.lit(0).alias("acts"))
     timed = phi_h.unionByName(psi)
     top, bottom = F.sum(F.when(F.col("acts") == 1, F.col("x")).otherwise(0.0)), F.sum(F.col("x") * F.col("d"))
     rate = timed.groupBy("v").agg(F.when(top == 0, 0.0).when(bottom == 0, LARGEST).otherwise(top / bottom).alias("r"))
-    mass = timed.unionByName(phi_g).groupBy("u", "v").agg(F.sum("x").alias("x"))
-    every = par.select("u", "v").join(mass, ["u", "v"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    mass = timed.groupBy("u", "v").agg(F.sum("y").alias("y"))
+    quiet = g.groupBy("v").agg(F.sum(1 / F.col("g")).alias("quiet"))
+    every = par.select("u", "v", "w").join(mass, ["u", "v"], "left").join(quiet, "v", "left")
+    every = every.withColumn("x", F.greatest(F.coalesce("y", F.lit(0.0)) + F.col("w") * F.coalesce("quiet", F.lit(0.0)), F.lit(0.0)))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("v")))
     return every.withColumn("len", length).join(rate, "v", "left").select("u", "v", F.when(F.col("len") == 0, 0.0).otherwise(F.col("x") / F.col("len")).alias("w"), F.coalesce("r", F.lit(0.0)).alias("r"))
 
@@ -170,6 +177,6 @@ def aslt_change(a: DataFrame, b: DataFrame) -> float:
 
 
 def fit_aslt(act: DataFrame, edges: DataFrame, users: DataFrame, iterations: int = 2, stop: float = 2e-4) -> tuple[DataFrame, int]:
-    ap, ex, inactive = (settled(x) for x in (S.active_parents(act, edges), S.exposed(act, edges), S.inactive_parents(act, edges)))
+    ap, ex = (settled(x) for x in (S.active_parents(act, edges), S.exposed(act, edges)))
     act = settled(act)
-    return fit(initial_w(edges, users), lambda p: aslt_step(p, act, ap, ex, inactive), aslt_change, stop, iterations)
+    return fit(initial_w(edges, users), lambda p: aslt_step(p, act, ap, ex), aslt_change, stop, iterations)

@@ -441,7 +441,7 @@ def aslt_g(s: SparkSession, d: str) -> DataFrame:
     """Chances to stay inactive (M1)."""
     act, g = act_of(s, d), graph_of(s, d)
     par = em.initial_w(g, graphs.vertices(nodes_of(s, d)))
-    return em.aslt_g(par, sequences.exposed(act, g), sequences.inactive_parents(act, g)).withColumn("g", F.round("g", 8))
+    return em.aslt_g(par, sequences.exposed(act, g)).withColumn("g", F.round("g", 8))
 
 
 @query(
