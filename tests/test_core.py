@@ -163,6 +163,10 @@ def test_samples(spark):
     assert sum(s == "test" for s in split.values()) == round(0.3 * 25)
     assert sorted(r["fold"] for r in sampling.folds(ids).collect()) == [0] * 9 + [1] * 9 + [2] * 7
     assert sampling.sample(ids, 4, 1).collect() == sampling.sample(ids.repartition(5), 4, 1).collect()
+    many = spark.range(1000).selectExpr("id * 7919 % 1009 x").repartition(7)
+    got = sampling.numbered(many, "n", "x").collect()
+    assert [r["n"] for r in sorted(got)] == list(range(1, 1001))
+    assert sampling.numbered(many.limit(0), "n", "x").columns == ["x", "n"] and sampling.numbered(many.limit(0), "n", "x").isEmpty()
 
 
 def test_features(nodes, graph):

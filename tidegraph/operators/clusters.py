@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.operators.sampling import numbered
 from tidegraph.plans.loops import settled
 
 
@@ -61,9 +62,7 @@ def cluster_error(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def heat_map(pairs: DataFrame, ids: DataFrame, cells: int = 1000) -> DataFrame:
     """Row, column and sum of similarity of the matrix binned to at most cells by cells."""
-    from pyspark.sql import Window
-
-    place = ids.select("cascade_id", (F.row_number().over(Window.orderBy("cascade_id")) - 1).alias("p"))
+    place = numbered(ids.select("cascade_id"), "p", "cascade_id").withColumn("p", F.col("p") - 1)
     n = ids.count()
     step = max(1, -(-n // cells))
     x, y = place.selectExpr("cascade_id i", "p p_i"), place.selectExpr("cascade_id j", "p p_j")
@@ -73,9 +72,7 @@ def heat_map(pairs: DataFrame, ids: DataFrame, cells: int = 1000) -> DataFrame:
 def spectral(pairs: DataFrame, ids: DataFrame, k: int, iterations: int = 20) -> DataFrame:
     """cascade_id, label by power iteration on the affinity."""
     from pyspark.ml.clustering import PowerIterationClustering
-    from pyspark.sql import Window
-
-    place = ids.select("cascade_id", F.row_number().over(Window.orderBy("cascade_id")).cast("long").alias("p"))
+    place = numbered(ids.select("cascade_id"), "p", "cascade_id")
     x, y = place.selectExpr("cascade_id i", "p src"), place.selectExpr("cascade_id j", "p dst")
     affinity = pairs.join(x, "i").join(y, "j").select("src", "dst", "sim")
     labels = PowerIterationClustering(k=k, maxIter=iterations, weightCol="sim", initMode="degree").assignClusters(affinity)

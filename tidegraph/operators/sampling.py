@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.plans.loops import settled
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with one more column, the place of each row in that order, from 1.
+
+    Spark sorts in ranges, and a row's place is that in its range after the rows of the ranges before; only the sizes of ranges, one for each task, meet in one window.
+    """
+    placed = settled(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(F.broadcast(before), "__part").withColumn(name, place).drop("__part", "__at", "__before")
+
 
 def shuffled(cascades: DataFrame, seed: int) -> DataFrame:
-    """cascade_id and place, from 1. Cascades are few; their ids, not their posts, are ordered in one window."""
-    w = Window.orderBy(F.md5(F.concat(F.col("cascade_id").cast("string"), F.lit(str(seed)))), "cascade_id")
-    return cascades.select("cascade_id").distinct().withColumn("place", F.row_number().over(w))
+    """cascade_id and place, from 1."""
+    by = F.md5(F.concat(F.col("cascade_id").cast("string"), F.lit(str(seed))))
+    return numbered(cascades.select("cascade_id").distinct(), "place", by, "cascade_id")
 
 
 def sample(cascades: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -25,7 +39,6 @@ def train_test(cascades: DataFrame, share: float = 0.3, seed: int = 0) -> DataFr
 
 def folds(cascades: DataFrame, k: int = 3) -> DataFrame:
     """cascade_id, fold: contiguous folds of ceil(n / k) by id."""
-    w = Window.orderBy("cascade_id")
-    numbered = cascades.select("cascade_id").distinct().withColumn("n", F.row_number().over(w))
-    total = numbered.agg(F.ceil(F.count(F.lit(1)) / k).alias("size"))
-    return numbered.crossJoin(F.broadcast(total)).select("cascade_id", F.floor((F.col("n") - 1) / F.col("size")).cast("int").alias("fold"))
+    ordered = numbered(cascades.select("cascade_id").distinct(), "n", "cascade_id")
+    total = ordered.agg(F.ceil(F.count(F.lit(1)) / k).alias("size"))
+    return ordered.crossJoin(F.broadcast(total)).select("cascade_id", F.floor((F.col("n") - 1) / F.col("size")).cast("int").alias("fold"))
