@@ -414,7 +414,9 @@ def _linked(docs: DataFrame, n: int, similar: int) -> DataFrame:
         if more.isEmpty():
             continue
         texts = packed_texts(docs, more.selectExpr("a doc_id").union(more.select("b")).distinct())
-        links = links.union(stored(verified(more, texts, n, similar), "more-links"))
-        tested, reached = tested.union(more), stored(components(links), "components")
+        joined, tested = stored(verified(more, texts, n, similar), "more-links"), tested.union(more)
+        if not joined.isEmpty():
+            links = links.union(joined)
+            reached = stored(components(links), "components")
     final = names.join(reached.hint("merge"), "node", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "node").alias("component"))
     return known.join(final.hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
