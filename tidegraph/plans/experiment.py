@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators import evaluate, features, graphs, sampling, trees
-from tidegraph.plans import em, predict, seqlabel
+from tidegraph.plans import em, mrf, predict, seqlabel
 from tidegraph.plans.loops import settled
 
 
@@ -38,8 +38,21 @@ def _lt(initial: DataFrame, graph: DataFrame, par: DataFrame, thresholds: list[f
     return predict.lt(initial, par, thresholds, max_step)
 
 
-def _memm(initial: DataFrame, graph: DataFrame, par: DataFrame, thresholds: list[float], max_step: int | None) -> DataFrame:
-    return seqlabel.predict(initial, graph, par, thresholds, max_step)
+def _sequences(crf: bool, long: bool, two_states: bool) -> tuple[Fit, Predict]:
+    """A model of receivers on cumulative or whole observations, with a state for each parent or two states."""
+
+    def fit(data: Data, graph: DataFrame, **constants: float) -> DataFrame:
+        ev = features.evidence(data.nodes, graph)
+        seen = features.long_features(ev) if long else features.bin_features(ev)
+        seen = seqlabel.binary(seen) if two_states else seen
+        if crf:
+            return seqlabel.fit_crf(seen, "on" if long else "seen", **constants)
+        return seqlabel.fit_memm(seen, *(("on", "lags") if long else ()), **constants)
+
+    def forecast(initial: DataFrame, graph: DataFrame, par: DataFrame, thresholds: list[float], max_step: int | None) -> DataFrame:
+        return (seqlabel.predict_crf if crf else seqlabel.predict)(initial, graph, par, thresholds, max_step, long, two_states)
+
+    return fit, forecast
 
 
 #: For each method, how it is fitted on (data, graph, **constants) and how it predicts.
@@ -48,8 +61,12 @@ METHODS: dict[str, tuple[Fit, Predict]] = {
     "daic": (lambda d, g, **c: em.fit_daic(d.act, g, **c)[0], _ic),
     "ctic": (lambda d, g, **c: em.fit_ctic(d.act, g, **c)[0], _ic),
     "aslt": (lambda d, g, **c: em.fit_aslt(d.act, g, graphs.vertices(d.nodes), **c)[0], _lt),
-    "mbmemm": (lambda d, g, **c: seqlabel.fit_memm(features.bin_features(features.evidence(d.nodes, g)), **c), _memm),
+    "unimrf": (lambda d, g, **c: mrf.fit(mrf.transitions(d.nodes, g), **c), mrf.predict),
 }
+for _crf in (False, True):
+    for _long in (False, True):
+        for _two in (False, True):
+            METHODS[("" if _two else "m") + ("l" if _long else "b") + ("crf" if _crf else "memm")] = _sequences(_crf, _long, _two)
 
 
 def parsed(tokens: list[list[str]]) -> dict[str, float | int | str | tuple[float, float]]:

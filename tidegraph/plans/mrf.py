@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.features import parent_index
+from tidegraph.plans import frontier
+from tidegraph.plans.loops import settled
 
 
 def transitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,3 +61,9 @@ def chances(steps: DataFrame, models: DataFrame) -> DataFrame:
     m = models.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("pos", "weight"))).alias("w"))
     z = F.aggregate("seen", F.coalesce(F.element_at("w", F.lit(0)), F.lit(0.0)), lambda x, p: x + F.coalesce(F.element_at("w", p.cast("int")), F.lit(0.0)))
     return steps.join(m, "v").withColumn("p", 1 / (1 + F.exp(-z))).drop("w")
+
+
+def predict(initial: DataFrame, edges: DataFrame, models: DataFrame, thresholds: list[float], max_step: int | None = None) -> DataFrame:
+    """threshold, cascade_id, user_id, parent_id, depth, probability: users join with these chances and follow the newly active source of the largest weight."""
+    models = settled(models)
+    return frontier.expand(initial, edges, models, frontier.mrf_judge(models), thresholds, max_step)

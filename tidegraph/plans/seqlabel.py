@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.features import parent_index
+from tidegraph.plans import frontier
 from tidegraph.plans.loops import settled
 
 WEIGHTS = "v long, pos int, weight double, n_active int, iterations int"
@@ -67,43 +67,21 @@ def fit_memm(features: DataFrame, column: str = "seen", width: int | str = 1, it
     return features.groupBy("v").applyInPandas(run, WEIGHTS)
 
 
-def chance(seen: DataFrame, models: DataFrame) -> DataFrame:
-    """seen (key columns, v, seen array, d) with p, the chance that v acts, from models fitted on bin features."""
-    m = models.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("pos", "weight"))).alias("w"), F.first("n_active").alias("n_active"))
-    s = seen.join(m, "v")
-    on = F.aggregate("seen", F.lit(0.0), lambda x, p: x + F.coalesce(F.element_at("w", p.cast("int")), F.lit(0.0)))
-    slack, total = F.element_at("w", F.lit(0)), F.col("d") + 1
-    z = on + slack * (total - F.size("seen")) + F.log(F.col("n_active").cast("double")) - slack * total
-    return s.withColumn("p", 1 / (1 + F.exp(-z))).drop("w", "n_active")
+def binary(features: DataFrame) -> DataFrame:
+    """features with the states 0 and 1 only, whoever is the parent."""
+    return features.withColumn("state", (F.col("state") > 0).cast("int"))
 
 
-def predict(initial: DataFrame, edges: DataFrame, models: DataFrame, thresholds: list[float], max_step: int | None = None) -> DataFrame:
-    """threshold, cascade_id, user_id, parent_id, depth, probability. Each round the inactive users next to the frontier that have a model
-    observe what is newly active; from the threshold on they join the first newly active source by position."""
-    spark = initial.sparkSession
-    idx = settled(parent_index(edges).join(models.select("v").distinct(), "v", "left_semi"))
+def predict(initial: DataFrame, edges: DataFrame, models: DataFrame, thresholds: list[float], max_step: int | None = None, long: bool = False, two_states: bool = False) -> DataFrame:
+    """threshold, cascade_id, user_id, parent_id, depth, probability, from models of fit_memm on bin_features (or with ``long``, on long_features); see frontier.expand."""
     models = settled(models)
-    thr = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    done = settled(initial.crossJoin(F.broadcast(thr)).select("threshold", "cascade_id", "user_id", "parent_id", "depth", F.lit(None).cast("double").alias("probability")))  # few thresholds
-    front = done.join(done.groupBy("threshold", "cascade_id").agg(F.max("depth").alias("depth")), ["threshold", "cascade_id", "depth"], "left_semi")
-    key = ["threshold", "cascade_id", "v"]
-    past = None
-    step = 0
-    while (max_step is None or step < max_step) and not front.isEmpty():
-        new = front.select("threshold", "cascade_id", F.col("user_id").alias("u"), "depth").join(idx, "u")
-        new = new.join(done.select("threshold", "cascade_id", F.col("user_id").alias("v")), key, "left_anti")
-        now = new.groupBy(*key).agg(F.array_sort(F.collect_set("pos")).alias("now"), F.first("d").alias("d"), F.min(F.struct("pos", "u", "depth")).alias("first"))
-        if past is not None:
-            now = now.join(past, key, "left").withColumn("seen", F.array_union("now", F.coalesce("past", F.array().cast("array<int>")))).drop("past")
-        else:
-            now = now.withColumn("seen", F.col("now"))
-        judged = settled(chance(now, models))
-        front = settled(judged.where("p >= threshold").select("threshold", "cascade_id", F.col("v").alias("user_id"), F.col("first.u").alias("parent_id"), (F.col("first.depth") + 1).alias("depth"), F.col("p").alias("probability")))
-        fresh = judged.where("p < threshold").select(*key, F.col("seen").alias("past"))
-        past = settled(fresh if past is None else past.join(fresh.select(*key), key, "left_anti").unionByName(fresh))
-        done = settled(done.unionByName(front))
-        step += 1
-    return done
+    return frontier.expand(initial, edges, models, frontier.memm_judge(models, long, two_states), thresholds, max_step)
+
+
+def predict_crf(initial: DataFrame, edges: DataFrame, models: DataFrame, thresholds: list[float], max_step: int | None = None, long: bool = False, two_states: bool = False) -> DataFrame:
+    """The same from models of fit_crf."""
+    models = settled(models)
+    return frontier.expand(initial, edges, models, frontier.crf_judge(models, long, two_states), thresholds, max_step)
 
 
 # linear-chain CRFs
@@ -169,23 +147,25 @@ def crf_value(weights: np.ndarray, sequences: list[tuple[np.ndarray, np.ndarray]
     return value, np.concatenate([ge.ravel(), gm.ravel()])
 
 
-def fit_crf(features: DataFrame, column: str = "seen", width: int = 1, c2: float = 1.0, iterations: int = 100) -> DataFrame:
-    """v, kind (emit or move), state, other (feature or next state), weight. Each sequence starts with an empty observation in state 0."""
+def fit_crf(features: DataFrame, column: str = "seen", c2: float = 1.0, iterations: int = 100) -> DataFrame:
+    """v, kind (emit or move), state, other (feature or next state), weight; features that a receiver never has are left out, their weight is 0.
+    Each sequence starts with an empty observation in state 0. features: bin_features, or long_features with column="on"."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         columns = ["v", "kind", "state", "other", "weight"]
         if not (df["state"] > 0).any():
             return pd.DataFrame([], columns=columns)
-        d = int(df["d"].iloc[0]) * width
+        used = np.unique(np.concatenate([np.asarray(x, dtype=int) for x in df[column]]))
+        d = len(used)
         names = sorted({0, *df["state"]})
         number = {s: i for i, s in enumerate(names)}
         sequences = []
         for _, one in df.sort_values("depth", kind="stable").groupby("cascade_id", sort=True):
-            x = _matrix(one[column], d, one["slack"])[:, :-1]
+            x = _matrix(one[column].map(lambda on: np.searchsorted(used, on) + 1), d, one["slack"])[:, :-1]
             sequences.append((np.vstack([np.zeros(d), x]), np.array([0, *(number[s] for s in one["state"])])))
         n = len(names)
         w = lbfgs(lambda w: crf_value(w, sequences, n, c2), np.zeros(n * d + n * n), iterations)
-        emit = [(names[i], j + 1, w[i * d + j]) for i in range(n) for j in range(d)]
+        emit = [(names[i], int(used[j]), w[i * d + j]) for i in range(n) for j in range(d)]
         move = [(names[i], names[j], w[n * d + i * n + j]) for i in range(n) for j in range(n)]
         out = pd.DataFrame([("emit", *r) for r in emit] + [("move", *r) for r in move], columns=columns[1:])
         out.insert(0, "v", df["v"].iloc[0])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import scalar as C
 from tidegraph.operators import cascades, clusters, evaluate, features, graphs, sampling, sequences, trees
-from tidegraph.plans import em, mln, mrf, predict, seqlabel
+from tidegraph.plans import em, experiment, mln, mrf, predict, seqlabel
 from tidegraph.plans.loops import settled
 from tidegraph.sources import adapter
 
@@ -735,6 +735,49 @@ def crf_fit(s: SparkSession, d: str) -> DataFrame:
     return seqlabel.fit_crf(features.bin_features(evidence_of(s, d)))
 
 
+@query()
+def memm_long_predict(s: SparkSession, d: str) -> DataFrame:
+    """Prediction with maximum-entropy models on whole histories until no frontier grows (M8)."""
+    return _predicted(s, d, "mlmemm")
+
+
+@query()
+def memm_binary_predict(s: SparkSession, d: str) -> DataFrame:
+    """Prediction with two states; the parent is the newly active source of the largest weight."""
+    return _predicted(s, d, "bmemm")
+
+
+@query()
+def crf_predict(s: SparkSession, d: str) -> DataFrame:
+    """Prediction with CRFs until no frontier grows; the parent is the likeliest newly active state (M9)."""
+    return _predicted(s, d, "mbcrf")
+
+
+@query()
+def crf_long_predict(s: SparkSession, d: str) -> DataFrame:
+    """The same on whole histories."""
+    return _predicted(s, d, "mlcrf")
+
+
+@query()
+def crf_binary_predict(s: SparkSession, d: str) -> DataFrame:
+    """The same with two states."""
+    return _predicted(s, d, "bcrf")
+
+
+@query()
+def mrf_predict(s: SparkSession, d: str) -> DataFrame:
+    """Prediction with the random field."""
+    return _predicted(s, d, "unimrf")
+
+
+def _predicted(s: SparkSession, d: str, method: str) -> DataFrame:
+    """What a method fitted on all cascades predicts from their first two levels, at 0.3."""
+    fit, forecast = experiment.METHODS[method]
+    n, g = nodes_of(s, d), graph_of(s, d)
+    return forecast(trees.truncated(n, 1), g, fit(experiment.Data(n, n), g), [0.3], None)
+
+
 _MR = f"""{_EV.split('se AS')[0]}ms AS (SELECT n.cascade_id, ix.v, n.depth, list(ix.pos) AS active, any_value(ix.d) AS d, any_value(o.depth) AS own FROM nodes n JOIN ix ON ix.u = n.user_id LEFT JOIN nodes o ON o.cascade_id = n.cascade_id AND o.user_id = ix.v WHERE o.depth IS NULL OR n.depth < o.depth GROUP BY 1, 2, 3),
 mt AS (SELECT cascade_id, v, depth, list_sort(list_distinct(flatten(list(active) OVER (PARTITION BY cascade_id, v ORDER BY depth ROWS UNBOUNDED PRECEDING)))) AS seen, d, CAST(coalesce(own = depth + 1, false) AS INT) AS state FROM ms)"""
 
