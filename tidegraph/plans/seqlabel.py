@@ -117,34 +117,49 @@ def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, mo
     return x
 
 
-def crf_value(weights: np.ndarray, sequences: list[tuple[np.ndarray, np.ndarray]], n_states: int, c2: float = 1.0) -> tuple[float, np.ndarray]:
-    """Negative log-likelihood with a squared penalty, and its gradient. A sequence is (features by step, states by step)."""
-    d = sequences[0][0].shape[1]
-    emit, move = weights[: n_states * d].reshape(n_states, d), weights[n_states * d :].reshape(n_states, n_states)
-    ge, gm, value = 2 * c2 * emit, 2 * c2 * move, c2 * float(weights @ weights)
+#: Sequences of one length that are worked on at once.
+TOGETHER = 256
 
-    def lse(a: np.ndarray, axis: int) -> np.ndarray:
-        m = a.max(axis=axis, keepdims=True)
-        return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
+def together(sequences: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of equal lengths stacked, ``TOGETHER`` at a time."""
+    by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for x, y in sequences:
-        s = x @ emit.T
-        n = len(y)
-        f, b = np.zeros((n, n_states)), np.zeros((n, n_states))
-        f[0] = s[0]
-        for t in range(1, n):
-            f[t] = s[t] + lse(f[t - 1][:, None] + move, 0)
-        for t in range(n - 2, -1, -1):
-            b[t] = lse(move + (s[t + 1] + b[t + 1])[None, :], 1)
-        z = lse(f[-1][None, :], 1)[0]
-        p = np.exp(f + b - z)
-        value += z - s[np.arange(n), y].sum() - move[y[:-1], y[1:]].sum()
-        ge = ge + p.T @ x
-        np.add.at(ge, y, -x)
-        for t in range(1, n):
-            gm = gm + np.exp(f[t - 1][:, None] + move + (s[t] + b[t])[None, :] - z)
-        np.add.at(gm, (y[:-1], y[1:]), -1.0)
-    return value, np.concatenate([ge.ravel(), gm.ravel()])
+        by.setdefault(len(y), []).append((x, y))
+    return [(np.stack([x for x, _ in some[i : i + TOGETHER]]), np.stack([y for _, y in some[i : i + TOGETHER]])) for _, some in sorted(by.items()) for i in range(0, len(some), TOGETHER)]
+
+
+def crf_value(weights: np.ndarray, sequences: list[tuple[np.ndarray, np.ndarray]], n_states: int, c2: float = 1.0) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood with a squared penalty, and its gradient. A sequence is (features by step, states by step), or several of one length stacked.
+    Chances are scaled to a sum of 1 at each step; where they leave the range of numbers the value is infinite."""
+    d = sequences[0][0].shape[-1]
+    emit, move = weights[: n_states * d].reshape(n_states, d), weights[n_states * d :].reshape(n_states, n_states)
+    ge, gm, value = 2 * c2 * emit, 2 * c2 * move, c2 * float(weights @ weights)
+    big = move.max()
+    m = np.exp(move - big)
+    with np.errstate(all="ignore"):
+        for x, y in sequences:
+            if x.ndim == 2:
+                x, y = x[None], y[None]
+            n = y.shape[1]
+            s = x @ emit.T
+            top = s.max(axis=2, keepdims=True)
+            e = np.exp(s - top)
+            f, b, c = np.empty_like(e), np.ones_like(e), np.empty(y.shape)
+            for t in range(n):
+                now = e[:, t] * (f[:, t - 1] @ m) if t else e[:, 0]
+                c[:, t] = now.sum(axis=1)
+                f[:, t] = now / c[:, t, None]
+            for t in range(n - 2, -1, -1):
+                b[:, t] = (e[:, t + 1] * b[:, t + 1]) @ m.T / c[:, t + 1, None]
+            value += float(np.log(c).sum() + top.sum() + big * (n - 1) * len(y) - np.take_along_axis(s, y[:, :, None], 2).sum() - move[y[:, :-1], y[:, 1:]].sum())
+            flat = x.reshape(-1, d)
+            ge = ge + (f * b).reshape(-1, n_states).T @ flat
+            np.add.at(ge, y.ravel(), -flat)
+            after = e[:, 1:] * b[:, 1:] / c[:, 1:, None]
+            gm = gm + m * (f[:, :-1].reshape(-1, n_states).T @ after.reshape(-1, n_states))
+            np.add.at(gm, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1.0)
+    return value if np.isfinite(value) else np.inf, np.concatenate([ge.ravel(), gm.ravel()])
 
 
 def fit_crf(features: DataFrame, column: str = "seen", c2: float = 1.0, iterations: int = 100) -> DataFrame:
@@ -163,8 +178,8 @@ def fit_crf(features: DataFrame, column: str = "seen", c2: float = 1.0, iteratio
         for _, one in df.sort_values("depth", kind="stable").groupby("cascade_id", sort=True):
             x = _matrix(one[column].map(lambda on: np.searchsorted(used, on) + 1), d, one["slack"])[:, :-1]
             sequences.append((np.vstack([np.zeros(d), x]), np.array([0, *(number[s] for s in one["state"])])))
-        n = len(names)
-        w = lbfgs(lambda w: crf_value(w, sequences, n, c2), np.zeros(n * d + n * n), iterations)
+        n, stacked = len(names), together(sequences)
+        w = lbfgs(lambda w: crf_value(w, stacked, n, c2), np.zeros(n * d + n * n), iterations)
         emit = [(names[i], int(used[j]), w[i * d + j]) for i in range(n) for j in range(d)]
         move = [(names[i], names[j], w[n * d + i * n + j]) for i in range(n) for j in range(n)]
         out = pd.DataFrame([("emit", *r) for r in emit] + [("move", *r) for r in move], columns=columns[1:])
