@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontaminate, jaccard, language, packing, quality, sharding, substrings, suffixes, tokens, warc
+from tidegraph.llm import centroids, decontaminate, divergence, jaccard, language, packing, quality, sharding, site_templates, substrings, suffixes, tokens, warc
 from tidegraph.llm.common import table
 
 
@@ -67,9 +67,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page, without what its host repeats."""
+    out = site_templates.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.select("page_id", "url", "__main.text", "__main.n_chars")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of each vector after three rounds from 16 of them."""
+    out = centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return out.select("vec_id", "__cluster.*")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of each source differ from those of its language and of the other sources."""
+    return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_warc, op3_suffix_array, op4_language_id, op5_jaccard_join, op6_packing, op7_substrings, op8_sharding, op9_quality, op10_token_counts)
-}
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_warc, op3_suffix_array, op4_language_id, op5_jaccard_join, op6_packing, op7_substrings, op8_sharding, op9_quality, op10_token_counts,
+        op11_html, op12_centroids, op13_divergence,
+    )
+}
 
 #: Words of a lower-cased text, its five-word shingles, for DuckDB.
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -88,7 +109,39 @@ def _shingles(source: str, key: str, name: str, text: str = _LOWER) -> str:
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INT >> {15 - 5 * j}) & 31) + 1, 1)" for i in range(8) for j in range(4))
 
+#: One round of Lloyd's over the kept vectors v (q, n) and centroids c{i}.
+def _lloyd(i: int) -> str:
+    near = f"a{i} AS (SELECT q, n, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT q, n, cluster, list_sum(list_transform(range(1, 65), lambda j: (q[j] - c[j]) * (q[j] - c[j])))::BIGINT AS d FROM v, c{i}) GROUP BY q, n)"
+    if i == 3:
+        return near
+    cell = "list_transform(range(1, 65), lambda j: 0)"
+    return f"""{near}, u{i} AS (SELECT cluster, j, sum(n)::BIGINT AS m, sum(n * q[j])::BIGINT AS s FROM a{i}, (SELECT unnest(range(1, 65)) AS j) GROUP BY 1, 2),
+m{i} AS (SELECT cluster, list((s - ((s % m) + m) % m) // m ORDER BY j) AS c FROM u{i} GROUP BY 1),
+c{i + 1} AS (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""".replace(cell, "")
+
+
+_F = "((p - q) * (p - q)) // q"
+_P = "(1 + (1000000000 * ({} + 1)::HUGEINT) // ({} + v))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_centroids": f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT q, count(*) AS n FROM e GROUP BY 1),
+c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS cluster, q AS c FROM (SELECT q, sha256('1:' || vec_id) AS h FROM e ORDER BY h NULLS LAST, q LIMIT 16)),
+{", ".join(_lloyd(i) for i in range(4))},
+t AS (SELECT cluster, sum(n * d)::BIGINT AS s FROM a3 GROUP BY 1)
+SELECT vec_id, cluster::INTEGER AS cluster, d AS distance, s AS cluster_inertia, (SELECT sum(s) FROM t)::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM e JOIN a3 USING (q) JOIN t USING (cluster) JOIN c3 USING (cluster)""",
+    "op13_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+o AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(n, 0)::BIGINT AS n, coalesce(v, 0)::BIGINT AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM o GROUP BY 1, 2) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY 1) USING (lang)),
+l AS (SELECT lang, sum(n)::BIGINT AS n, any_value(v) AS v FROM g GROUP BY 1),
+p AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS c, {_P.format("coalesce(o.n, 0)", "g.n")} AS p FROM g JOIN k USING (lang) LEFT JOIN o USING (lang, source, term)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum({_F.replace("p - q", "a.p - b.p").replace("// q", "// b.p")}) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT lang, source, 'term' AS part, term AS item, ({_F})::BIGINT AS value FROM (SELECT p.lang, source, p.term, p, {_P.format("total", "l.n")} AS q FROM p JOIN k USING (lang, term) JOIN l ON l.lang = p.lang WHERE c > 0) WHERE p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM y
+UNION ALL SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM z QUALIFY rank <= 200""",
     "op2_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
