@@ -326,7 +326,7 @@ def test_sequence_models_learn_and_predict(nodes, graph):
     out = seqlabel.predict(trees.truncated(nodes, 0), graph, models, [0.0])
     assert {(r["cascade_id"], r["user_id"]) for r in out.collect()} == {("c1", 1), ("c1", 2), ("c1", 3), ("c1", 4), ("c2", 1), ("c2", 2), ("c2", 3), ("c2", 4), ("c3", 2), ("c3", 3), ("c3", 4)}
     assert seqlabel.fit_crf(features.bin_features(features.evidence(nodes, graph))).where("weight is null").isEmpty()
-    assert mrf.chances(mrf.transitions(nodes, graph), mrf.fit(mrf.transitions(nodes, graph), samples=100)).where("p < 0 or p > 1").isEmpty()
+    assert mrf.chances(mrf.transitions(nodes, graph), mrf.fit(nodes, graph, iterations=2)).where("p < 0 or p > 1").isEmpty()
 
 
 def test_clusters(spark, act):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tidegraph.operators import features, graphs, trees
-from tidegraph.plans import experiment
+from tidegraph.plans import experiment, mrf
 from tidegraph.plans.loops import settled
 
 USERS, THRESHOLDS = 9, [0.05, 0.3, 0.7]
@@ -38,7 +38,7 @@ def probability(method: str, w: dict, seen: list[list[int]], d: int, n_active: i
 
     new, multi = seen[-1], method.startswith("m")
     if method == "unimrf":
-        return 1 / (1 + math.exp(-w[0] - sum(w[p] for p in on(seen)))), {p: w[p] for p in new}
+        return 1 / (1 + math.exp(-sum(w[p] for p in on(seen)))), {p: w[p] for p in new}
     if method.endswith("memm"):
         width = len(w) - 1
         x = {p for p in on(seen) if p <= width}
@@ -62,6 +62,8 @@ def plain(method: str, initial: list, edges: list, models: dict, n_active: dict,
     for c in {r[0] for r in initial}:
         depth = {u: d for x, u, d in initial if x == c}
         front, seen = {u for u in depth if depth[u] == max(depth.values())}, {}
+        if method == "unimrf":  # the state of every active source counts, those above the last level too
+            seen = {v: [older] for v, us in sources.items() if (older := [i + 1 for i, u in enumerate(us) if u in depth and u not in front])}
         while front:
             joined = {}
             for v, us in sources.items():
@@ -82,7 +84,7 @@ def plain(method: str, initial: list, edges: list, models: dict, n_active: dict,
 def test_predictions_are_those_of_a_plain_loop(data, method):
     nodes, graph = data
     fit, forecast = experiment.METHODS[method]
-    par = settled(fit(experiment.Data(nodes, nodes), graph, **({"samples": 500} if method == "unimrf" else {"iterations": 40})))
+    par = settled(fit(experiment.Data(nodes, nodes), graph, **({"iterations": 4} if method == "unimrf" else {"iterations": 40})))
     models: dict = {}
     for r in par.collect():
         models.setdefault(r["v"], {})[r["pos"] if "pos" in par.columns else (r["kind"], r["state"], r["other"])] = r["weight"]
@@ -100,6 +102,14 @@ def test_predictions_are_those_of_a_plain_loop(data, method):
     assert some
 
 
+def test_a_source_of_a_shallow_level_counts(spark):
+    start = spark.createDataFrame([("c", 1, None, None, 0), ("c", 2, 1, None, 1)], "cascade_id string, user_id long, parent_id long, act_time timestamp, depth int")
+    edges = spark.createDataFrame([(1, 3), (2, 3), (1, 2)], "src long, dst long")
+    models = spark.createDataFrame([(3, 0, 9.0), (3, 1, 4.0), (3, 2, -1.0)], "v long, pos int, weight double")
+    got = mrf.predict(start, edges, models, [0.5]).where("user_id = 3").collect()
+    assert [(r["parent_id"], r["depth"]) for r in got] == [(2, 2)] and got[0]["probability"] == pytest.approx(1 / (1 + math.exp(-3)))
+
+
 def test_empty_and_unknown(spark, data):
     nodes, graph = data
     fit, forecast = experiment.METHODS["mbcrf"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.sampling import numbered
@@ -34,15 +34,64 @@ def connected(pairs: DataFrame, ids: DataFrame, least: float) -> DataFrame:
         now = nxt.drop("moved")
 
 
-def dbscan(pairs: DataFrame, ids: DataFrame, eps: float = 0.001, min_points: int = 5) -> DataFrame:
-    """Density clusters where, as in the data sets' use of it, the similarity takes the place of a distance: neighbours have sim <= eps, implicit zeros
-    included. So each cascade's number of neighbours follows from its pairs over eps, without the zeros being made."""
+def density_cores(pairs: DataFrame, ids: DataFrame, eps: float = 0.001, min_points: int = 5) -> DataFrame:
+    """cascade_id, neighbours, core. As in the data sets' use of it the similarity takes the place of a distance: neighbours have sim <= eps, implicit zeros and the
+    cascade itself included. So each cascade's number of neighbours follows from its pairs over eps, without the zeros being made."""
     n = ids.count()
     far = pairs.where(F.col("sim") > eps)
     count = far.select("i").union(far.select("j")).groupBy(F.col("i").alias("cascade_id")).agg(F.count(F.lit(1)).alias("far"))
     return ids.join(count, "cascade_id", "left").select("cascade_id", (n - F.coalesce("far", F.lit(0))).alias("neighbours")).withColumn("core", F.col("neighbours") >= min_points)
 
 
+def _nearest_label(far: DataFrame, labels: DataFrame) -> DataFrame:
+    """i, best: for each i of far (i, j) that is far from all members of the first labels, the first label (1 ..) with a member that is not; other i are near label 1.
+
+    labels: cascade_id, label. A label is excluded for i if as many of its members are far from i as it has; the first that is not is the first gap in the excluded ones.
+    """
+    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    hits = far.join(labels.select(F.col("cascade_id").alias("j"), "label"), "j").groupBy("i", "label").agg(F.count(F.lit(1)).alias("n"))
+    excluded = hits.join(size, "label").where("n = members")
+    place = F.row_number().over(Window.partitionBy("i").orderBy("label"))
+    return excluded.withColumn("place", place).where("label = place").groupBy("i").agg((F.max("label") + 1).alias("best"))
+
+
+def near_components(far: DataFrame, ids: DataFrame) -> DataFrame:
+    """cascade_id, label (1 ..): components of the graph in which all pairs are linked but those of far (i, j in both directions), numbered by their smallest id.
+
+    Links are not made. In each round a component is hooked to the first one that it is linked with, which follows from counting the pairs that are far; the
+    components that remain are numbered anew. Rounds grow with the logarithm of the number of ids.
+    """
+    now = settled(numbered(ids.select("cascade_id"), "label", "cascade_id"))
+    while True:
+        best = now.join(_nearest_label(far, now), now["cascade_id"] == F.col("i"), "left").groupBy("label").agg(F.min(F.coalesce("best", F.lit(1))).alias("to"))
+        up = settled(best.select("label", F.least("label", "to").alias("to")))
+        if up.where("to < label").isEmpty():
+            return now
+        while True:  # chains of hooks
+            over = up.select(F.col("label").alias("to"), F.col("to").alias("top"))
+            far_up = settled(up.join(over, "to").select("label", F.col("top").alias("to"), (F.col("top") < F.col("to")).alias("moved")))
+            up = far_up.select("label", "to")
+            if far_up.where("moved").isEmpty():
+                break
+        tops = numbered(up.select("to").distinct(), "number", "to")
+        now = settled(now.join(up.join(tops, "to"), "label").select("cascade_id", F.col("number").alias("label")))
+
+
+def dbscan(pairs: DataFrame, ids: DataFrame, eps: float = 0.001, min_points: int = 5) -> DataFrame:
+    """cascade_id, core, label: density clusters with similarity as distance (see density_cores). Linked cores share a label, from 0 by the smallest id of their cores;
+    other cascades get the first label that has a core next to them, or -1."""
+    known = settled(density_cores(pairs, ids, eps, min_points))
+    cores = known.where("core").select("cascade_id")
+    off = pairs.where(F.col("sim") > eps)
+    far = off.select("i", "j").union(off.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    far = settled(far.join(cores.select(F.col("cascade_id").alias("j")), "j", "left_semi").select("i", "j"))
+    labels = near_components(settled(far.join(cores.select(F.col("cascade_id").alias("i")), "i", "left_semi").select("i", "j")), cores)
+    many = labels.agg(F.coalesce(F.max("label"), F.lit(0)).alias("m")).first()["m"]
+    rest = known.where("not core").join(_nearest_label(far, labels), known["cascade_id"] == F.col("i"), "left").withColumn("best", F.coalesce("best", F.lit(1)))
+    border = rest.select("cascade_id", "core", F.when(F.col("best") <= many, F.col("best") - 1).otherwise(-1).cast("int").alias("label"))
+    return known.where("core").join(labels, "cascade_id").select("cascade_id", "core", (F.col("label") - 1).cast("int").alias("label")).unionByName(border)
+
+
 def within_means(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """label, n, mean_sim over the pairs inside, zeros included."""
     size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -61,7 +61,7 @@ METHODS: dict[str, tuple[Fit, Predict]] = {
     "daic": (lambda d, g, **c: em.fit_daic(d.act, g, **c)[0], _ic),
     "ctic": (lambda d, g, **c: em.fit_ctic(d.act, g, **c)[0], _ic),
     "aslt": (lambda d, g, **c: em.fit_aslt(d.act, g, graphs.vertices(d.nodes), **c)[0], _lt),
-    "unimrf": (lambda d, g, **c: mrf.fit(mrf.transitions(d.nodes, g), **c), mrf.predict),
+    "unimrf": (lambda d, g, **c: mrf.fit(d.nodes, g, **c), mrf.predict),
 }
 for _crf in (False, True):
     for _long in (False, True):

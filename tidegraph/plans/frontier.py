@@ -21,14 +21,19 @@ KEY = ["threshold", "cascade_id", "v"]
 Judge = Callable[[DataFrame], DataFrame]
 
 
-def expand(initial: DataFrame, edges: DataFrame, users: DataFrame, judge: Judge, thresholds: list[float], max_step: int | None = None) -> DataFrame:
-    """threshold, cascade_id, user_id, parent_id, depth, probability. users: v of those that have a model. Ends when no frontier grows, or after max_step rounds."""
+def expand(initial: DataFrame, edges: DataFrame, users: DataFrame, judge: Judge, thresholds: list[float], max_step: int | None = None, whole: bool = False) -> DataFrame:
+    """threshold, cascade_id, user_id, parent_id, depth, probability. users: v of those that have a model. Ends when no frontier grows, or after max_step rounds.
+    With ``whole``, the sources that are active above the last level of the given tree are in past from the beginning; else observations begin with that level."""
     spark = initial.sparkSession
     idx = settled(parent_index(edges).join(users.select("v").distinct(), "v", "left_semi"))
     thr = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
     done = settled(initial.crossJoin(F.broadcast(thr)).select("threshold", "cascade_id", "user_id", "parent_id", "depth", F.lit(None).cast("double").alias("probability")))  # few thresholds
     front = done.join(done.groupBy("threshold", "cascade_id").agg(F.max("depth").alias("depth")), ["threshold", "cascade_id", "depth"], "left_semi")
     past, step = None, 0
+    if whole:
+        older = done.join(front.select("threshold", "cascade_id", "user_id"), ["threshold", "cascade_id", "user_id"], "left_anti")
+        known = older.select("threshold", "cascade_id", F.col("user_id").alias("u")).join(idx, "u").join(done.select("threshold", "cascade_id", F.col("user_id").alias("v")), KEY, "left_anti")
+        past = settled(known.groupBy(*KEY).agg(F.array_sort(F.collect_set("pos")).alias("past")).withColumn("q", F.lit(None).cast("map<int,double>")))
     while (max_step is None or step < max_step) and not front.isEmpty():
         new = front.select("threshold", "cascade_id", F.col("user_id").alias("u"), "depth").join(idx, "u")
         new = new.join(done.select("threshold", "cascade_id", F.col("user_id").alias("v")), KEY, "left_anti")
@@ -84,12 +89,12 @@ def memm_judge(models: DataFrame, long: bool = False, binary: bool = False) -> J
 
 
 def mrf_judge(models: DataFrame) -> Judge:
-    """Models of mrf.fit; the followed source is the newly active one with the largest weight."""
+    """Models of mrf.fit: all sources that are active count; the followed one is the newly active one with the largest weight."""
     m = settled(_weights(models))
 
     def judge(now: DataFrame) -> DataFrame:
         s = now.join(m, "v").withColumn("past", _features(False))
-        z = F.aggregate("past", _of("w", F.lit(0)), lambda x, p: x + _of("w", p))
+        z = F.aggregate("past", F.lit(0.0), lambda x, p: x + _of("w", p))
         return s.withColumn("p", _logistic(z)).withColumn("parent", _strongest("w", float("-inf")))
 
     return judge

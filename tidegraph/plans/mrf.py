@@ -1,15 +1,24 @@
-"""A Markov random field of users and their sources over two time slices, fitted with Gibbs samples."""
+"""A Markov random field of all users over two time slices, fitted by gradient ascent with joint Gibbs samples.
+
+A user i is active before (slice 0) and after (slice 1) a step; who was active stays so. The field's weight of a state is exp of the sum, over users i that have
+sources, of S1(i) times (w(i,i) S0(i) + the sum over sources u of w(u,i) S0(u)). So the two slices are the two colours of the field's graph: given one slice, all users
+of the other are independent, and a sweep resamples each slice by one join over the edges and one sum, sources and receivers alike.
+
+Chains are bits: a BIGINT of a user holds its state in 64 chains, and there is a row (word) for each 64 chains. Random numbers are hashes of seed, sweep, slice, user, word and chain,
+so a task that runs again draws the same.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.features import parent_index
 from tidegraph.plans import frontier
-from tidegraph.plans.loops import settled
+from tidegraph.plans.loops import settled, written
+
+#: Chains in a word.
+BITS = 64
 
 
 def transitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,42 +37,106 @@ def feature_sums(steps: DataFrame) -> DataFrame:
     return steps.select("v", "state", F.explode("seen").alias("pos")).groupBy("v", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("state").alias("n_active"))
 
 
-def fit(steps: DataFrame, iterations: int = 50, eta: float = 0.01, eps: float = 1e-6, samples: int = 100_000, seed: int = 0) -> DataFrame:
-    """v, pos (0: bias), weight: gradient ascent on the observed states, expectations from ``samples`` draws of v's next state; seeded by v.
+def field_edges(edges: DataFrame) -> DataFrame:
+    """u, v, pos: sources of each user by position, and each user that has sources as its own source at position 0."""
+    idx = parent_index(edges)
+    return idx.select("u", "v", "pos").unionByName(idx.select("v").distinct().select(F.col("v").alias("u"), "v", F.lit(0).alias("pos")))
+
+
+def joint_sums(nodes: DataFrame, field: DataFrame) -> DataFrame:
+    """u, v, pos, c: steps between levels of all cascades in which u is active before and v after. Of a cascade of depth d these are the steps from the level of u, or the one above v, on: they are counted, not made."""
+    deep = nodes.groupBy("cascade_id").agg(F.max("depth").alias("deepest"))
+    a = nodes.join(deep, "cascade_id").select("cascade_id", F.col("user_id").alias("u"), F.col("depth").alias("d_u"), "deepest")
+    b = nodes.select("cascade_id", F.col("user_id").alias("v"), F.col("depth").alias("d_v"))
+    steps = F.col("deepest") - F.greatest("d_u", F.col("d_v") - 1)
+    both = a.join(field, "u").join(b, ["cascade_id", "v"]).where(steps > 0)
+    found = both.groupBy("u", "v").agg(F.sum(steps).alias("c"))
+    return field.join(found, ["u", "v"], "left").select("u", "v", "pos", F.coalesce("c", F.lit(0)).cast("double").alias("c"))
+
+
+def n_steps(nodes: DataFrame) -> int:
+    """Steps between levels of all cascades."""
+    return nodes.groupBy("cascade_id").agg(F.max("depth").alias("d")).agg(F.sum("d").alias("n")).first()["n"] or 0
+
+
+def no_states(edges: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The start of both slices: nobody is active. (u, word, round, s0) of all users, (v, word, s1) of those with sources."""
+    users = edges.select(F.col("src").alias("u")).union(edges.select("dst")).distinct()
+    word = F.explode(F.sequence(F.lit(0), F.lit(words - 1))).alias("word")
+    zero = F.lit(0).cast("long")
+    return users.select("u", word).select("u", "word", F.lit(0).alias("round"), zero.alias("s0")), edges.select(F.col("dst").alias("v")).distinct().select("v", word).select("v", "word", zero.alias("s1"))
+
+
+def _drawn(sums: DataFrame, slice_: int, seed: int) -> str:
+    """SQL of the bits that come up in each chain of a word; sums has id, word, round and z0 to z63, the field at the user in each chain."""
+    one = "shiftleft(if(pmod(xxhash64({seed}, {slice}, round, id, word, {k}), 9007199254740992L) / 9007199254740992D < 1D / (1D + exp(-z{k})), 1L, 0L), {k})"
+    return " | ".join(one.format(seed=seed, slice=slice_, k=k) for k in range(BITS))
 
-    Draws are made as counts by step, which have the same distribution.
-    """
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["cascade_id", "depth"], kind="stable")
-        v, d = df["v"].iloc[0], int(df["d"].iloc[0])
-        x = np.zeros((len(df), d + 1))
-        x[:, 0] = 1
-        for i, places in enumerate(df["seen"]):
-            x[i, np.asarray(places, dtype=int)] = 1
-        y = df["state"].to_numpy(float)
-        lam = np.zeros(d + 1)
-        rng = np.random.default_rng([seed, abs(int(v))])
-        for _ in range(iterations):
-            picked = rng.multinomial(samples, np.full(len(x), 1 / len(x)))
-            drawn = rng.binomial(picked, 1 / (1 + np.exp(-np.clip(x @ lam, -700, 700))))
-            g = (y @ x) / len(x) - (drawn @ x) / samples
-            lam += eta * len(x) * g
-            if np.linalg.norm(eta * g) < eps:
-                break
-        return pd.DataFrame({"v": v, "pos": range(d + 1), "weight": lam})
-
-    return steps.groupBy("v").applyInPandas(run, "v long, pos int, weight double")
+def _fields(state: str, weight: str = "weight") -> list:
+    return [F.expr(f"sum(if(getbit({state}, {k}) = 1, {weight}, 0D))").alias(f"z{k}") for k in range(BITS)]
+
+
+def after(field: DataFrame, s0: DataFrame, seed: int = 0) -> DataFrame:
+    """v, word, round, s1: the second slice drawn from the first. field: u, v, weight, the weights of users themselves included. Who was active stays so."""
+    own = F.max(F.when(F.col("u") == F.col("v"), F.col("s0"))).alias("own")
+    z = field.join(s0, "u").groupBy(F.col("v").alias("id"), "word", "round").agg(*_fields("s0"), own)
+    return z.select(F.col("id").alias("v"), "word", "round", F.expr(f"coalesce(own, 0L) | {_drawn(z, 1, seed)}").alias("s1"))
+
+
+def before(field: DataFrame, s1: DataFrame, seed: int = 0) -> DataFrame:
+    """u, word, round, s0: the first slice drawn from the second, by the weights of a user's receivers; round is one more. Who has sources and is inactive after was so before."""
+    own = F.coalesce(F.max(F.when(F.col("u") == F.col("v"), F.col("s1"))), F.lit(-1).cast("long")).alias("own")
+    z = field.join(s1, "v").groupBy(F.col("u").alias("id"), "word", "round").agg(*_fields("s1"), own)
+    return z.select(F.col("id").alias("u"), "word", (F.col("round") + 1).alias("round"), F.expr(f"own & ({_drawn(z, 0, seed)})").alias("s0"))
+
+
+def expectations(field: DataFrame, s0: DataFrame, s1: DataFrame) -> DataFrame:
+    """u, v, e: the share of chains in which u is active before and v after."""
+    both = field.select("u", "v").join(s0.select("u", "word", "s0"), "u").join(s1.select("v", "word", "s1"), ["v", "word"])
+    return both.groupBy("u", "v").agg((F.sum(F.bit_count(F.col("s0").bitwiseAND(F.col("s1")))) / (F.count(F.lit(1)) * BITS)).alias("e"))
+
+
+def sampled(field: DataFrame, edges: DataFrame, sweeps: int, words: int = 1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Both slices of the field after so many sweeps from the state in which nobody is active."""
+    s0, s1 = no_states(edges, words)
+    for _ in range(sweeps):
+        s1 = written(after(field, s0, seed), "after")
+        s0 = written(before(field, s1, seed), "before")
+    return s0, written(after(field, s0, seed), "after") if sweeps else s1
+
+
+def fit(nodes: DataFrame, edges: DataFrame, iterations: int = 50, eta: float = 0.01, eps: float = 1e-6, chains: int = 64, burn: int = 3, seed: int = 0) -> DataFrame:
+    """v, pos (0: v's own state before), weight: gradient ascent from weights of 1 on the likelihood of all steps between levels.
+
+    The gradient is the sum of observed features less as many expected ones. Chains go on from one iteration to the next, a sweep each, after ``burn`` sweeps (chains: rounded up to
+    words of 64). Ends when no user's weights move by eps. Weights of users without a source do not exist.
+    """
+    many = n_steps(nodes)
+    now = settled(joint_sums(nodes, field_edges(edges)).withColumn("weight", F.lit(1.0)))
+    s0, _ = sampled(now, edges, burn, -(-chains // BITS), seed)
+    for _ in range(iterations):
+        s1 = written(after(now, s0, seed), "after")
+        moved = now.join(expectations(now, s0, s1), ["u", "v"])
+        step = F.lit(eta) * (F.col("c") - F.lit(float(many)) * F.col("e"))
+        new = written(moved.select("u", "v", "pos", "c", (F.col("weight") + step).alias("weight"), step.alias("step")), "weights")
+        largest = new.groupBy("v").agg(F.sqrt(F.sum(F.col("step") * F.col("step"))).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        now = new.drop("step")
+        if largest is None or largest < eps:
+            break
+        s0 = written(before(now, s1, seed), "before")
+    return now.select("v", "pos", "weight")
 
 
 def chances(steps: DataFrame, models: DataFrame) -> DataFrame:
-    """steps with p = sigma of the bias and the weights of the sources that have acted."""
+    """steps with p = sigma of the weights of the sources that have acted."""
     m = models.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("pos", "weight"))).alias("w"))
-    z = F.aggregate("seen", F.coalesce(F.element_at("w", F.lit(0)), F.lit(0.0)), lambda x, p: x + F.coalesce(F.element_at("w", p.cast("int")), F.lit(0.0)))
+    z = F.aggregate("seen", F.lit(0.0), lambda x, p: x + F.coalesce(F.element_at("w", p.cast("int")), F.lit(0.0)))
     return steps.join(m, "v").withColumn("p", 1 / (1 + F.exp(-z))).drop("w")
 
 
 def predict(initial: DataFrame, edges: DataFrame, models: DataFrame, thresholds: list[float], max_step: int | None = None) -> DataFrame:
-    """threshold, cascade_id, user_id, parent_id, depth, probability: users join with these chances and follow the newly active source of the largest weight."""
+    """threshold, cascade_id, user_id, parent_id, depth, probability: a user joins with sigma of the weights of all its active sources, the whole given tree included,
+    and follows the newly active one of the largest weight."""
     models = settled(models)
-    return frontier.expand(initial, edges, models, frontier.mrf_judge(models), thresholds, max_step)
+    return frontier.expand(initial, edges, models, frontier.mrf_judge(models), thresholds, max_step, whole=True)

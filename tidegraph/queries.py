@@ -640,9 +640,29 @@ def heat_map(s: SparkSession, d: str) -> DataFrame:
 @query(f"{R}{_PAIRS}, f AS (SELECT i, count(*) AS n FROM (SELECT i FROM pr WHERE sim > 0.001 UNION ALL SELECT j FROM pr WHERE sim > 0.001) GROUP BY 1) SELECT cascade_id, (SELECT count(*) FROM sz) - coalesce(f.n, 0) AS neighbours, (SELECT count(*) FROM sz) - coalesce(f.n, 0) >= 5 AS core FROM sz LEFT JOIN f ON f.i = cascade_id")
 def dbscan_cores(s: SparkSession, d: str) -> DataFrame:
     """Core cascades of density clusters."""
+    return clusters.density_cores(pairs_of(s, d), cascades_of(s, d).select("cascade_id"))
+
+
+def _dbscan_sql(eps: float, points: int) -> str:
+    return f"""{R}{_PAIRS}, mx AS (SELECT a.cascade_id AS i, b.cascade_id AS j FROM sz a, sz b WHERE a.cascade_id = b.cascade_id OR coalesce((SELECT sim FROM pr WHERE pr.i = least(a.cascade_id, b.cascade_id) AND pr.j = greatest(a.cascade_id, b.cascade_id)), 0) <= {eps}),
+co AS (SELECT i FROM mx GROUP BY 1 HAVING count(*) >= {points}), cc AS (SELECT i, j FROM mx SEMI JOIN co ON co.i = mx.j),
+rc AS (SELECT i AS a, i AS b FROM co UNION SELECT rc.a, cc.j FROM rc JOIN cc ON cc.i = rc.b JOIN co ON co.i = rc.b),
+cl AS (SELECT a, dense_rank() OVER (ORDER BY least_b) - 1 AS label FROM (SELECT a, min(b) AS least_b FROM rc GROUP BY 1))
+SELECT cascade_id, co.i IS NOT NULL AS core, CAST(CASE WHEN co.i IS NOT NULL THEN own.label ELSE coalesce((SELECT min(label) FROM cc JOIN cl ON cl.a = cc.j WHERE cc.i = cascade_id), -1) END AS INTEGER) AS label FROM sz LEFT JOIN co ON co.i = cascade_id LEFT JOIN cl own ON own.a = cascade_id"""
+
+
+@query(_dbscan_sql(0.001, 5))
+def dbscan(s: SparkSession, d: str) -> DataFrame:
+    """Density clusters of cascades (M19), with the reference's eps and points."""
     return clusters.dbscan(pairs_of(s, d), cascades_of(s, d).select("cascade_id"))
 
 
+@query(_dbscan_sql(0.16, 16))
+def dbscan_wide(s: SparkSession, d: str) -> DataFrame:
+    """The same with wider neighbourhoods."""
+    return clusters.dbscan(pairs_of(s, d), cascades_of(s, d).select("cascade_id"), 0.16, 16)
+
+
 @query(f"{R}{_PAIRS}, rc AS (SELECT cascade_id AS a, cascade_id AS b FROM sz UNION SELECT rc.a, e.j FROM rc JOIN (SELECT i, j FROM pr WHERE sim >= 0.5 UNION ALL SELECT j, i FROM pr WHERE sim >= 0.5) e ON e.i = rc.b) SELECT a AS cascade_id, min(b) AS label FROM rc GROUP BY 1")
 def similar_groups(s: SparkSession, d: str) -> DataFrame:
     """Cascades connected over similar pairs."""
@@ -790,8 +810,19 @@ def mrf_features(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mrf_fit(s: SparkSession, d: str) -> DataFrame:
-    """A random field with sampled expectations."""
-    return mrf.fit(mrf.transitions(nodes_of(s, d), graph_of(s, d)))
+    """A random field of all users with joint samples."""
+    return mrf.fit(nodes_of(s, d), graph_of(s, d))
+
+
+@query(
+    f"""{R}{_EV.split('se AS')[0]}fl AS (SELECT u, v, pos FROM ix UNION ALL SELECT DISTINCT v, v, 0 FROM ix), dp AS (SELECT cascade_id, max(depth) AS deepest FROM nodes GROUP BY 1),
+lv AS (SELECT cascade_id, deepest, unnest(range(0, deepest)) AS t FROM dp),
+ob AS (SELECT fl.u, fl.v, count(*) AS c FROM lv JOIN nodes a ON a.cascade_id = lv.cascade_id AND a.depth <= t JOIN fl ON fl.u = a.user_id JOIN nodes b ON b.cascade_id = lv.cascade_id AND b.user_id = fl.v AND b.depth <= t + 1 GROUP BY 1, 2)
+SELECT fl.u, fl.v, pos, coalesce(c, 0)::DOUBLE AS c FROM fl LEFT JOIN ob ON ob.u = fl.u AND ob.v = fl.v"""
+)
+def mrf_joint_sums(s: SparkSession, d: str) -> DataFrame:
+    """Observed sums of the joint field's features."""
+    return mrf.joint_sums(nodes_of(s, d), mrf.field_edges(graph_of(s, d)))
 
 
 @query(f"{R}{_ACT} SELECT '0 !isActivated(\"N' || src || '\", c) v activates(\"N' || src || '\", \"N' || dst || '\", c)' AS value FROM g")

@@ -130,7 +130,7 @@ def meme_reshares(s: SparkSession, d: str) -> DataFrame:
 def meme_links(s: SparkSession, d: str) -> DataFrame:
     """Links, each checked to have its post."""
     t = _memes(s, d)
-    return readers.checked_links(t["reshares"].select("post_id", F.col("reshared_post_id").alias("to")), t["posts"])
+    return readers.checked_links(t["links"], t["posts"])
 
 
 @query(f"WITH {_UP} SELECT 'u' || author_id AS username, post_id::VARCHAR AS tweet_id, {_second('datetime')} AS date, reshared_post_id::VARCHAR AS reply_to_id FROM up")
