@@ -67,10 +67,11 @@ def no_states(edges: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     return users.select("u", word).select("u", "word", F.lit(0).alias("round"), zero.alias("s0")), edges.select(F.col("dst").alias("v")).distinct().select("v", word).select("v", "word", zero.alias("s1"))
 
 
-def _drawn(sums: DataFrame, slice_: int, seed: int) -> str:
-    """SQL of the bits that come up in each chain of a word; sums has id, word, round and z0 to z63, the field at the user in each chain."""
-    one = "shiftleft(if(pmod(xxhash64({seed}, {slice}, round, id, word, {k}), 9007199254740992L) / 9007199254740992D < 1D / (1D + exp(-z{k})), 1L, 0L), {k})"
-    return " | ".join(one.format(seed=seed, slice=slice_, k=k) for k in range(BITS))
+def _drawn(slice_: int, seed: int) -> str:
+    """SQL of the bits that come up in each chain of a word, from id, word, round and z0 to z63, the field at the user in each chain."""
+    fields = ", ".join(f"z{k}" for k in range(BITS))
+    number = f"pmod(xxhash64({seed}, {slice_}, round, id, word, k), 9007199254740992L) / 9007199254740992D"
+    return f"aggregate(transform(array({fields}), (z, k) -> if({number} < 1D / (1D + exp(-z)), shiftleft(1L, k), 0L)), 0L, (a, b) -> a | b)"
 
 
 def _fields(state: str, weight: str = "weight") -> list:
@@ -81,14 +82,14 @@ def after(field: DataFrame, s0: DataFrame, seed: int = 0) -> DataFrame:
     """v, word, round, s1: the second slice drawn from the first. field: u, v, weight, the weights of users themselves included. Who was active stays so."""
     own = F.max(F.when(F.col("u") == F.col("v"), F.col("s0"))).alias("own")
     z = field.join(s0, "u").groupBy(F.col("v").alias("id"), "word", "round").agg(*_fields("s0"), own)
-    return z.select(F.col("id").alias("v"), "word", "round", F.expr(f"coalesce(own, 0L) | {_drawn(z, 1, seed)}").alias("s1"))
+    return z.select(F.col("id").alias("v"), "word", "round", F.expr(f"coalesce(own, 0L) | {_drawn(1, seed)}").alias("s1"))
 
 
 def before(field: DataFrame, s1: DataFrame, seed: int = 0) -> DataFrame:
     """u, word, round, s0: the first slice drawn from the second, by the weights of a user's receivers; round is one more. Who has sources and is inactive after was so before."""
     own = F.coalesce(F.max(F.when(F.col("u") == F.col("v"), F.col("s1"))), F.lit(-1).cast("long")).alias("own")
     z = field.join(s1, "v").groupBy(F.col("u").alias("id"), "word", "round").agg(*_fields("s1"), own)
-    return z.select(F.col("id").alias("u"), "word", (F.col("round") + 1).alias("round"), F.expr(f"own & ({_drawn(z, 0, seed)})").alias("s0"))
+    return z.select(F.col("id").alias("u"), "word", (F.col("round") + 1).alias("round"), F.expr(f"own & ({_drawn(0, seed)})").alias("s0"))
 
 
 def expectations(field: DataFrame, s0: DataFrame, s1: DataFrame) -> DataFrame:
