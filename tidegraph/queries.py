@@ -6,13 +6,14 @@ The tables map to the social schema in ``sources.adapter``. Trees, activations a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions import scalar as C
-from tidegraph.operators import cascades, clusters, evaluate, features, graphs, sampling, sequences, trees
-from tidegraph.plans import em, experiment, mln, mrf, predict, seqlabel
+from tidegraph.operators import cascades, clusters, features, graphs, sampling, sequences, trees
+from tidegraph.plans import em, experiment, mln, mrf
 from tidegraph.plans.loops import settled
 from tidegraph.sources import adapter
 
@@ -66,6 +67,7 @@ ap AS (SELECT a.cascade_id, g.src AS u, g.dst AS v, b.t - a.t AS dt FROM act a J
 ex AS (SELECT a.cascade_id, g.src AS u, g.dst AS v, a.max_t - a.t AS dt FROM act a JOIN g ON g.src = a.user_id LEFT JOIN act b ON b.cascade_id = a.cascade_id AND b.user_id = g.dst WHERE b.user_id IS NULL),
 ip AS (SELECT x.cascade_id, x.v, g.src AS u FROM (SELECT DISTINCT cascade_id, v FROM ex) x JOIN g ON g.dst = x.v LEFT JOIN act b ON b.cascade_id = x.cascade_id AND b.user_id = g.src WHERE b.user_id IS NULL),
 tried AS (SELECT u, v, coalesce(p.n, 0) AS n_pos, coalesce(q.n, 0) AS n_neg FROM (SELECT u, v, count(*) AS n FROM ap GROUP BY 1, 2) p FULL JOIN (SELECT u, v, count(*) AS n FROM ex GROUP BY 1, 2) q USING (u, v))"""
+_K0 = "k0 AS MATERIALIZED (SELECT g.src AS u, g.dst AS v, 1 / o.n AS k FROM g JOIN (SELECT src, count(*) AS n FROM g GROUP BY 1) o ON o.src = g.src)"
 R = "WITH RECURSIVE "
 
 
@@ -350,258 +352,6 @@ def receive_time(s: SparkSession, d: str) -> DataFrame:
     return adapter.table(s, d, "events").select("event_id", C.received(F.col("ts"), F.col("value") - 5).cast("timestamp_ntz").alias("received"))
 
 
-# models
-
-_K0 = "k0 AS (SELECT g.src AS u, g.dst AS v, 1 / o.n AS k FROM g JOIN (SELECT src, count(*) AS n FROM g GROUP BY 1) o ON o.src = g.src)"
-
-
-def _inverse(i: int, pos: str) -> str:
-    return f"p{i} AS (SELECT cascade_id, v, 1 - product(1 - k) AS p FROM {pos} JOIN k{i} USING (u, v) GROUP BY 1, 2), s{i} AS (SELECT u, v, sum(CASE WHEN p = 0 THEN 0 ELSE 1 / p END) AS s FROM {pos} JOIN p{i} USING (cascade_id, v) GROUP BY 1, 2)"
-
-
-_EMIC = f"""{_ACT}, {_K0}, sp AS (SELECT a.cascade_id, g.src AS u, g.dst AS v FROM nodes a JOIN g ON g.src = a.user_id JOIN nodes b ON b.cascade_id = a.cascade_id AND b.user_id = g.dst AND b.depth = a.depth + 1),
-na AS (SELECT g.src AS u, g.dst AS v, n FROM g JOIN (SELECT user_id, count(*) AS n FROM nodes GROUP BY 1) ON user_id = g.src)""" + "".join(
-    f", {_inverse(i, 'sp')}, k{i + 1} AS (SELECT u, v, k * coalesce(s, 0) / n AS k FROM na JOIN k{i} USING (u, v) LEFT JOIN s{i} USING (u, v))" for i in range(3)
-)
-
-
-@query(f"{R}{_ACT}, {_K0} SELECT u, v, round(k, 9) AS k FROM k0")
-def emic_init(s: SparkSession, d: str) -> DataFrame:
-    """Starting probabilities (M3)."""
-    return em.initial_k(graph_of(s, d)).withColumn("k", F.round("k", 9))
-
-
-@query(f"{R}{_EMIC} SELECT u, v, round(k, 6) AS k FROM k3")
-def emic_fit(s: SparkSession, d: str) -> DataFrame:
-    """Three rounds of the discrete cascade model."""
-    return em.fit_emic(nodes_of(s, d), graph_of(s, d), 3, 0.0)[0].withColumn("k", F.round("k", 6))
-
-
-@query()
-def emic_fit_whole(s: SparkSession, d: str) -> DataFrame:
-    """The discrete cascade model (M3, J15, J16, A12) with the reference's rounds (20) and stop."""
-    return em.fit_emic(nodes_of(s, d), graph_of(s, d))[0].withColumn("k", F.round("k", 6))
-
-
-_DAIC = f"{_ACT}, {_K0}" + "".join(
-    f", {_inverse(i, 'ap')}, q{i} AS (SELECT u, v, n_pos + n_neg + 10.0 AS b, k * coalesce(s, 0) AS c FROM tried JOIN k{i} USING (u, v) LEFT JOIN s{i} USING (u, v)), k{i + 1} AS (SELECT u, v, (b - sqrt(CASE WHEN b * b - 40 * c < 1e-10 THEN 0 ELSE b * b - 40 * c END)) / 20 AS k FROM q{i})" for i in range(2)
-)
-
-
-@query(f"{R}{_DAIC} SELECT u, v, round(k, 6) AS k FROM k2")
-def daic_fit(s: SparkSession, d: str) -> DataFrame:
-    """Two rounds of the penalised cascade model (M4)."""
-    return em.fit_daic(act_of(s, d), graph_of(s, d), 2, 0.0)[0].withColumn("k", F.round("k", 6))
-
-
-@query()
-def daic_fit_whole(s: SparkSession, d: str) -> DataFrame:
-    """The penalised cascade model (M4) with the reference's rounds (20) and stop."""
-    return em.fit_daic(act_of(s, d), graph_of(s, d))[0].withColumn("k", F.round("k", 6))
-
-
-_CTIC = f"{_ACT}, {_K0}, c0 AS (SELECT u, v, k, 1.0 / 30 AS r FROM k0)".replace("1.0 / 30", "CAST(1 AS DOUBLE) / 30") + "".join(
-    f""", x{i} AS (SELECT cascade_id, u, v, d, k, r, k * exp(-r * d) AS x FROM (SELECT cascade_id, u, v, CASE WHEN dt = 0 THEN CAST(1 AS DOUBLE) / 43200 ELSE dt END AS d FROM ap) JOIN c{i} USING (u, v)),
-y{i} AS (SELECT *, x / (x + 1 - k) AS b, r * x / (x + 1 - k) AS a FROM x{i}),
-z{i} AS (SELECT *, sum(a) OVER w AS sa, count(*) OVER w AS n FROM y{i} WINDOW w AS (PARTITION BY cascade_id, v)),
-m{i} AS (SELECT *, CASE WHEN n = 1 THEN 1.0 WHEN sa = 0 THEN 0.0 ELSE a / sa END AS al FROM z{i}),
-c{i + 1} AS (SELECT u, v, sum(al + (1 - al) * b) / any_value(n_pos + n_neg) AS k, sum(al) / sum((al + (1 - al) * b) * d) AS r FROM m{i} JOIN tried USING (u, v) GROUP BY 1, 2)""" for i in range(2)
-)
-
-
-@query(f"{R}{_CTIC} SELECT u, v, round(k, 5) AS k, round(r, 3) AS r FROM c2")
-def ctic_fit(s: SparkSession, d: str) -> DataFrame:
-    """Two rounds of the continuous-time cascade model (M2)."""
-    return em.fit_ctic(act_of(s, d), graph_of(s, d), 2, 0.0)[0].select("u", "v", F.round("k", 5).alias("k"), F.round("r", 3).alias("r"))
-
-
-@query()
-def ctic_fit_whole(s: SparkSession, d: str) -> DataFrame:
-    """The continuous-time cascade model (M2) with the reference's rounds (20) and stop."""
-    return em.fit_ctic(act_of(s, d), graph_of(s, d))[0].select("u", "v", F.round("k", 5).alias("k"), F.round("r", 3).alias("r"))
-
-
-_ASLT = f"""{_ACT}, vs AS (SELECT DISTINCT user_id AS v FROM nodes), ind AS (SELECT vs.v, count(g.src) AS n FROM vs LEFT JOIN g ON g.dst = vs.v GROUP BY 1),
-w0 AS (SELECT u, v, CAST(1 AS DOUBLE) / (n + 1) AS w, CAST(1 AS DOUBLE) / 30 AS r FROM (SELECT src AS u, dst AS v FROM g UNION ALL SELECT v, v FROM vs) JOIN ind USING (v)),
-hs AS (SELECT cascade_id, v, max(r) * sum(w * exp(-r * CASE WHEN dt = 0 THEN CAST(1 AS DOUBLE) / 43200 ELSE dt END)) AS s FROM ap JOIN w0 USING (u, v) GROUP BY 1, 2),
-h AS (SELECT a.cascade_id, a.user_id AS v, CASE WHEN a.t = 0 THEN 1.0 ELSE coalesce(s, 0) END AS h FROM act a LEFT JOIN hs ON hs.cascade_id = a.cascade_id AND hs.v = a.user_id),
-gg AS (SELECT cascade_id, v, sum(x) AS gv FROM (SELECT cascade_id, v, w * exp(-r * dt) AS x FROM ex JOIN w0 USING (u, v) UNION ALL SELECT cascade_id, v, w FROM ip JOIN w0 USING (u, v) UNION ALL SELECT cascade_id, v, w FROM (SELECT DISTINCT cascade_id, v FROM ex) JOIN (SELECT v, w FROM w0 WHERE u = v) USING (v)) GROUP BY 1, 2)"""
-
-
-@query(f"{R}{_ASLT} SELECT cascade_id, v, round(h, 8) AS h FROM h")
-def aslt_h(s: SparkSession, d: str) -> DataFrame:
-    """Densities of activations (M1)."""
-    act, g = act_of(s, d), graph_of(s, d)
-    par = em.initial_w(g, graphs.vertices(nodes_of(s, d)))
-    return em.aslt_h(par, act, sequences.active_parents(act, g)).withColumn("h", F.round("h", 8))
-
-
-@query(f"{R}{_ASLT} SELECT cascade_id, v, round(gv, 8) AS g FROM gg")
-def aslt_g(s: SparkSession, d: str) -> DataFrame:
-    """Chances to stay inactive (M1)."""
-    act, g = act_of(s, d), graph_of(s, d)
-    par = em.initial_w(g, graphs.vertices(nodes_of(s, d)))
-    return em.aslt_g(par, sequences.exposed(act, g)).withColumn("g", F.round("g", 8))
-
-
-@query(
-    f"""{R}{_ASLT}, ph AS (SELECT u, v, w * r * exp(-r * CASE WHEN dt = 0 THEN CAST(1 AS DOUBLE) / 43200 ELSE dt END) / h AS x, CASE WHEN dt = 0 THEN CAST(1 AS DOUBLE) / 1440 ELSE dt END AS d FROM ap JOIN w0 USING (u, v) JOIN h USING (cascade_id, v) WHERE h > 0),
-ps AS (SELECT u, v, w * exp(-r * dt) / gv AS x, dt AS d FROM ex JOIN w0 USING (u, v) JOIN gg USING (cascade_id, v)),
-pg AS (SELECT u, v, w / gv AS x FROM (SELECT cascade_id, u, v FROM ip UNION ALL SELECT DISTINCT cascade_id, v, v FROM ex) JOIN w0 USING (u, v) JOIN gg USING (cascade_id, v)),
-m AS (SELECT u, v, sum(x) AS x FROM (SELECT u, v, x FROM ph UNION ALL SELECT u, v, x FROM ps UNION ALL SELECT u, v, x FROM pg) GROUP BY 1, 2),
-rt AS (SELECT v, CASE WHEN sum(a) = 0 THEN 0 ELSE sum(a) / sum(b) END AS r FROM (SELECT v, x AS a, x * d AS b FROM ph UNION ALL SELECT v, 0, x * d FROM ps) GROUP BY 1),
-e AS (SELECT w0.u, w0.v, coalesce(m.x, 0) AS x FROM w0 LEFT JOIN m USING (u, v)), l AS (SELECT v, sqrt(sum(x * x)) AS l FROM e GROUP BY 1)
-SELECT e.u, e.v, round(CASE WHEN l = 0 THEN 0 ELSE x / l END, 6) AS w, round(coalesce(r, 0), 4) AS r FROM e JOIN l USING (v) LEFT JOIN rt USING (v)"""
-)
-def aslt_step(s: SparkSession, d: str) -> DataFrame:
-    """One round of the threshold model."""
-    out, _ = em.fit_aslt(act_of(s, d), graph_of(s, d), graphs.vertices(nodes_of(s, d)), 1)
-    return out.select("u", "v", F.round("w", 6).alias("w"), F.round("r", 4).alias("r"))
-
-
-# prediction: roots and their children are given
-
-_INIT = "init AS (SELECT cascade_id, user_id, parent_id, act_time, depth FROM nodes WHERE depth <= 1)"
-_THR = (0.1, 0.3)
-
-
-@query(
-    f"""{R}{_ACT}, {_K0}, {_INIT}, th AS (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE]) AS threshold), f0 AS (SELECT threshold, i.* FROM init i JOIN (SELECT cascade_id, max(depth) AS depth FROM init GROUP BY 1) USING (cascade_id, depth), th),
-d0 AS (SELECT threshold, i.* FROM init i, th)"""
-    + "".join(
-        f""", n{i} AS (SELECT f.threshold, f.cascade_id, k.v, arg_min(f.user_id, (epoch_us(f.act_time), f.user_id)) AS p, min(f.act_time) AS t, min(f.depth) AS dd, arg_min(k.k, (epoch_us(f.act_time), f.user_id)) AS k FROM f{i} f JOIN k0 k ON k.u = f.user_id AND k.k >= f.threshold WHERE (f.threshold, f.cascade_id, k.v) NOT IN (SELECT threshold, cascade_id, user_id FROM d{i}) GROUP BY 1, 2, 3),
-f{i + 1} AS (SELECT threshold, cascade_id, v AS user_id, p AS parent_id, make_timestamp(epoch_us(t) + CAST(24 AS BIGINT) * 2592000 * 1000000) AS act_time, dd + 1 AS depth FROM n{i}), d{i + 1} AS (SELECT threshold, cascade_id, user_id, parent_id, act_time, depth FROM d{i} UNION ALL SELECT threshold, cascade_id, user_id, parent_id, act_time, depth FROM f{i + 1})"""
-        for i in range(2)
-    )
-    + " SELECT threshold, cascade_id, user_id, parent_id, depth FROM d2"
-)
-def ic_predict(s: SparkSession, d: str) -> DataFrame:
-    """Two rounds of cascade prediction at two thresholds (M6)."""
-    out = predict.ic(trees.truncated(nodes_of(s, d), 1), em.initial_k(graph_of(s, d)), list(_THR), 2)
-    return out.select("threshold", "cascade_id", "user_id", "parent_id", "depth")
-
-
-@query()
-def ic_predict_whole(s: SparkSession, d: str) -> DataFrame:
-    """Cascade prediction at two thresholds until no frontier grows (M6)."""
-    out = predict.ic(trees.truncated(nodes_of(s, d), 1), em.initial_k(graph_of(s, d)), list(_THR))
-    return out.select("threshold", "cascade_id", "user_id", "parent_id", "depth")
-
-
-@query(
-    f"""{R}{_ACT}, {_INIT}, iw AS (SELECT src AS u, dst AS v, CAST(1 AS DOUBLE) / (1 + count(*) OVER (PARTITION BY dst)) AS w FROM g), th AS (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE]) AS threshold),
-f0 AS (SELECT threshold, i.* FROM init i JOIN (SELECT cascade_id, max(depth) AS depth FROM init GROUP BY 1) USING (cascade_id, depth), th),
-run AS (SELECT f.threshold, f.cascade_id, v, f.user_id AS u, f.act_time, f.depth, round(sum(w) OVER (PARTITION BY f.threshold, f.cascade_id, v ORDER BY f.act_time, f.user_id ROWS UNBOUNDED PRECEDING), 12) AS total FROM f0 f JOIN iw ON iw.u = f.user_id WHERE (f.cascade_id, v) NOT IN (SELECT cascade_id, user_id FROM init)),
-hit AS (SELECT threshold, cascade_id, v, arg_min(u, (epoch_us(act_time), u)) AS p, min(depth) + 1 AS depth FROM run WHERE total >= threshold GROUP BY 1, 2, 3)
-SELECT threshold, cascade_id, user_id, parent_id, depth FROM init, th UNION ALL SELECT threshold, cascade_id, v, p, depth FROM hit"""
-)
-def lt_predict(s: SparkSession, d: str) -> DataFrame:
-    """A round of threshold prediction."""
-    par = em.initial_w(graph_of(s, d), graphs.vertices(nodes_of(s, d)))
-    out = predict.lt(trees.truncated(nodes_of(s, d), 1), par, list(_THR), 1)
-    return out.select("threshold", "cascade_id", "user_id", "parent_id", "depth")
-
-
-@query()
-def lt_predict_whole(s: SparkSession, d: str) -> DataFrame:
-    """Threshold prediction until no frontier grows."""
-    par = em.initial_w(graph_of(s, d), graphs.vertices(nodes_of(s, d)))
-    out = predict.lt(trees.truncated(nodes_of(s, d), 1), par, list(_THR))
-    return out.select("threshold", "cascade_id", "user_id", "parent_id", "depth")
-
-
-# evaluation: trees to depth 3 as prediction of the whole, roots given
-
-_EVAL = """n_ref AS (SELECT count(*) AS n FROM (SELECT src FROM g UNION SELECT dst FROM g)),
-oo AS (SELECT cascade_id, user_id FROM nodes WHERE depth BETWEEN 1 AND 2), tt AS (SELECT cascade_id, user_id, depth FROM nodes WHERE depth >= 1),
-more AS (SELECT cascade_id, count(*) AS more FROM tt WHERE user_id NOT IN (SELECT src FROM g UNION SELECT dst FROM g) GROUP BY 1),
-cnt AS (SELECT c.cascade_id, (SELECT count(*) FROM oo WHERE oo.cascade_id = c.cascade_id) AS tp, 0 AS fp, (SELECT count(*) FROM tt WHERE tt.cascade_id = c.cascade_id AND depth > 2) AS fn, (SELECT n FROM n_ref) + coalesce(more, 0) AS n_ref FROM (SELECT DISTINCT cascade_id FROM nodes) c LEFT JOIN more USING (cascade_id))"""
-_SCORES = "CASE WHEN tp = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS \"precision\", CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN n_ref - tp - fn = 0 THEN 0.0 ELSE fp / (n_ref - tp - fn) END AS fpr, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS tpr, CASE WHEN n_ref = 0 THEN 0.0 ELSE (n_ref - fp - fn) / n_ref END AS accuracy"
-
-
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 8).alias(c) if c in evaluate.METRICS else F.col(c) for c in df.columns])
-
-
-_R8 = ", ".join(f'round("{m}", 8) AS "{m}"' for m in evaluate.METRICS)
-
-
-@query(f"{R}{_ACT}, {_EVAL} SELECT cascade_id, {_R8} FROM (SELECT cascade_id, {_SCORES} FROM cnt)")
-def metrics_nodes(s: SparkSession, d: str) -> DataFrame:
-    """Scores of users."""
-    n = nodes_of(s, d)
-    return _rounded(evaluate.nodes_metrics(trees.truncated(n, 2), n, trees.truncated(n, 0), graph_of(s, d)))
-
-
-@query(f"{R}{_ACT}, {_EVAL} SELECT cascade_id, {_R8} FROM (SELECT cascade_id, {_SCORES.replace('n_ref', 'm')} FROM (SELECT *, (SELECT count(*) FROM g) AS m FROM cnt))")
-def metrics_edges(s: SparkSession, d: str) -> DataFrame:
-    """Scores of edges."""
-    n = nodes_of(s, d)
-    return _rounded(evaluate.edges_metrics(trees.truncated(n, 2), n, trees.truncated(n, 0), graph_of(s, d)))
-
-
-def _curve(s: SparkSession, d: str) -> DataFrame:
-    n = nodes_of(s, d)
-    out = None
-    for depth, threshold in ((4, 0.2), (3, 0.4), (2, 0.6), (1, 0.8)):
-        part = trees.truncated(n, depth).withColumn("threshold", F.lit(threshold))
-        out = part if out is None else out.unionByName(part)
-    return evaluate.mean_metrics(evaluate.nodes_metrics(out, n, trees.truncated(n, 0), graph_of(s, d), by=("threshold",)), ("threshold",))
-
-
-_CURVE = f"""{_ACT}, {_EVAL.split('cnt AS')[0].rstrip().rstrip(',')}, lev AS (SELECT unnest([4, 3, 2, 1]) AS lv, unnest([0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS threshold),
-cc AS (SELECT threshold, cascade_id, count(*) FILTER (depth BETWEEN 1 AND lv) AS tp, 0 AS fp, count(*) FILTER (depth > lv) AS fn, (SELECT n FROM n_ref) + coalesce(any_value(more), 0) AS n_ref FROM nodes LEFT JOIN more USING (cascade_id), lev GROUP BY 1, 2),
-sc AS (SELECT threshold, {_SCORES} FROM cc), mean AS (SELECT threshold, {', '.join(f'avg("{m}") AS "{m}"' for m in evaluate.METRICS)} FROM sc GROUP BY 1)"""
-
-
-@query(f"{R}{_CURVE} SELECT threshold, {_R8} FROM mean")
-def threshold_curve(s: SparkSession, d: str) -> DataFrame:
-    """Mean scores for each threshold."""
-    return _rounded(_curve(s, d))
-
-
-@query(f"{R}{_CURVE} SELECT threshold, round(f1, 8) AS f1 FROM mean ORDER BY f1 DESC, threshold LIMIT 1")
-def best_threshold(s: SparkSession, d: str) -> DataFrame:
-    """The threshold with the best mean."""
-    return evaluate.best_threshold(_curve(s, d)).withColumn("f1", F.round("f1", 8))
-
-
-@query(f"{R}{_CURVE}, pt AS (SELECT fpr, tpr FROM mean UNION ALL VALUES (0.0, 0.0), (1.0, 1.0)), o AS (SELECT fpr, tpr, lag(fpr) OVER w AS x, lag(tpr) OVER w AS y FROM pt WINDOW w AS (ORDER BY fpr, tpr)) SELECT round(sum((fpr - x) * (tpr + y) / 2), 8) AS auc FROM o")
-def auc_roc(s: SparkSession, d: str) -> DataFrame:
-    """Area under the curve."""
-    return evaluate.auc(evaluate.roc(_curve(s, d))).withColumn("auc", F.round("auc", 8))
-
-
-@query(f"{R}{_TREE}, a AS (SELECT cascade_id, user_id FROM nodes WHERE depth <= 2), b AS (SELECT cascade_id, user_id FROM nodes WHERE depth <= 3 AND user_id % 2 = 0), t AS (SELECT cascade_id, user_id FROM nodes WHERE user_id % 3 = 0) SELECT *, (cascade_id, user_id) IN (FROM t) AS is_true FROM (SELECT *, 'a' AS only_in FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'b' FROM (FROM b EXCEPT FROM a))")
-def method_diff(s: SparkSession, d: str) -> DataFrame:
-    """Where two outputs differ."""
-    n = nodes_of(s, d)
-    return evaluate.method_diff(trees.truncated(n, 2), trees.truncated(n, 3).where("user_id % 2 = 0"), n.where("user_id % 3 = 0"))
-
-
-@query()
-def method_diff_whole(s: SparkSession, d: str) -> DataFrame:
-    """Where whole predictions of the cascade (a) and the threshold model (b) at 0.1 differ; all nodes are the truth."""
-    a, b = (f(s, d).where("threshold = 0.1") for f in (ic_predict_whole, lt_predict_whole))
-    return evaluate.method_diff(a, b, nodes_of(s, d))
-
-
-@query(f"{R}{_CASC}, e AS (SELECT split_part(cascade_id, '-', 1) AS kind, depth, size FROM casc) SELECT depth, round(avg(size) FILTER (kind = 'click'), 6) AS click, round(avg(size) FILTER (kind = 'view'), 6) AS \"view\" FROM e WHERE kind IN ('click', 'view') GROUP BY 1")
-def method_report(s: SparkSession, d: str) -> DataFrame:
-    """A report by depth with a column for each method."""
-    r = cascades_of(s, d).select(F.split_part("cascade_id", F.lit("-"), F.lit(1)).alias("method"), "depth", "cascade_id", F.col("size").alias("f1")).where("method in ('click', 'view')")
-    out = evaluate.method_report(r)
-    return out.select("depth", F.round("click", 6).alias("click"), F.round("view", 6).alias("view"))
-
-
-@query(f"{R}{_CASC}, x AS (SELECT CASE WHEN cascade_id LIKE 'click-%' THEN 'a' ELSE 'b' END AS grp, size AS value FROM casc WHERE cascade_id LIKE 'click-%' OR cascade_id LIKE 'view-%'), q AS (SELECT count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb, avg(value) FILTER (grp = 'a') AS ma, avg(value) FILTER (grp = 'b') AS mb, var_samp(value) FILTER (grp = 'a') AS va, var_samp(value) FILTER (grp = 'b') AS vb FROM x) SELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 8) AS t, na + nb - 2 AS df, round(ma, 8) AS mean_a, round(mb, 8) AS mean_b FROM q")
-def t_statistic(s: SparkSession, d: str) -> DataFrame:
-    """Student's t of two groups."""
-    c = cascades_of(s, d).where("cascade_id like 'click-%' or cascade_id like 'view-%'")
-    out = evaluate.t_statistic(c.select(F.when(F.col("cascade_id").like("click-%"), "a").otherwise("b").alias("grp"), F.col("size").alias("value")))
-    return out.select(F.round("t", 8).alias("t"), "df", F.round("mean_a", 8).alias("mean_a"), F.round("mean_b", 8).alias("mean_b"))
-
-
 # clusters
 
 _PAIRS = f"{_ACT}, sz AS (SELECT cascade_id, count(*) AS n FROM act GROUP BY 1), bo AS (SELECT a.cascade_id AS i, b.cascade_id AS j, count(*) AS c FROM act a JOIN act b ON a.user_id = b.user_id AND a.cascade_id < b.cascade_id GROUP BY 1, 2), pr AS (SELECT i, j, c / (x.n + y.n - c) AS sim FROM bo JOIN sz x ON x.cascade_id = i JOIN sz y ON y.cascade_id = j)"
@@ -704,16 +454,13 @@ def bin_features(s: SparkSession, d: str) -> DataFrame:
     return b.withColumn("seen", F.array_join(F.col("seen").cast("array<string>"), ","))
 
 
-@query(f"{R}{_EV}, b AS (SELECT cascade_id, v, depth, state, d, list_sort(list_concat(active, coalesce(list_transform(lag(active) OVER w, lambda x: x + d), []), coalesce(list_transform(lag(active, 2) OVER w, lambda x: x + 2 * d), []))) AS o FROM ev WINDOW w AS (PARTITION BY cascade_id, v ORDER BY depth)) SELECT cascade_id, v, depth, state, d, array_to_string(o, ',') AS \"on\", 3 * d + 1 - len(o) AS slack FROM b")
+@query(
+    f"""{R}{_EV}, n AS (SELECT *, row_number() OVER (PARTITION BY cascade_id, v ORDER BY depth) AS n FROM ev), lg AS (SELECT v, max(n)::INTEGER AS lags FROM n GROUP BY 1),
+o AS (SELECT a.cascade_id, a.v, a.n, list_sort(list(b.pos + (a.n - b.m) * a.d)) AS o FROM n a JOIN (SELECT cascade_id, v, n AS m, unnest(active) AS pos FROM n) b ON a.cascade_id = b.cascade_id AND a.v = b.v AND b.m <= a.n GROUP BY 1, 2, 3)
+SELECT cascade_id, v, depth, state, d, array_to_string(o, ',') AS "on", lags, lags * d + 1 - len(o) AS slack FROM n JOIN o USING (cascade_id, v, n) JOIN lg USING (v)"""
+)
 def long_features(s: SparkSession, d: str) -> DataFrame:
-    """The last three observations, the newest first (V6, V7, W5); long_features_whole has all."""
-    b = features.long_features(evidence_of(s, d), 3).drop("lags")
-    return b.withColumn("on", F.array_join(F.col("on").cast("array<string>"), ","))
-
-
-@query()
-def long_features_whole(s: SparkSession, d: str) -> DataFrame:
-    """The same over whole histories, as long as each receiver's longest (V6, W5); lags is their length."""
+    """All observations so far, the newest first, and how long each receiver's history can be."""
     b = features.long_features(evidence_of(s, d))
     return b.withColumn("on", F.array_join(F.col("on").cast("array<string>"), ","))
 
@@ -730,29 +477,39 @@ def reduced_parents(s: SparkSession, d: str) -> DataFrame:
     return features.reduced_parents(evidence_of(s, d))
 
 
+@cache
+def fitted_of(method: str) -> Query:
+    """A method of experiment.METHODS fitted on all cascades; made once for a session and data folder."""
+    return _once(f"fitted {method}", lambda s, d: experiment.METHODS[method][0](experiment.Data(nodes_of(s, d), act_of(s, d)), graph_of(s, d)))
+
+
+def _predicted(s: SparkSession, d: str, method: str) -> DataFrame:
+    """What a method fitted on all cascades predicts from their first two levels, at 0.3."""
+    return experiment.METHODS[method][1](trees.truncated(nodes_of(s, d), 1), graph_of(s, d), fitted_of(method)(s, d), [0.3], None)
+
+
 @query()
 def memm_fit(s: SparkSession, d: str) -> DataFrame:
     """A maximum-entropy model for each receiver."""
-    return seqlabel.fit_memm(features.bin_features(evidence_of(s, d)))
+    return fitted_of("mbmemm")(s, d)
 
 
 @query()
 def memm_long_fit(s: SparkSession, d: str) -> DataFrame:
     """The same on whole histories (M8)."""
-    return seqlabel.fit_memm(features.long_features(evidence_of(s, d)), "on", "lags")
+    return fitted_of("mlmemm")(s, d)
 
 
 @query()
 def memm_predict(s: SparkSession, d: str) -> DataFrame:
     """Prediction with these models until no frontier grows (2.10 j, J19)."""
-    models = seqlabel.fit_memm(features.bin_features(evidence_of(s, d)))
-    return seqlabel.predict(trees.truncated(nodes_of(s, d), 1), graph_of(s, d), models, [0.3])
+    return _predicted(s, d, "mbmemm")
 
 
 @query()
 def crf_fit(s: SparkSession, d: str) -> DataFrame:
     """A linear-chain CRF for each receiver (M9, M11); a state for each parent."""
-    return seqlabel.fit_crf(features.bin_features(evidence_of(s, d)))
+    return fitted_of("mbcrf")(s, d)
 
 
 @query()
@@ -791,13 +548,6 @@ def mrf_predict(s: SparkSession, d: str) -> DataFrame:
     return _predicted(s, d, "unimrf")
 
 
-def _predicted(s: SparkSession, d: str, method: str) -> DataFrame:
-    """What a method fitted on all cascades predicts from their first two levels, at 0.3."""
-    fit, forecast = experiment.METHODS[method]
-    n, g = nodes_of(s, d), graph_of(s, d)
-    return forecast(trees.truncated(n, 1), g, fit(experiment.Data(n, n), g), [0.3], None)
-
-
 _MR = f"""{_EV.split('se AS')[0]}ms AS (SELECT n.cascade_id, ix.v, n.depth, list(ix.pos) AS active, any_value(ix.d) AS d, any_value(o.depth) AS own FROM nodes n JOIN ix ON ix.u = n.user_id LEFT JOIN nodes o ON o.cascade_id = n.cascade_id AND o.user_id = ix.v WHERE o.depth IS NULL OR n.depth < o.depth GROUP BY 1, 2, 3),
 mt AS (SELECT cascade_id, v, depth, list_sort(list_distinct(flatten(list(active) OVER (PARTITION BY cascade_id, v ORDER BY depth ROWS UNBOUNDED PRECEDING)))) AS seen, d, CAST(coalesce(own = depth + 1, false) AS INT) AS state FROM ms)"""
 
@@ -811,7 +561,7 @@ def mrf_features(s: SparkSession, d: str) -> DataFrame:
 @query()
 def mrf_fit(s: SparkSession, d: str) -> DataFrame:
     """A random field of all users with joint samples."""
-    return mrf.fit(nodes_of(s, d), graph_of(s, d))
+    return fitted_of("unimrf")(s, d)
 
 
 @query(
