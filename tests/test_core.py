@@ -198,13 +198,13 @@ def chain(spark, monkeypatch):
 def test_histories_are_whole(spark, monkeypatch):
     ev = spark.createDataFrame([("c", 9, i, [1 + i % 2], 2, int(i == 4)) for i in range(5)] + [("d", 9, 0, [1, 2], 2, 0), ("d", 8, 0, [1], 1, 1)], "cascade_id string, v long, depth int, active array<int>, d long, state int")
     monkeypatch.setattr(queries, "evidence_of", lambda s, d: ev)
-    got = {(r["cascade_id"], r["v"], r["depth"]): (r["on"], r["lags"], r["slack"]) for r in queries.long_features_whole(spark, "").collect()}
+    got = {(r["cascade_id"], r["v"], r["depth"]): (r["on"], r["lags"], r["slack"]) for r in queries.long_features(spark, "").collect()}
     for c, v, depth, *_ in ev.collect():
         steps = sorted((r["depth"], r["active"]) for r in ev.collect() if (r["cascade_id"], r["v"]) == (c, v) and r["depth"] <= depth)
         d, lags = (2, 5) if v == 9 else (1, 1)
         on = sorted(p + lag * d for lag, (_, active) in enumerate(reversed(steps)) for p in active)
         assert got[c, v, depth] == (",".join(map(str, on)), lags, lags * d + 1 - len(on))
-    weights = {(r["v"], r["pos"]) for r in queries.memm_long_fit(spark, "").collect()}
+    weights = {(r["v"], r["pos"]) for r in seqlabel.fit_memm(features.long_features(ev), "on", "lags").collect()}
     assert weights == {(9, i) for i in range(11)} | {(8, 0), (8, 1)}
 
 
@@ -213,14 +213,17 @@ def test_predictions_go_on_until_no_frontier_grows(spark, chain):
         return {(r["cascade_id"], r["user_id"]): (r["parent_id"], r["depth"]) for r in f(spark, "").collect() if r["threshold"] == threshold}
 
     want = {(c, u): (u - 1 if u > 1 else None, u - 1) for c in ("c1", "c2") for u in range(1, 7)}  # each k is 1, each w 1/2
-    assert of(queries.ic_predict_whole, 0.3) == of(queries.lt_predict_whole, 0.1) == want
-    deep = {u for (_, u), (_, d) in of(queries.memm_predict, 0.3).items() if d > 2}
+    nodes, graph = chain
+    start = trees.truncated(nodes, 1)
+    ic = lambda s, d: predict.ic(start, em.initial_k(graph), [0.3])
+    lt = lambda s, d: predict.lt(start, em.initial_w(graph, graphs.vertices(nodes)), [0.1])
+    assert of(ic, 0.3) == of(lt, 0.1) == want
+    models = seqlabel.fit_memm(features.bin_features(features.evidence(nodes, graph)))
+    deep = {u for (_, u), (_, d) in of(lambda s, d: seqlabel.predict(start, graph, models, [0.3]), 0.3).items() if d > 2}
     assert deep == {4, 5, 6}
 
 
-def test_registered_fits_are_those_of_plain_loops(spark, monkeypatch, nodes, act, graph):
-    for name, df in (("nodes_of", nodes), ("act_of", act), ("graph_of", graph)):
-        monkeypatch.setattr(queries, name, lambda s, d, df=df: df)
+def test_fits_are_those_of_plain_loops(spark, nodes, act, graph):
     edges = [tuple(r) for r in graph.collect()]
     t = {(c, u): x for c, u, _, x, _ in NODES}
     depth = {(c, u): x for c, u, _, _, x in NODES}
@@ -237,13 +240,12 @@ def test_registered_fits_are_those_of_plain_loops(spark, monkeypatch, nodes, act
     for _ in range(20):
         s = inverse(k, next_)
         k = {e: k[e] * s[e] / sum((c, e[0]) in t for c in SPAN) for e in edges}
-    assert values(queries.emic_fit_whole(spark, ""), "k") == pytest.approx(k, abs=1e-3)
+    assert values(em.fit_emic(nodes, graph)[0], "k") == pytest.approx(k, abs=1e-3)
     k = dict(k0)
     for _ in range(20):
         s = inverse(k, after)
         k = {e: ((b := tried[e] + 10) - max(b * b - 40 * k[e] * s[e], 0) ** 0.5) / 20 for e in edges}
-    assert values(queries.daic_fit_whole(spark, ""), "k") == pytest.approx(k, abs=1e-3)
-    assert values(queries.daic_fit(spark, ""), "k") != pytest.approx(k, abs=1e-3)
+    assert values(em.fit_daic(act, graph)[0], "k") == pytest.approx(k, abs=1e-3)
     k, r = dict(k0), dict.fromkeys(edges, 1 / 30)
     for _ in range(20):
         x = {(c, u, v): k[u, v] * np.exp(-r[u, v] * dt) for c, u, v, dt in after}
@@ -253,7 +255,7 @@ def test_registered_fits_are_those_of_plain_loops(spark, monkeypatch, nodes, act
         m = {(c, u, v): (al[c, u, v], al[c, u, v] + (1 - al[c, u, v]) * b[c, u, v], dt) for c, u, v, dt in after}
         k = {e: sum(y for i, (_, y, _) in m.items() if i[1:] == e) / tried[e] for e in edges}
         r = {e: sum(w for i, (w, _, _) in m.items() if i[1:] == e) / sum(y * dt for i, (_, y, dt) in m.items() if i[1:] == e) for e in edges}
-    got = queries.ctic_fit_whole(spark, "")
+    got = em.fit_ctic(act, graph)[0]
     assert values(got, "k") == pytest.approx(k, abs=5e-3) and values(got, "r") == pytest.approx(r, rel=5e-3)
 
 
@@ -264,7 +266,7 @@ def test_registered_sequence_models_have_all_states_and_rounds(spark, monkeypatc
         rows += [(f"c{c}", 5, i, sorted(set(rng.integers(1, 4, 2).tolist())), 3, 0) for i in range(2)] + [(f"c{c}", 5, 2, [c % 3 + 1], 3, c % 3 + 1 if c < 8 else 0)]
     ev = spark.createDataFrame(rows, "cascade_id string, v long, depth int, active array<int>, d long, state int")
     monkeypatch.setattr(queries, "evidence_of", lambda s, d: ev)
-    got = queries.crf_fit(spark, "").collect()
+    got = seqlabel.fit_crf(features.bin_features(ev)).collect()
     assert {r["state"] for r in got} == {0, 1, 2, 3}
     bins = features.bin_features(ev).toPandas().sort_values("depth")
     seqs = [(np.array([[0] * 3, *([int(i in s) for i in (1, 2, 3)] for s in one["seen"])], float), np.array([0, *one["state"]])) for _, one in bins.groupby("cascade_id")]
@@ -273,29 +275,9 @@ def test_registered_sequence_models_have_all_states_and_rounds(spark, monkeypatc
     x = np.array([[int(i in s) for i in (1, 2, 3)] + [0] for s in bins["seen"]], float)
     x[:, -1] = 4 - x.sum(axis=1)
     want, rounds = seqlabel.gis(x, (bins["state"] > 0).to_numpy(), 3)
-    fits = {r["pos"]: r for r in queries.memm_fit(spark, "").collect()}
+    fits = {r["pos"]: r for r in seqlabel.fit_memm(features.bin_features(ev)).collect()}
     assert [fits[p]["weight"] for p in (1, 2, 3, 0)] == pytest.approx(want) and fits[0]["iterations"] == rounds > 50
 
-    steps = bins[["cascade_id", "v", "depth", "seen", "d"]].assign(state=(bins["state"] > 0).astype(int))
-    monkeypatch.setattr(queries, "nodes_of", lambda s, d: None)
-    monkeypatch.setattr(queries, "graph_of", lambda s, d: None)
-    monkeypatch.setattr(mrf, "transitions", lambda n, g: spark.createDataFrame(steps.assign(seen=[list(map(int, s)) for s in steps["seen"]]), "cascade_id string, v long, depth int, seen array<int>, d long, state int"))
-    x[:, 1:], x[:, 0] = x[:, :3].copy(), 1
-    y, lam = steps["state"].to_numpy(float), np.zeros(4)
-    for _ in range(50):
-        lam += 0.01 * (y - 1 / (1 + np.exp(-x @ lam))) @ x
-    assert [r["weight"] for r in queries.mrf_fit(spark, "").orderBy("pos").collect()] == pytest.approx(lam, abs=0.02)
-
-
-def test_differences_of_whole_predictions(spark, monkeypatch, nodes, graph):
-    for name, df in (("nodes_of", nodes), ("graph_of", graph)):
-        monkeypatch.setattr(queries, name, lambda s, d, df=df: df)
-    monkeypatch.setattr(queries, "ic_predict_whole", lambda s, d: nodes.where("depth < 2").withColumn("threshold", F.lit(0.1)))
-    extra = spark.createDataFrame([("c1", 9, 0.1), ("c1", 1, 0.1), ("c2", 8, 0.3)], "cascade_id string, user_id long, threshold double")
-    monkeypatch.setattr(queries, "lt_predict_whole", lambda s, d: extra)
-    want = {("c1", 9, "b", False)} | {(c, u, "a", True) for c, u, _, _, d in NODES if d < 2 and (c, u) != ("c1", 1)}
-    assert {tuple(r) for r in queries.method_diff_whole(spark, "").select("cascade_id", "user_id", "only_in", "is_true").collect()} == want
-
 
 def test_scaling_matches_the_data():
     rng = np.random.default_rng(0)

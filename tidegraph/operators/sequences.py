@@ -21,19 +21,22 @@ def arrays(act: DataFrame) -> DataFrame:
     return act.groupBy("cascade_id").agg(seq.alias("s")).select("cascade_id", F.col("s.user_id").alias("users"), F.col("s.t").alias("times"))
 
 
-def active_parents(act: DataFrame, edges: DataFrame) -> DataFrame:
-    """cascade_id, u, v, dt: edges whose ends are both active, the source not later."""
-    u = act.select("cascade_id", F.col("user_id").alias("u"), F.col("t").alias("t_u"))
-    v = act.select("cascade_id", F.col("user_id").alias("v"), F.col("t").alias("t_v"))
-    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    return u.join(e, "u").join(v, ["cascade_id", "v"]).where("t_u <= t_v").select("cascade_id", "u", "v", (F.col("t_v") - F.col("t_u")).alias("dt"))
+def _ends(edges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v"))
+
 
+def active_parents(act: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """cascade_id, u, v, dt: edges whose ends are both active, the source not later. by: columns of both tables that keep cases (folds of a sample, say) apart."""
+    u = act.select(*by, "cascade_id", F.col("user_id").alias("u"), F.col("t").alias("t_u"))
+    v = act.select(*by, "cascade_id", F.col("user_id").alias("v"), F.col("t").alias("t_v"))
+    return u.join(_ends(edges, by), [*by, "u"]).join(v, [*by, "cascade_id", "v"]).where("t_u <= t_v").select(*by, "cascade_id", "u", "v", (F.col("t_v") - F.col("t_u")).alias("dt"))
 
-def exposed(act: DataFrame, edges: DataFrame) -> DataFrame:
+
+def exposed(act: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """cascade_id, u, v, dt: active sources of users who never act in the cascade; dt is the time left."""
-    u = act.select("cascade_id", F.col("user_id").alias("u"), (F.col("max_t") - F.col("t")).alias("dt"))
-    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    return u.join(e, "u").join(act.select("cascade_id", F.col("user_id").alias("v")), ["cascade_id", "v"], "left_anti").select("cascade_id", "u", "v", "dt")
+    u = act.select(*by, "cascade_id", F.col("user_id").alias("u"), (F.col("max_t") - F.col("t")).alias("dt"))
+    never = act.select(*by, "cascade_id", F.col("user_id").alias("v"))
+    return u.join(_ends(edges, by), [*by, "u"]).join(never, [*by, "cascade_id", "v"], "left_anti").select(*by, "cascade_id", "u", "v", "dt")
 
 
 def rond_set(act: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,8 +50,8 @@ def inactive_parents(act: DataFrame, edges: DataFrame) -> DataFrame:
     return rond_set(act, edges).join(e, "v").join(act.select("cascade_id", F.col("user_id").alias("u")), ["cascade_id", "u"], "left_anti").select("cascade_id", "v", "u")
 
 
-def trials(act: DataFrame, edges: DataFrame) -> DataFrame:
+def trials(act: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """u, v, n_pos, n_neg: cascades in which v acts after u, and in which u acts and v does not."""
-    pos = active_parents(act, edges).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_pos"))
-    neg = exposed(act, edges).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_neg"))
-    return pos.join(neg, ["u", "v"], "full").fillna(0, ["n_pos", "n_neg"])
+    pos = active_parents(act, edges, by).groupBy(*by, "u", "v").agg(F.count(F.lit(1)).alias("n_pos"))
+    neg = exposed(act, edges, by).groupBy(*by, "u", "v").agg(F.count(F.lit(1)).alias("n_neg"))
+    return pos.join(neg, [*by, "u", "v"], "full").fillna(0, ["n_pos", "n_neg"])

@@ -7,35 +7,44 @@ step, cutting lineage each round, until the change is small.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.scalar import guarded
 from tidegraph.operators import sequences as S
-from tidegraph.plans.loops import settled
+from tidegraph.plans.loops import bucketed, slots, written
 
 LARGEST = 3.4028234663852886e38
 
 
-def initial_k(edges: DataFrame) -> DataFrame:
+By = tuple[str, ...]
+
+
+def initial_k(edges: DataFrame, by: By = ()) -> DataFrame:
     """u, v, k = 1 / out-degree of u."""
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    return edges.join(out, "src").select(F.col("src").alias("u"), F.col("dst").alias("v"), (1 / F.col("n")).alias("k"))
+    out = edges.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("n"))
+    return edges.join(out, [*by, "src"]).select(*by, F.col("src").alias("u"), F.col("dst").alias("v"), (1 / F.col("n")).alias("k"))
 
 
-def norm_change(new: DataFrame, old: DataFrame, value: str, key: list[str]) -> float:
-    """The Frobenius norm of the difference; what one side lacks is 0."""
-    both = new.select(*key, F.col(value).alias("__x")).join(old.select(*key, F.col(value).alias("__y")), key, "full")
+def changes(new: DataFrame, old: DataFrame, value: str, key: list[str], by: By = ()) -> DataFrame:
+    """by, moved: the Frobenius norm of the difference; what one side lacks is 0."""
+    both = new.select(*by, *key, F.col(value).alias("__x")).join(old.select(*by, *key, F.col(value).alias("__y")), [*by, *key], "full")
     d = F.coalesce("__x", F.lit(0.0)) - F.coalesce("__y", F.lit(0.0))
-    return both.agg(F.sqrt(F.sum(d * d)).alias("d")).first()["d"] or 0.0
+    return both.groupBy(*by).agg(F.sqrt(F.sum(d * d)).alias("moved"))
+
+
+def norm_change(new: DataFrame, old: DataFrame, value: str, key: list[str]) -> float:
+    """The Frobenius norm of the difference of two tables of one case."""
+    return changes(new, old, value, key).first()["moved"] or 0.0
 
 
 def fit(start: DataFrame, step: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame, DataFrame], float], stop: float, most: int) -> tuple[DataFrame, int]:
     """Parameters, and after how many rounds: at most ``most``, fewer once the change falls below stop."""
-    now = settled(start)
+    now = written(start, "start")
     for i in range(1, most + 1):
-        new = settled(step(now))
+        new = written(step(now), "round")
         moved = change(new, now)
         now = new
         if moved < stop:
@@ -43,80 +52,129 @@ def fit(start: DataFrame, step: Callable[[DataFrame], DataFrame], change: Callab
     return now, most
 
 
+def fit_each(start: DataFrame, step: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame, DataFrame], DataFrame], stop: float, most: int, by: By) -> tuple[DataFrame, int]:
+    """The same for cases side by side, told apart by the columns by: a case whose change falls below stop leaves the loop, the others go on. change: by, moved."""
+    now, done = written(start, "start"), None
+    for i in range(1, most + 1):
+        new = written(step(now), "round")
+        still = written(change(new, now).where(F.coalesce("moved", F.lit(0.0)) >= stop).select(*by), "open")  # a row for each case
+        out = new if i == most else new.join(still, list(by), "left_anti")
+        done = out if done is None else done.unionByName(out)
+        if i == most or still.isEmpty():
+            return done, i
+        now = new.join(still, list(by), "left_semi")
+    return now, most
+
+
+def _repeat(start: DataFrame, step: Callable[[DataFrame], DataFrame], values: dict[str, float], stop: float, most: int, by: By) -> tuple[DataFrame, int]:
+    """fit or fit_each with a change that is the sum of those of some values of (u, v), each times a weight."""
+    if not by:
+        return fit(start, step, lambda a, b: sum(w * norm_change(a, b, x, ["u", "v"]) for x, w in values.items()), stop, most)
+
+    def change(a: DataFrame, b: DataFrame) -> DataFrame:
+        parts = [changes(a, b, x, ["u", "v"], by).select(*by, (F.col("moved") * w).alias("moved")) for x, w in values.items()]
+        return reduce(DataFrame.unionByName, parts).groupBy(*by).agg(F.sum("moved").alias("moved"))
+
+    return fit_each(start, step, change, stop, most, by)
+
+
 # discrete steps: a user can be activated by the users one level above
 
 
-def emic_trials(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def emic_trials(nodes: DataFrame, edges: DataFrame, by: By = ()) -> tuple[DataFrame, DataFrame]:
     """(cascade_id, u, v) with v one level below u, and (u, v, n_all): cascades with u."""
-    a = nodes.select("cascade_id", F.col("user_id").alias("u"), (F.col("depth") + 1).alias("depth"))
-    b = nodes.select("cascade_id", F.col("user_id").alias("v"), "depth")
-    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    pos = a.join(e, "u").join(b, ["cascade_id", "v", "depth"]).select("cascade_id", "u", "v")
-    every = nodes.groupBy(F.col("user_id").alias("u")).agg(F.count(F.lit(1)).alias("n_all"))
-    return pos, e.join(every, "u").select("u", "v", "n_all")
+    a = nodes.select(*by, "cascade_id", F.col("user_id").alias("u"), (F.col("depth") + 1).alias("depth"))
+    b = nodes.select(*by, "cascade_id", F.col("user_id").alias("v"), "depth")
+    e = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v"))
+    pos = a.join(e, [*by, "u"]).join(b, [*by, "cascade_id", "v", "depth"]).select(*by, "cascade_id", "u", "v")
+    every = nodes.groupBy(*by, F.col("user_id").alias("u")).agg(F.count(F.lit(1)).alias("n_all"))
+    return pos, e.join(every, [*by, "u"]).select(*by, "u", "v", "n_all")
+
+
+def laid(trials: DataFrame, name: str, hot: int | None = None) -> DataFrame:
+    """Rows (cascade_id, u, v) of a fit, hashed by receiver once: no round shuffles them. Of a receiver with very many rows the cascades are dealt over slots; what is
+    summed by cascade and receiver stays in a slot, what is summed by edge is added up over them."""
+    return bucketed(slots(trials, "v", "cascade_id", hot), name)
+
+
+def slots_of(pos: DataFrame) -> DataFrame:
+    """v, slot: where the rows of each receiver lie."""
+    return written(pos.select("v", "slot").distinct(), "slots")
 
 
-def _inverse_success(pos: DataFrame, k: DataFrame) -> DataFrame:
+def _placed(par: DataFrame, places: DataFrame) -> DataFrame:
+    """Parameters of edges beside the rows of their receivers, once for each slot."""
+    return par.join(places, "v")
+
+
+def _inverse_success(pos: DataFrame, k: DataFrame, places: DataFrame, by: By = ()) -> DataFrame:
     """u, v, s: the sum of 1 / P over the positive cascades, P the chance that one of the parents succeeds."""
-    given = pos.join(k, ["u", "v"])
-    p = given.groupBy("cascade_id", "v").agg((1 - F.product(1 - F.col("k"))).alias("p"))
-    return pos.join(p, ["cascade_id", "v"]).groupBy("u", "v").agg(F.sum(F.when(F.col("p") == 0, 0.0).otherwise(1 / F.col("p"))).alias("s"))
+    given = pos.join(_placed(k, places), [*by, "slot", "u", "v"])
+    p = given.groupBy(*by, "slot", "cascade_id", "v").agg((1 - F.product(1 - F.col("k"))).alias("p"))
+    s = F.sum(F.when(F.col("p") == 0, 0.0).otherwise(1 / F.col("p"))).alias("s")
+    part = pos.join(p, [*by, "slot", "cascade_id", "v"]).groupBy(*by, "slot", "u", "v").agg(s)
+    return part.groupBy(*by, "u", "v").agg(F.sum("s").alias("s"))
 
 
-def emic_step(k: DataFrame, pos: DataFrame, tried: DataFrame) -> DataFrame:
-    """u, v, k; 0 where no cascade is positive."""
-    s = _inverse_success(pos, k)
-    return tried.join(k, ["u", "v"]).join(s, ["u", "v"], "left").select("u", "v", (F.col("k") * F.coalesce("s", F.lit(0.0)) / F.col("n_all")).alias("k"))
+def emic_step(k: DataFrame, pos: DataFrame, places: DataFrame, tried: DataFrame, by: By = ()) -> DataFrame:
+    """u, v, k; 0 where no cascade is positive. pos: laid()."""
+    s = _inverse_success(pos, k, places, by)
+    return tried.join(k, [*by, "u", "v"]).join(s, [*by, "u", "v"], "left").select(*by, "u", "v", (F.col("k") * F.coalesce("s", F.lit(0.0)) / F.col("n_all")).alias("k"))
 
 
-def fit_emic(nodes: DataFrame, edges: DataFrame, iterations: int = 20, stop: float = 1e-4) -> tuple[DataFrame, int]:
-    pos, tried = (settled(x) for x in emic_trials(nodes, edges))
-    return fit(initial_k(edges), lambda k: emic_step(k, pos, tried), lambda a, b: norm_change(a, b, "k", ["u", "v"]), stop, iterations)
+def fit_emic(nodes: DataFrame, edges: DataFrame, iterations: int = 20, stop: float = 1e-4, by: By = ()) -> tuple[DataFrame, int]:
+    """by: columns of nodes and edges; a fit for each case, all in one loop."""
+    pos, tried = emic_trials(nodes, edges, by)
+    pos, tried = laid(pos, "levels"), written(tried, "tried")
+    places = slots_of(pos)
+    return _repeat(initial_k(edges, by), lambda k: emic_step(k, pos, places, tried, by), {"k": 1.0}, stop, iterations, by)
 
 
 # continuous times with a penalty
 
 
-def daic_step(k: DataFrame, ap: DataFrame, tried: DataFrame, penalty: float = 10.0) -> DataFrame:
-    """u, v, k: the smaller root of the penalised equation; a negative discriminant counts as 0. tried: u, v, n_pos, n_neg."""
-    s = _inverse_success(ap.select("cascade_id", "u", "v"), k)
-    beta = F.col("n_pos") + F.col("n_neg") + penalty
+def daic_step(k: DataFrame, ap: DataFrame, places: DataFrame, tried: DataFrame, penalty: float = 10.0, by: By = ()) -> DataFrame:
+    """u, v, k: the smaller root of the penalised equation; a negative discriminant counts as 0. tried: u, v, n_pos, n_neg, and penalty where it differs by case."""
+    s = _inverse_success(ap.select(*by, "slot", "cascade_id", "u", "v"), k, places, by)
+    weight = F.col("penalty") if "penalty" in tried.columns else F.lit(penalty)
+    beta = F.col("n_pos") + F.col("n_neg") + weight
     gamma = F.col("k") * F.coalesce("s", F.lit(0.0))
-    under = beta * beta - 4 * penalty * gamma
+    under = beta * beta - 4 * weight * gamma
     root = F.when((F.abs(under) < 1e-10) | (under < 0), 0.0).otherwise(under)
-    return tried.join(k, ["u", "v"]).join(s, ["u", "v"], "left").select("u", "v", ((beta - F.sqrt(root)) / (2 * penalty)).alias("k"))
+    return tried.join(k, [*by, "u", "v"]).join(s, [*by, "u", "v"], "left").select(*by, "u", "v", ((beta - F.sqrt(root)) / (2 * weight)).alias("k"))
 
 
-def fit_daic(act: DataFrame, edges: DataFrame, iterations: int = 20, stop: float = 1e-4, penalty: float = 10.0) -> tuple[DataFrame, int]:
-    ap, tried = settled(S.active_parents(act, edges)), settled(S.trials(act, edges))
-    return fit(initial_k(edges), lambda k: daic_step(k, ap, tried, penalty), lambda a, b: norm_change(a, b, "k", ["u", "v"]), stop, iterations)
+def fit_daic(act: DataFrame, edges: DataFrame, iterations: int = 20, stop: float = 1e-4, penalty: float = 10.0, by: By = ()) -> tuple[DataFrame, int]:
+    """by: as fit_emic; edges may have a column penalty that depends on the case."""
+    ap, tried = laid(S.active_parents(act, edges, by), "active"), S.trials(act, edges, by)
+    if "penalty" in edges.columns:
+        tried = tried.join(edges.select(*by, "penalty").distinct(), list(by))
+    tried, places = written(tried, "tried"), slots_of(ap)
+    return _repeat(initial_k(edges, by), lambda k: daic_step(k, ap, places, tried, penalty, by), {"k": 1.0}, stop, iterations, by)
 
 
 # continuous times with rates
 
 
-def ctic_step(par: DataFrame, ap: DataFrame, tried: DataFrame) -> DataFrame:
-    """u, v, k, r; edges without a positive cascade drop out."""
-    from pyspark.sql import Window
-
+def ctic_step(par: DataFrame, ap: DataFrame, places: DataFrame, tried: DataFrame, by: By = ()) -> DataFrame:
+    """u, v, k, r; edges without a positive cascade drop out. ap: laid()."""
     dt = guarded(F.col("dt"))
-    given = ap.join(par, ["u", "v"]).withColumn("dt", dt).withColumn("x", F.col("k") * F.exp(-F.col("r") * F.col("dt")))
-    within = Window.partitionBy("cascade_id", "v")
+    given = ap.join(_placed(par, places), [*by, "slot", "u", "v"]).withColumn("dt", dt).withColumn("x", F.col("k") * F.exp(-F.col("r") * F.col("dt")))
+    within = Window.partitionBy(*by, "slot", "cascade_id", "v")
     base = F.col("x") + 1 - F.col("k")
     weighed = given.withColumns({"beta": F.col("x") / base, "a": F.col("r") * F.col("x") / base}).withColumns({"sum_a": F.sum("a").over(within), "n": F.count(F.lit(1)).over(within)})
     alpha = F.when(F.col("n") == 1, 1.0).when(F.col("sum_a") == 0, 0.0).otherwise(F.col("a") / F.col("sum_a"))
     spread = weighed.withColumn("alpha", alpha).withColumn("m", F.col("alpha") + (1 - F.col("alpha")) * F.col("beta"))
-    sums = spread.groupBy("u", "v").agg(F.sum("alpha").alias("sa"), F.sum("m").alias("sm"), F.sum(F.col("m") * F.col("dt")).alias("st"))
-    return sums.join(tried, ["u", "v"]).select("u", "v", (F.col("sm") / (F.col("n_pos") + F.col("n_neg"))).alias("k"), F.when(F.col("st") == 0, 0.0).otherwise(F.col("sa") / F.col("st")).alias("r"))
+    part = spread.groupBy(*by, "slot", "u", "v").agg(F.sum("alpha").alias("sa"), F.sum("m").alias("sm"), F.sum(F.col("m") * F.col("dt")).alias("st"))
+    sums = part.groupBy(*by, "u", "v").agg(*[F.sum(c).alias(c) for c in ("sa", "sm", "st")])
+    return sums.join(tried, [*by, "u", "v"]).select(*by, "u", "v", (F.col("sm") / (F.col("n_pos") + F.col("n_neg"))).alias("k"), F.when(F.col("st") == 0, 0.0).otherwise(F.col("sa") / F.col("st")).alias("r"))
 
 
-def ctic_change(a: DataFrame, b: DataFrame) -> float:
-    return norm_change(a, b, "r", ["u", "v"]) / 90000 + norm_change(a, b, "k", ["u", "v"])
-
-
-def fit_ctic(act: DataFrame, edges: DataFrame, iterations: int = 20, stop: float = 2e-4) -> tuple[DataFrame, int]:
-    ap, tried = settled(S.active_parents(act, edges)), settled(S.trials(act, edges))
-    return fit(initial_k(edges).withColumn("r", F.lit(1 / 30)), lambda p: ctic_step(p, ap, tried), ctic_change, stop, iterations)
+def fit_ctic(act: DataFrame, edges: DataFrame, iterations: int = 20, stop: float = 2e-4, by: By = ()) -> tuple[DataFrame, int]:
+    """by: as fit_emic."""
+    ap, tried = laid(S.active_parents(act, edges, by), "active"), written(S.trials(act, edges, by), "tried")
+    places = slots_of(ap)
+    return _repeat(initial_k(edges, by).withColumn("r", F.lit(1 / 30)), lambda p: ctic_step(p, ap, places, tried, by), {"r": 1 / 90000, "k": 1.0}, stop, iterations, by)
 
 
 # thresholds with delays: self weights are rows with u = v
@@ -147,28 +205,32 @@ def aslt_g(par: DataFrame, ex: DataFrame) -> DataFrame:
     return less.join(whole, "v").select("cascade_id", "v", F.greatest(F.col("whole") + F.col("less"), F.lit(0.0)).alias("g"))
 
 
-def aslt_step(par: DataFrame, act: DataFrame, ap: DataFrame, ex: DataFrame) -> DataFrame:
-    """u, v, w, r from the rates and weights before; columns of w have length 1.
+def aslt_step(par: DataFrame, ap: DataFrame, ex: DataFrame, at: DataFrame, ex_at: DataFrame) -> DataFrame:
+    """u, v, w, r from the rates and weights before; columns of w have length 1. ap (with first: whether v acts first of all) and ex: laid(); at and ex_at: their slots_of().
 
     A source that is inactive in a cascade of v's rond set, and v itself, add w / g there; summed over cascades that is w times the sum of 1 / g, less those in which the source is active.
+    Densities h and chances g are sums over the rows of a cascade and receiver, which lie in one slot; only sums by edge leave it.
     """
-    from pyspark.sql import Window
-
-    h, g = aslt_h(par, act, ap), aslt_g(par, ex).where("g > 0")
-    dt: Column = F.col("dt")
-    phi = F.col("w") * F.col("r") * F.exp(-F.col("r") * guarded(dt)) / F.col("h")
-    phi_h = ap.join(par, ["u", "v"]).join(h, ["cascade_id", "v"]).where("h > 0").select("u", "v", phi.alias("x"), phi.alias("y"), guarded(dt, 1 / 1440).alias("d"), F.lit(1).alias("acts"))
-    decay = -F.col("r") * dt
-    psi = ex.join(par, ["u", "v"]).join(g, ["cascade_id", "v"]).select("u", "v", (F.col("w") * F.exp(decay) / F.col("g")).alias("x"), (F.col("w") * F.expm1(decay) / F.col("g")).alias("y"), dt.alias("d"), F.lit(0).alias("acts"))
-    timed = phi_h.unionByName(psi)
-    top, bottom = F.sum(F.when(F.col("acts") == 1, F.col("x")).otherwise(0.0)), F.sum(F.col("x") * F.col("d"))
-    rate = timed.groupBy("v").agg(F.when(top == 0, 0.0).when(bottom == 0, LARGEST).otherwise(top / bottom).alias("r"))
-    mass = timed.groupBy("u", "v").agg(F.sum("y").alias("y"))
-    quiet = g.groupBy("v").agg(F.sum(1 / F.col("g")).alias("quiet"))
-    every = par.select("u", "v", "w").join(mass, ["u", "v"], "left").join(quiet, "v", "left")
-    every = every.withColumn("x", F.greatest(F.coalesce("y", F.lit(0.0)) + F.col("w") * F.coalesce("quiet", F.lit(0.0)), F.lit(0.0)))
+    dt, w, r = F.col("dt"), F.col("w"), F.col("r")
+    within = Window.partitionBy("slot", "cascade_id", "v")
+    tops, bottoms, masses = (lambda x: F.sum(x).alias("top")), (lambda x: F.sum(x).alias("bottom")), (lambda x: F.sum(x).alias("y"))
+    seen = ap.join(_placed(par, at), ["slot", "u", "v"]).withColumn("s", F.max("r").over(within) * F.sum(w * F.exp(-r * guarded(dt))).over(within))
+    seen = seen.withColumn("h", F.when(F.col("first"), 1.0).otherwise(F.col("s"))).where("h > 0")
+    phi = w * r * F.exp(-r * guarded(dt)) / F.col("h")
+    acts = seen.groupBy("slot", "u", "v").agg(tops(phi), bottoms(phi * guarded(dt, 1 / 1440)), masses(phi))
+    whole = par.groupBy("v").agg(F.sum("w").alias("whole"))
+    rest = ex.join(_placed(par.join(whole, "v"), ex_at), ["slot", "u", "v"]).withColumn("less", F.sum(w * F.expm1(-r * dt)).over(within))
+    rest = rest.withColumn("g", F.greatest(F.col("whole") + F.col("less"), F.lit(0.0))).where("g > 0")
+    psi = w * F.exp(-r * dt) / F.col("g")
+    waits = rest.groupBy("slot", "u", "v").agg(F.lit(0.0).alias("top"), bottoms(psi * dt), masses(w * F.expm1(-r * dt) / F.col("g")))
+    sums = acts.unionByName(waits).groupBy("u", "v").agg(*[F.sum(c).alias(c) for c in ("top", "bottom", "y")])
+    top, bottom = F.sum("top"), F.sum("bottom")
+    rate = sums.groupBy("v").agg(F.when(top == 0, 0.0).when(bottom == 0, LARGEST).otherwise(top / bottom).alias("rate"))
+    quiet = rest.groupBy("slot", "cascade_id", "v").agg(F.first("g").alias("g")).groupBy("v").agg(F.sum(1 / F.col("g")).alias("quiet"))
+    every = par.select("u", "v", "w").join(sums.select("u", "v", "y"), ["u", "v"], "left").join(quiet, "v", "left")
+    every = every.withColumn("x", F.greatest(F.coalesce("y", F.lit(0.0)) + w * F.coalesce("quiet", F.lit(0.0)), F.lit(0.0)))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("v")))
-    return every.withColumn("len", length).join(rate, "v", "left").select("u", "v", F.when(F.col("len") == 0, 0.0).otherwise(F.col("x") / F.col("len")).alias("w"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    return every.withColumn("len", length).join(rate, "v", "left").select("u", "v", F.when(F.col("len") == 0, 0.0).otherwise(F.col("x") / F.col("len")).alias("w"), F.coalesce("rate", F.lit(0.0)).alias("r"))
 
 
 def aslt_change(a: DataFrame, b: DataFrame) -> float:
@@ -177,6 +239,7 @@ def aslt_change(a: DataFrame, b: DataFrame) -> float:
 
 
 def fit_aslt(act: DataFrame, edges: DataFrame, users: DataFrame, iterations: int = 2, stop: float = 2e-4) -> tuple[DataFrame, int]:
-    ap, ex = (settled(x) for x in (S.active_parents(act, edges), S.exposed(act, edges)))
-    act = settled(act)
-    return fit(initial_w(edges, users), lambda p: aslt_step(p, act, ap, ex), aslt_change, stop, iterations)
+    first = act.select("cascade_id", F.col("user_id").alias("v"), (F.col("t") == 0).alias("first"))
+    ap, ex = laid(S.active_parents(act, edges).join(first, ["cascade_id", "v"]), "active"), laid(S.exposed(act, edges), "exposed")
+    at, ex_at = slots_of(ap), slots_of(ex)
+    return fit(initial_w(edges, users), lambda p: aslt_step(p, ap, ex, at, ex_at), aslt_change, stop, iterations)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators import evaluate, features, graphs, sampling, trees
 from tidegraph.plans import em, mrf, predict, seqlabel
-from tidegraph.plans.loops import settled
+from tidegraph.plans.loops import settled, written
 
 
 @dataclass
@@ -113,27 +114,79 @@ def _folds(train: DataFrame, k: int) -> Iterator[tuple[DataFrame, DataFrame]]:
         yield dealt.where(F.col("fold") != i).select("cascade_id"), dealt.where(F.col("fold") == i).select("cascade_id")
 
 
+#: How the models that predict by probabilities of edges are fitted on (nodes, activations, graph) with columns that keep cases apart.
+SIDE_BY_SIDE: dict[str, Callable[..., DataFrame]] = {
+    "emic": lambda n, a, g, **c: em.fit_emic(n, g, **c)[0],
+    "daic": lambda n, a, g, **c: em.fit_daic(a, g, **c)[0],
+    "ctic": lambda n, a, g, **c: em.fit_ctic(a, g, **c)[0],
+}
+
+
+def cases(method: str, data: Data, train: DataFrame, drawn: DataFrame, folds: int = 3, init_depth: int = 0, max_depth: int | None = None, on: str = "nodes", max_step: int | None = None, **constants: float) -> DataFrame:
+    """draw, fold, threshold, cascade_id and metrics: every draw on every fold of train, in one fit and one prediction.
+
+    drawn: draw, threshold and, where it is drawn, penalty; a row for each threshold of a draw. Fold and draw are columns of the loops' tables, so a round is one job whatever
+    their number, and draws that have converged leave the fit. Draws without a penalty share their fit.
+    """
+    dealt = settled(sampling.folds(train, folds))
+    every = data.nodes.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))
+    known = settled(dealt.withColumnRenamed("fold", "own").crossJoin(F.broadcast(every)).where("own <> fold").select("fold", "cascade_id"))  # folds: few
+    nodes, act = (written(x.join(known, "cascade_id"), "fold") for x in (data.nodes, data.act))
+    graph = written(nodes.where("parent_id is not null").select("fold", F.col("parent_id").alias("src"), F.col("user_id").alias("dst")).distinct(), "graphs")
+    by: tuple[str, ...] = ("fold",)
+    case_nodes, case_act, case_graph = nodes, act, graph
+    if "penalty" in drawn.columns:
+        by = ("fold", "draw")
+        one = F.broadcast(drawn.select("draw", "penalty").distinct())  # draws: few
+        case_nodes, case_act, case_graph = nodes, act.crossJoin(one.drop("penalty")), graph.crossJoin(one)
+    par = SIDE_BY_SIDE[method](case_nodes, case_act, case_graph, by=by, **constants)
+    true = written(data.nodes.join(dealt, "cascade_id"), "held")
+    deep = true.groupBy("cascade_id").agg(F.max("depth").alias("d")).where(F.col("d") > init_depth).select("cascade_id")
+    usable = settled(true.join(deep, "cascade_id", "left_semi"))
+    given = trees.truncated(usable, init_depth)
+    out = written(predict.ic(given.crossJoin(F.broadcast(drawn.select("draw", "threshold"))), par, [], max_step, ("fold", "draw")), "outputs")  # draws: few
+    measure = evaluate.nodes_metrics if on == "nodes" else evaluate.edges_metrics
+    scored = [measure(*(x.where(F.col("fold") == f) for x in (out, usable, given, graph)), max_depth, ("draw", "threshold")).withColumn("fold", F.lit(f)) for f in range(folds)]
+    return reduce(DataFrame.unionByName, scored)
+
+
 def tune(method: str, data: Data, train: DataFrame, thresholds: list[float], folds: int = 3, **options) -> tuple[float, DataFrame]:
     """The threshold with the best mean f1 over the folds of train, and the means of all."""
-    parts = [scores(method, data, a, b, thresholds, **options) for a, b in _folds(train, folds)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    if method in SIDE_BY_SIDE:
+        drawn = data.nodes.sparkSession.createDataFrame([(0, float(t)) for t in thresholds], "draw int, threshold double")
+        every = cases(method, data, train, drawn, folds, **options)
+    else:
+        every = reduce(DataFrame.unionByName, [scores(method, data, a, b, thresholds, **options) for a, b in _folds(train, folds)])
     means = settled(evaluate.mean_metrics(every, ("threshold",)))
     return evaluate.best_threshold(means).first()["threshold"], means
 
 
+def draws(ranges: dict[str, tuple[float, float]], iterations: int, seed: int = 0) -> list[dict[str, float]]:
+    """Uniform draws of the parameters."""
+    rng = random.Random(seed)
+    return [{k: rng.uniform(*r) for k, r in sorted(ranges.items())} for _ in range(iterations)]
+
+
 def search(method: str, data: Data, train: DataFrame, ranges: dict[str, tuple[float, float]], iterations: int = 100, seed: int = 0, folds: int = 3, **options) -> tuple[dict[str, float], float]:
-    """The best of ``iterations`` uniform draws of the parameters in ranges, and its mean f1; a range named threshold is one of them."""
-    rng, best, top = random.Random(seed), {}, -1.0
-    for _ in range(iterations):
-        drawn = {k: rng.uniform(*r) for k, r in sorted(ranges.items())}
+    """The best of ``iterations`` uniform draws of the parameters in ranges, and its mean f1 (the first of equals); a range named threshold is one of them.
+
+    Models of SIDE_BY_SIDE whose only drawn constant is the penalty are fitted for all draws at once, others one after the other.
+    """
+    made = draws(ranges, iterations, seed)
+    if method in SIDE_BY_SIDE and set(ranges) <= {"threshold", "penalty"} and ("penalty" not in ranges or method == "daic"):
+        fields = [c for c in ("penalty",) if c in ranges]
+        drawn = data.nodes.sparkSession.createDataFrame([(i, d.get("threshold", 0.5), *[d[c] for c in fields]) for i, d in enumerate(made)], ", ".join(["draw int", "threshold double", *[f"{c} double" for c in fields]]))
+        found = evaluate.mean_metrics(cases(method, data, train, drawn, folds, **options), ("draw",)).select("draw", F.coalesce("f1", F.lit(0.0)).alias("f1"))
+        top = found.agg(F.max(F.struct("f1", -F.col("draw"))).alias("x")).first()["x"]
+        return (made[-top[1]], top[0]) if top else ({}, -1.0)
+    best, most = {}, -1.0
+    for drawn in made:
         constants = {k: v for k, v in drawn.items() if k != "threshold"}
         _, means = tune(method, data, train, [drawn.get("threshold", 0.5)], folds, **constants, **options)
         f1 = means.first()["f1"] or 0.0
-        if f1 > top:
-            best, top = drawn, f1
-    return best, top
+        if f1 > most:
+            best, most = drawn, f1
+    return best, most
 
 
 def compare(methods: list[str], data: Data, train: DataFrame, test: DataFrame, threshold: float, settings: list[tuple[int, int | None]]) -> DataFrame:

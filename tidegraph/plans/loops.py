@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one receiver from which on it is dealt over several slots.
+HOT = 1_000_000
+
+
+def slots(rows: DataFrame, key: str, other: str, hot: int | None = None) -> DataFrame:
+    """rows with a column slot: one for each value of key, and for a value with more than ``hot`` rows as many as keep each below that, chosen by the hash of other."""
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > (hot or HOT))
+    pieces = F.coalesce(F.ceil(F.col("__n") / (hot or HOT)), F.lit(1))
+    return rows.join(size, key, "left").withColumn("slot", F.xxhash64(key, F.pmod(F.xxhash64(other), pieces))).drop("__n")
+
+
+def bucketed(df: DataFrame, name: str, key: str = "slot") -> DataFrame:
+    """df as a table of the shared folder that is hashed by key once, into as many buckets as shuffles have partitions. Joins and sums that have key among their columns read it as it lies.
+
+    Joins on more columns than key count as co-located too: that is Spark's setting requireAllClusterKeysForCoPartition, which is put off for the session.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(many, key).write.bucketBy(many, key).sortBy(key).option("path", shared_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df after a reliable checkpoint in the session's shared folder."""
     shared_dir(df.sparkSession)

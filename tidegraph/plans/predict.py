@@ -10,31 +10,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.scalar import received
-from tidegraph.plans.loops import settled
+from tidegraph.plans.loops import settled, written
 
 STATE = ["threshold", "cascade_id", "user_id", "parent_id", "act_time", "depth", "probability"]
 
 
-def _start(initial: DataFrame, thresholds: list[float]) -> tuple[DataFrame, DataFrame]:
+def _start(initial: DataFrame, thresholds: list[float], by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     spark = initial.sparkSession
     thr = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    nodes = initial.withColumn("probability", F.lit(None).cast("double")).crossJoin(F.broadcast(thr)).select(*STATE)  # few thresholds
-    deepest = nodes.join(nodes.groupBy("threshold", "cascade_id").agg(F.max("depth").alias("depth")), ["threshold", "cascade_id", "depth"], "left_semi").select(*STATE)
+    nodes = initial.withColumn("probability", F.lit(None).cast("double"))
+    nodes = (nodes if "threshold" in initial.columns else nodes.crossJoin(F.broadcast(thr))).select(*by, *STATE)  # few thresholds
+    deepest = nodes.join(nodes.groupBy(*by, "threshold", "cascade_id").agg(F.max("depth").alias("depth")), [*by, "threshold", "cascade_id", "depth"], "left_semi").select(*by, *STATE)
     return nodes, deepest
 
 
-def ic(initial: DataFrame, par: DataFrame, thresholds: list[float], max_step: int | None = None) -> DataFrame:
-    """par: u, v, k and, if known, r. A user joins at the first user of the frontier, in time, whose k reaches the threshold, and takes it as parent."""
+def ic(initial: DataFrame, par: DataFrame, thresholds: list[float], max_step: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """par: u, v, k and, if known, r. A user joins at the first user of the frontier, in time, whose k reaches the threshold, and takes it as parent.
+
+    by: columns of initial that keep cases apart (fold, method, depth given and so on); those that par has too choose the parameters. All cases go through one loop. A
+    column threshold of initial takes the place of thresholds.
+    """
+    shared = [c for c in by if c in par.columns]
     rate = F.col("r") if "r" in par.columns else F.lit(0.0)
-    p = par.select("u", "v", "k", rate.alias("r"))
-    done, front = (settled(x) for x in _start(initial, thresholds))
+    p = par.select(*shared, "u", "v", "k", rate.alias("r"))
+    done, front = (written(x, "tree") for x in _start(initial, thresholds, by))
     kind, step = initial.schema["act_time"].dataType, 0
+    key = [*by, "threshold", "cascade_id"]
     while (max_step is None or step < max_step) and not front.isEmpty():
-        hit = front.join(p, front["user_id"] == p["u"]).where("k >= threshold")
-        new = hit.join(done.select("threshold", "cascade_id", F.col("user_id").alias("v")), ["threshold", "cascade_id", "v"], "left_anti")
-        first = new.groupBy("threshold", "cascade_id", "v").agg(F.min(F.struct(F.col("act_time"), F.col("user_id").alias("u"), "k", "r", "depth")).alias("x"))
-        front = settled(first.select("threshold", "cascade_id", F.col("v").alias("user_id"), F.col("x.u").alias("parent_id"), received(F.col("x.act_time"), F.col("x.r")).cast(kind).alias("act_time"), (F.col("x.depth") + 1).alias("depth"), F.col("x.k").alias("probability")))
-        done = settled(done.unionByName(front))
+        hit = front.withColumnRenamed("user_id", "u").join(p, [*shared, "u"]).where("k >= threshold")
+        new = hit.join(done.select(*key, F.col("user_id").alias("v")), [*key, "v"], "left_anti")
+        first = new.groupBy(*key, "v").agg(F.min(F.struct("act_time", "u", "k", "r", "depth")).alias("x"))
+        found = first.select(*key, F.col("v").alias("user_id"), F.col("x.u").alias("parent_id"), received(F.col("x.act_time"), F.col("x.r")).cast(kind).alias("act_time"), (F.col("x.depth") + 1).alias("depth"), F.col("x.k").alias("probability"))
+        front = written(found.select(*by, *STATE), "front")
+        done = done.unionByName(front)
         step += 1
     return done
 
