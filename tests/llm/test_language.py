@@ -34,7 +34,7 @@ def test_scores_are_those_of_plain_sets(spark):
     assert f.own == pytest.approx(own)
 
     texts = ["", "x", *[t for _, t, _ in rows[:40]], "wholly other words", "a\nb " * 50]
-    got = f.scores(*language.grams(pa.array(texts)))
+    got = f.scores(*language.folded(pa.array(texts)))
     for text, line in zip(texts, got):
         mine = grams(text)
         for i, x in enumerate(f.languages):

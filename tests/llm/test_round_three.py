@@ -67,7 +67,7 @@ def made_pages():
     rows, want = [], []
     for i in range(40):
         par = [prose(9) for _ in range(3)]
-        own = "A sentence that the author repeats." if i % 2 else par[0]
+        own = "A sentence that the author repeats." if i % 2 and i < 30 else par[0]
         box = "<div><div>Subscribe to our daily letter</div><p>It is free</p></div>"
         body = f'<div class="q1"><div>Home of the brave</div></div><div><h1>{par[1]}</h1>{f"<article><h1>{par[1]}</h1><p>{own}</p>{box}<p>{par[2]}</p></article>" if i < 30 else f"<p>{own}</p>{box}"}</div><div>Hosted by us</div>'
         rows.append((i, f"https://User@Site.example.org:80/{i}", page(body, i)))
@@ -258,3 +258,88 @@ def test_shares_beyond_64_bits(spark):
     counts = [0, 5, 8_999_999_999, 9_000_000_000, 10**14]
     got = [r["p"] for r in spark.createDataFrame([(c,) for c in counts], "c long").select(divergence.share(F.col("c"), F.lit(10**15), F.lit(7)).alias("p")).collect()]
     assert got == [1 + 10**9 * (c + 1) // (10**15 + 7) for c in counts] == divergence.shares(np.array(counts), np.array([10**15] * 5), np.array([7] * 5)).tolist()
+
+
+# memory of long texts, the verdict of op9, packing in partitions
+
+
+def test_language_of_a_long_text_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidegraph.llm import language
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeé", k=4)) for _ in range(200)]
+    short = " ".join(rng.choices(words, k=400))
+    code = np.concatenate([c for c, _, _ in language.blocks(*language.folded(pa.array([short])))])
+    g, n = np.unique(code, return_counts=True)
+    f = language.Filter(["xx"], {0: (g, n / n.sum())}, "xx")
+    texts = pa.array([short, "other zzzz", None, "", short * 3, "é"])
+    want = f.scores(*language.folded(texts))
+    monkeypatch.setattr(language, "BLOCK", 37)
+    assert np.array_equal(f.scores(*language.folded(texts)), want)
+    monkeypatch.undo()
+    column = pa.array([" ".join(rng.choices(words, k=6_000_000))])  # 30 MB
+    tracemalloc.start()
+    f.scores(*language.folded(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * column.nbytes  # what numpy holds
+
+
+def plain_verdict(text):
+    """base_failed and kept of a text, rule by rule."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    base = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+    lost = total = 0
+    for line in (text or "").split("\n"):
+        tokens = [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", line) if w]
+        if not tokens:
+            continue
+        n = len(line.split())
+        total += len(line)
+        separators = sum(line.count(c) for c in "|»›•·") + len(re.findall(r"(?<=\s)>(?=\s)", line))
+        menu = separators >= 3 and 4 * separators >= n
+        noise = n > 2 and 10 * sum(c in "#*$%&|<>" for c in line) > 3 * n
+        loud = 3 * line.count("!") > n + 2 or n >= 5 and line.upper() == line and line.lower() != line
+        ending = (".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "。", "！", "？")
+        unfinished = n >= 5 and line.rstrip()[-1:] not in ending
+        phrases = ["all rights reserved", "privacy policy", "read more", "subscribe", "leer más", "lire la suite", "impressum"]
+        told = sum(len(p) for p in phrases if re.search(rf"\b{p}\b", line, re.I))
+        if menu or noise or loud or unfinished or 8 * told >= len(line.strip()) and told:
+            lost += len(line)
+    return base, not base and 2 * lost <= total
+
+
+def test_verdict_of_quality_rules(spark):
+    from tidegraph.llm import quality
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) + "."
+    bad = ["Home | News | Sport | More", "All rights reserved.", "Read more", "BUY THE BEST CARS HERE NOW", "### *** $$$ a b", "Wow!!! So great!!! Yes!!!", "a title without any end", "Subscribe for free.", "Leer más", "Impressum"]
+    texts = [None, "", prose(19), prose(20), prose(40), prose(40) + " Read more in the privacy policy", "read more " + prose(60)]
+    for _ in range(60):
+        lines = [prose(rng.randint(4, 25)) for _ in range(rng.randint(1, 4))] + rng.choices(bad, k=rng.randint(0, 16))
+        rng.shuffle(lines)
+        texts.append("\n".join(lines))
+    texts += [f"{prose(12)}\n" * 5, (prose(9) + " ") * 6]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["q"]["base_failed"], r["q"]["kept"]) for r in quality.clean_lines(df, into="q").collect()}
+    assert got == {i: plain_verdict(t) for i, t in enumerate(texts)}
+    assert {k for _, k in got.values()} == {True, False} and sum(not b and not k for b, k in got.values()) > 3
+
+
+def test_packing_in_partitions_reaches_that_of_one(spark):
+    from tidegraph.llm import packing
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, least = packing.certificate(packing.pack(docs, partition=100_000))
+    packed = packing.pack(docs, partition=150).cache()
+    many, same = packing.certificate(packed)
+    assert least == same and least <= one <= many <= one + 1
+    assert packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").isEmpty()
+    assert packed.select("doc_id", "piece").distinct().count() == packed.count()

@@ -21,23 +21,31 @@ from tidegraph.llm.common import bounded_batches
 from tidegraph.llm.textblocks import mix, rows, utf8
 
 GRAM, HASHES = 5, 3
+#: n-grams that numpy works on at once, whatever the length of a text.
+BLOCK = 1 << 18
 #: Bytes that are no letters count as a space.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[:128] = [b if chr(b).isalpha() else 32 for b in range(128)]
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of lower-cased, padded texts as numbers, and where each text's begin; one more at the end."""
+def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of lower-cased, padded texts, other than letters as spaces, and where each text begins; one more at the end."""
     pad, none = pa.scalar("  ", pa.large_string()), pa.scalar("", pa.large_string())
     lower = pc.utf8_lower(pc.fill_null(column, "").cast(pa.large_string()))
     data, off = utf8(pc.binary_join_element_wise(pad, lower, pad, none))
-    data = FOLD[data]
-    n = max(0, len(data) - GRAM + 1)
-    code = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        code |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-    return code, off
+    return FOLD[data], off
+
+
+def blocks(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """n-grams as numbers, BLOCK at a time, and for each text where its own begin and end among them. Blocks share GRAM - 1 bytes, so a text of any length has each n-gram once."""
+    first, last = off[:-1], np.maximum(off[1:] - GRAM + 1, off[:-1])
+    for a in range(0, max(0, len(data) - GRAM + 1), BLOCK):
+        b = min(a + BLOCK, len(data) - GRAM + 1)
+        code = np.zeros(b - a, np.uint64)
+        for k in range(GRAM):
+            code |= data[a + k : b + k].astype(np.uint64) << np.uint64(8 * k)
+        yield code, np.clip(first, a, b) - a, np.clip(last, a, b) - a
 
 
 def cells(code: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -62,23 +70,21 @@ class Filter:
         self.fill = np.array([float((self.planes[i // 8] >> np.uint8(i % 8) & 1).mean()) for i in range(len(languages))])
         self.own = np.array([max(found[i][1].sum(), 1e-9) for i in range(len(languages))])
 
-    def scores(self, code: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """For each text and language, the corrected share of its n-grams that the language has."""
-        first, last = off[:-1], np.maximum(off[1:] - GRAM + 1, off[:-1])
-        n = np.maximum(last - first, 1)
-        out = np.zeros((len(first), len(self.languages)))
-        at = list(cells(code, self.size))
-        for p, plane in enumerate(self.planes):
-            mask = plane[at[0]]
-            for more in at[1:]:
-                mask &= plane[more]
-            for bit in range(min(8, len(self.languages) - 8 * p)):
-                i = 8 * p + bit
-                total = np.concatenate(([0], np.cumsum(mask >> np.uint8(bit) & np.uint8(1), dtype=np.int64)))
-                share = (total[last] - total[first]) / n
-                chance = self.fill[i] ** HASHES
-                out[:, i] = np.clip((share - chance) / (1 - chance), 0, 1) / self.own[i]
-        return out
+        hits = np.zeros((len(off) - 1, len(self.languages)), np.int64)
+        for code, lo, hi in blocks(data, off):
+            at = list(cells(code, self.size))
+            for p, plane in enumerate(self.planes):
+                mask = plane[at[0]]
+                for more in at[1:]:
+                    mask &= plane[more]
+                for bit in range(min(8, len(self.languages) - 8 * p)):
+                    total = np.concatenate(([0], np.cumsum(mask >> np.uint8(bit) & np.uint8(1), dtype=np.int64)))
+                    hits[:, 8 * p + bit] += total[hi] - total[lo]
+        n = np.maximum(np.diff(off) - GRAM + 1, 1)
+        chance = self.fill**HASHES
+        return np.clip((hits / n[:, None] - chance) / (1 - chance), 0, 1) / self.own
 
 
 def learn(docs: DataFrame, most: int = 400) -> Filter:
@@ -97,16 +103,16 @@ def learn(docs: DataFrame, most: int = 400) -> Filter:
     sample = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
-            code, off = grams(batch.column("text"))
-            inside = np.zeros(len(code), bool)
+        for batch in rows(batches, 2 << 20):
             names = np.array(batch.column("lang").to_pylist(), dtype=object)
-            for name in sorted(set(names)):
-                inside[:] = False
-                for i in np.flatnonzero(names == name):
-                    inside[off[i] : max(off[i], off[i + 1] - GRAM + 1)] = True
-                g, c = np.unique(code[inside], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(c)], ["lang", "gram", "n"])
+            for code, lo, hi in blocks(*folded(batch.column("text"))):
+                for name in sorted(set(names[lo < hi])):
+                    edge = np.zeros(len(code) + 1, np.int64)
+                    own = (names == name) & (lo < hi)
+                    edge[lo[own]] += 1  # texts do not overlap
+                    np.subtract.at(edge, hi[own], 1)
+                    g, c = np.unique(code[np.cumsum(edge[:-1]) > 0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(c)], ["lang", "gram", "n"])
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
@@ -123,7 +129,7 @@ def identify(docs: DataFrame, labelled: DataFrame, most: int = 400) -> DataFrame
 
     A null text or one without letters is ``und`` with score 0; ties go to the first language by name, and a text in which no language
     has an n-gram to the most frequent one, with score 0. Without labelled rows all is ``und``. score is the winner's share of all languages' scores.
-    Repeated rows and null ids stay; the whole text counts. A text is read as it is, its other columns are not.
+    Repeated rows and null ids stay; the whole text counts, BLOCK n-grams at a time, so what a long text takes is a few times its bytes. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     f = learn(labelled, most)
@@ -135,7 +141,7 @@ def identify(docs: DataFrame, labelled: DataFrame, most: int = 400) -> DataFrame
             text = batch.column("text")
             letters = np.array([bool(t and LETTER.search(t)) for t in text.to_pylist()])
             if f.languages:
-                score = f.scores(*grams(text))
+                score = f.scores(*folded(text))
                 best, total = score.argmax(axis=1), score.sum(axis=1)
                 value = np.where(total > 0, score.max(axis=1) / np.maximum(total, 1e-12), 0.0)
                 name = [("und" if not a else f.languages[b] if t > 0 else f.prior) for a, b, t in zip(letters, best, total, strict=True)]

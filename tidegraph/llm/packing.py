@@ -2,10 +2,9 @@
 
 Pieces of documents are dealt to partitions of bounded size. Each partition is packed best-fit
 decreasing and compared with the largest of several lower bounds from dual feasible functions: when the bins
-equal the bound, no packing has fewer. Partitions with a gap give up their bins that are not full; in
-each round those of several partitions meet, are packed again, and the new packing is taken
-when it has fewer bins. Rounds go on until no partition has a gap or all have met; ``certificate`` compares
-the whole result with the bound of all pieces.
+equal the bound, no packing of the partition has fewer, but partitions that are each at their bound may together be over that of all pieces. While the
+whole has such a gap, partitions give up their bins that are not full; in each round those of several partitions meet, are packed again, and the new packing is taken
+when it has fewer bins. Rounds go on until the bins equal the bound of all pieces or all have met; ``certificate`` compares the two.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import bounded_batches, stored
 from tidegraph.llm.tokens import pieces
 
-#: Pieces in a partition, about; and partitions that meet in a round.
-PARTITION, MEET = 100_000, 8
+#: Pieces in a partition, at most about and at least; and partitions that meet in a round.
+PARTITION, LEAST, MEET = 100_000, 2_000, 4
 
 
 def best_fit_decreasing(lengths: list[int], size: int) -> list[int]:
@@ -99,10 +98,10 @@ def _packer(size: int, level: int, share: int):
             made = max(bins) + 1
         else:
             made = before
-        # with a gap, the emptiest bins are given up, as many as keep a meeting as small as a partition
+        # the emptiest bins are given up, as many as keep a meeting as small as a partition
         by_bin = df.groupby("seq")["length"].agg(["sum", "size"]).sort_values("sum", kind="stable")
         freed = by_bin.index[(by_bin["sum"] < size) & (by_bin["size"].cumsum() <= share)]
-        df["open"] = df["seq"].isin(freed) & (made > bound)
+        df["open"] = df["seq"].isin(freed)
         df["bound"] = bound
         df["made"] = made
         return df
@@ -113,22 +112,32 @@ def _packer(size: int, level: int, share: int):
 COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, m long, grp long, seq long, open boolean, bound long, made long"
 
 
-def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k.json", partition: int = PARTITION) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k.json", partition: int | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and partition_bound and partition_bins,
     the certificate of the partition that packed it last.
 
-    A null text is the end id alone, an empty table gives no row, repeated rows and null ids are pieces of their own. Other columns are not read.
+    partition: pieces in a partition, about; if not given, as many as make a partition for each of the session's shuffle partitions, LEAST to PARTITION. A null text is the end id alone, an empty table gives no
+    row, repeated rows and null ids are pieces of their own, ties in length go by doc_id, piece and row. Very long texts are cut into pieces as they are encoded, slice by slice. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     cut = stored(pieces(docs, vocabulary, size).withColumn("m", F.monotonically_increasing_id()), "pieces")
-    groups, share = max(1, math.ceil(cut.count() / partition)), partition // MEET
+    lengths = [0] * (size + 1)
+    for r in cut.groupBy("length").count().collect():  # size rows at most
+        lengths[r["length"]] = r["count"]
+    many, least = sum(lengths), _bound(lengths, size) if any(lengths) else 0
+    if partition is None:
+        partition = min(PARTITION, max(LEAST, math.ceil(many / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    groups, share = max(1, math.ceil(many / partition)), partition // MEET
     start = cut.withColumns({"grp": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "m"), F.lit(groups)), "seq": F.lit(0).cast("long"), "open": F.lit(True), "bound": F.lit(0).cast("long"), "made": F.lit(0).cast("long")})
     now = stored(start.groupBy("grp").applyInPandas(_packer(size, 0, share), COLUMNS), "packed-0")
     done, level = [], 0
-    while groups > 1 and not now.where("open").isEmpty():
+    used = lambda df: df.select("seq").distinct().count()
+    closed = 0
+    while groups > 1 and closed + used(now) > least:
         # what is open meets what other partitions have open; the rest keeps its place and is not written again
         groups, level = math.ceil(groups / MEET), level + 1
         done.append(now.where("not open"))
+        closed += used(done[-1])
         again = now.where("open").withColumn("grp", F.call_function("div", F.col("grp"), F.lit(MEET).cast("long")))
         now = stored(again.groupBy("grp").applyInPandas(_packer(size, level, share), COLUMNS), f"packed-{level}")
     packed = functools.reduce(DataFrame.unionByName, done, now)

@@ -1,7 +1,7 @@
 """Line-first cleaning: rules for each line first, then for what is left of the document.
 
-A line fails if it is navigation (items between bars, arrows or bullets), boilerplate (phrases of licences, cookie
-notices, menus and sign-up forms), noise (many symbols for its words), shouting (exclamation marks or capitals
+A line fails if it is navigation (items between bars, arrows or bullets), boilerplate (an eighth of its characters at least are phrases of licences, cookie
+notices, menus and sign-up forms; a phrase in a long line of prose does no harm), noise (many symbols for its words), shouting (exclamation marks or capitals
 throughout), or, from five words on, has no final punctuation. Failed lines go; a document that loses
 more than ``most_lost`` of the characters of its lines is rejected, and so is one that fails the base rules.
 """
@@ -100,7 +100,7 @@ def bad_line(line: str) -> bool:
         return True
     if n >= 5 and not line.rstrip().endswith(TERMINAL):
         return True
-    return bool(BOILERPLATE.search(line))
+    return 8 * sum(len(m[0]) for m in BOILERPLATE.finditer(line)) >= len(line.strip())
 
 
 FIELDS = {

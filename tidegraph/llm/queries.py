@@ -17,8 +17,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record per page, written to archives, read back and merged into one index."""
-    return warc.archive_and_index(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """A record per page, written to archives, read back and merged into one index; span and place order it by URL key, time and page (one span holds 100,000 captures)."""
+    return warc.archive_and_index(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "span", "place")
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +143,10 @@ z AS (SELECT lang, source, 'term' AS part, term AS item, ({_F})::BIGINT AS value
 SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM y
 UNION ALL SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM z QUALIFY rank <= 200""",
     "op2_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
-d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
-SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+u AS (SELECT page_id, regexp_extract(trim(url), '^(https?)://([^/?#]*)([^?#]*)(\\?[^#]*)?', ['s', 'h', 'p', 'q']) AS u FROM pages),
+k AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(lower(u.h), '^www\\.', ''), '.')), ',') || ')' || CASE WHEN u.p = '' THEN '/' ELSE lower(u.p) END || CASE WHEN length(u.q) > 1 THEN '?' || array_to_string(list_sort(string_split(lower(u.q[2:]), '&')), '&') ELSE '' END AS url_key FROM u)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url_key, 0 AS span, row_number() OVER (ORDER BY url_key, page_id) - 1 AS place FROM d JOIN k USING (page_id)""",
     "op1_decontaminate": f"""WITH {_shingles("documents", "doc_id", "d", _PLAIN)}, {_shingles("benchmark", "item_id", "b", _PLAIN)},
 q AS (SELECT item_id, count(*) AS n_item_shingles FROM b GROUP BY 1),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)

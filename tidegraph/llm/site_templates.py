@@ -52,7 +52,7 @@ NAMES = frozenset(
     "sidebar widget widgets footer masthead topbar comment comments commentlist disqus respond replies share sharing social newsletter subscribe subscription signup login paywall related recommended recommendations toolbar pagination pager copyright disclaimer".split()
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^a-zA-Z][^>]*>?|!\[CDATA\[.*?\]\]>|![^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
+_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[.*?\]\]>|[!?][^>]*>?|/(?![a-zA-Z])[^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 #: Elements open at once; deeper ones count as part of their parent.
 DEEPEST = 512

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import scratch_path
+from tidegraph.llm.common import stored, scratch_path
 
 END = "\r\n\r\n"
 #: Bytes of payloads in an archive and captures in a range of the index, about.
@@ -207,21 +207,27 @@ def merge(runs: Iterable[list[tuple]], key=_order) -> Iterator[tuple]:
 
 
 def capture_index(captures: DataFrame, most: int = RANGE_ROWS) -> DataFrame:
-    """The captures and where each stands: ``span``, the number of its range, and ``place`` in it. Ordered by these, they are ordered by URL key, time and page."""
+    """The captures and where each stands: ``span``, the number of its range, and ``place`` in it. Ordered by these, they are ordered by URL key, time and page.
+
+    captures: runs, each sorted, as read_archives gives them and files keep them. They are dealt to ranges as they are; a run is what comes in order from one archive, so nothing is sorted a second time.
+    """
     n = captures.count()
     ranges = max(1, math.ceil(n / most))
-    dealt = captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "position").sortWithinPartitions("archive", "url_key", "captured", F.col("page_id").asc_nulls_first(), "position")
+    dealt = captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "position")
     names = [x.split()[0] for x in CAPTURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        runs: dict[str, list[tuple]] = {}
+        runs: dict[str, list[list[tuple]]] = {}
         schema = None
         for batch in batches:  # a range holds ``most`` captures, about
             schema = batch.schema
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[8], []).append(row)
+                own = runs.setdefault(row[8], [[]])
+                if own[-1] and _order(row) < _order(own[-1][-1]):  # what comes out of order begins a run of its own
+                    own.append([])
+                own[-1].append(row)
         if schema is None:
             return
         part, place, out = TaskContext.get().partitionId(), 0, []
@@ -230,7 +236,7 @@ def capture_index(captures: DataFrame, most: int = RANGE_ROWS) -> DataFrame:
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
             return pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(rows), pa.int32()), pa.array(range(first, first + len(rows)), pa.int64())], [*names, "span", "place"])
 
-        for row in merge(runs.values()):
+        for row in merge([r for own in runs.values() for r in own]):
             out.append(row)
             if len(out) == 10_000:
                 yield batch_of(out, place)
@@ -246,4 +252,4 @@ def archive_and_index(pages: DataFrame, smallest: int = 0, path: str | None = No
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, smallest)
-    return capture_index(read_archives(spark, path))
+    return capture_index(stored(read_archives(spark, path), "captures"))
