@@ -33,6 +33,12 @@ def test_prepare_and_predict(spark, tmp_path, capsys):
     main(["predict", folder, "-m", "emic", "--param", "threshold", "0.3", "--param", "iterations", "2"])
     result = p.load("metrics", "emic").first()
     assert result["threshold"] == 0.3 and result["recall"] > 0.9
+    main(["prune", folder, "--min-degree", "3"])
+    small = Project(spark, folder, "project-pruned")
+    assert small.load("samples").count() > 0 and small.load("sequences").where("t > max_t").isEmpty()
+    main(["predict", folder, "-p", "project-pruned", "-m", "emic", "--param", "threshold", "0.3", "--param", "iterations", "1"])
+    main(["ttest", folder, "-m", "emic", "daic", "-t", "0.2"])
+    main(["tree", folder])
     data = experiment.Data(p.load("trees"), p.load("sequences"))
     deep = experiment.scores("emic", data, p.load("samples"), p.load("samples"), [0.3], init_depth=9, iterations=1)
     assert deep.count() == 10 and deep.where("f1 is not null").count() == 0

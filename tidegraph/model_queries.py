@@ -7,13 +7,14 @@ grow on the tables that it is run on (each further round is empty).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.operators import evaluate, graphs, sequences, trees
 from tidegraph.plans import em, experiment, predict
-from tidegraph.queries import _ACT, _CASC, _K0, _TREE, R, _once, act_of, cascades_of, fitted_of, graph_of, nodes_of, query
+from tidegraph.queries import _ACT, _CASC, _K0, R, _once, act_of, cascades_of, fitted_of, graph_of, nodes_of, query
 
 # fits
 
@@ -163,11 +164,10 @@ def _ic(par: str, thresholds: tuple[float, ...] = _THR, rounds: int = _ROUNDS, b
     """Tables of a prediction with par (u, v, k, r, and the columns shared); the last is d<rounds>."""
     key = f"threshold{by}, cascade_id"
     on = "".join(f" AND f.{c} = k.{c}" for c in shared.split(", ") if c)
-    pick = f"f.threshold{''.join(f', f.{c}' for c in by.split(', ') if c)}, f.cascade_id, k.v"
     out = _start(thresholds, by, settings)
     for i in range(rounds):
-        out += f""", n{i} AS MATERIALIZED (SELECT {pick}, min({_ORDER}) AS o, arg_min(f.user_id, {_ORDER}) AS p, min(f.act_time) AS t, arg_min(f.depth, {_ORDER}) AS dd, arg_min(k.r, {_ORDER}) AS r FROM f{i} f JOIN {par} k ON k.u = f.user_id{on} AND k.k >= f.threshold ANTI JOIN (SELECT {key}, user_id AS v FROM d{i}) z USING ({key}, v) GROUP BY ALL),
-f{i + 1} AS MATERIALIZED (SELECT {key}, v AS user_id, p AS parent_id, {_received("t", "r")} AS act_time, dd + 1 AS depth FROM n{i}), d{i + 1} AS MATERIALIZED (FROM d{i} UNION ALL FROM f{i + 1})""".replace("min((epoch_us(f.act_time), f.user_id)) AS o, ", "")
+        out += f""", n{i} AS MATERIALIZED (SELECT {key}, v, arg_min(f.user_id, {_ORDER}) AS p, min(f.act_time) AS t, arg_min(f.depth, {_ORDER}) AS dd, arg_min(f.r, {_ORDER}) AS r FROM (SELECT f.*, k.v, k.r FROM f{i} f JOIN {par} k ON k.u = f.user_id{on} AND k.k >= f.threshold) f ANTI JOIN (SELECT {key}, user_id AS v FROM d{i}) z USING ({key}, v) GROUP BY ALL),
+f{i + 1} AS MATERIALIZED (SELECT {key}, v AS user_id, p AS parent_id, {_received("t", "r")} AS act_time, dd + 1 AS depth FROM n{i}), d{i + 1} AS MATERIALIZED (FROM d{i} UNION ALL FROM f{i + 1})"""
     return out
 
 
@@ -310,6 +310,78 @@ def method_diff(s: SparkSession, d: str) -> DataFrame:
     return evaluate.method_diff(a, b, nodes_of(s, d))
 
 
+
+# methods and depths side by side: three fitted models from trees down to three depths, at 0.1
+
+_METHODS, _DEPTHS = ("ctic", "daic", "emic"), (0, 1, 2)
+
+
+def _settings(s: SparkSession, d: str) -> DataFrame:
+    """method, given, threshold, cascade_id and metrics; all settings go through one prediction."""
+    n, g = nodes_of(s, d), graph_of(s, d)
+    every = [fitted_of(m)(s, d) for m in _METHODS]
+    par = reduce(DataFrame.unionByName, [p.select("u", "v", "k", (F.col("r") if "r" in p.columns else F.lit(0.0)).alias("r"), F.lit(m).alias("method")) for m, p in zip(_METHODS, every, strict=True)])
+    deepest = n.groupBy("cascade_id").agg(F.max("depth").alias("deepest"))
+    grid = F.broadcast(s.createDataFrame([(m, i) for m in _METHODS for i in _DEPTHS], "method string, given int"))  # a row for each setting
+    start = n.join(deepest, "cascade_id").crossJoin(grid).where("deepest > given and depth <= given").drop("deepest")
+    out = predict.ic(start, par, [0.1], by=("method", "given"))
+    scored = []
+    for i in _DEPTHS:
+        usable = n.join(deepest.where(F.col("deepest") > i).select("cascade_id"), "cascade_id", "left_semi")
+        scored.append(evaluate.nodes_metrics(out.where(F.col("given") == i), usable, trees.truncated(usable, i), g, by=("method", "threshold")).withColumn("given", F.lit(i)))
+    return reduce(DataFrame.unionByName, scored)
+
+
+settings_of = _once("settings", _settings)
+_SETTINGS = f"""{R}{_ACT}, {_EMIC}, {_DAIC.removeprefix(_K0 + ", ")}, {_CTIC.removeprefix(_K0 + ", ")}, par AS MATERIALIZED (SELECT 'emic' AS method, u, v, k, 0.0::DOUBLE AS r FROM em20 UNION ALL SELECT 'daic', u, v, k, 0.0::DOUBLE FROM da20 UNION ALL SELECT 'ctic', u, v, k, r FROM ct20),
+st AS (SELECT unnest(['ctic', 'daic', 'emic']) AS method, given, given AS depth_given FROM (SELECT unnest([0, 1, 2]) AS given)), {_ic('par', (0.1,), _ROUNDS, ', method, given', 'st', 'method')}, {_counts('user_id', _USERS, f'd{_ROUNDS}', 'threshold, method, given', 'cascade_id', 'method, given, ')},
+dp AS (SELECT cascade_id, max(depth) AS deepest FROM nodes GROUP BY 1), ss AS MATERIALIZED (SELECT sc.* FROM sc JOIN dp USING (cascade_id) WHERE deepest > given)"""
+
+
+@query(f"{_SETTINGS} SELECT method, given, cascade_id, {_R8} FROM ss")
+def settings_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Scores of each method from each depth; cascades no deeper are left out."""
+    return _rounded(settings_of(s, d).select("method", "given", "cascade_id", *evaluate.METRICS))
+
+
+@query(f"{_SETTINGS} SELECT given AS depth, " + ", ".join(f"round(avg(f1) FILTER (method = '{m}'), 8) AS {m}" for m in _METHODS) + " FROM ss GROUP BY 1")
+def method_report(s: SparkSession, d: str) -> DataFrame:
+    """Mean f1 by depth with a column for each method."""
+    r = evaluate.method_report(settings_of(s, d).select("method", F.col("given").alias("depth"), "cascade_id", "f1"))
+    return r.select("depth", *[F.round(m, 8).alias(m) for m in _METHODS])
+
+
+def _student(sql: str) -> str:
+    area = "(pi() / 2 - ({0})) / 2000 / 3 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END * power(abs(cos(({0}) + i * (pi() / 2 - ({0})) / 2000)), df - 1)))"
+    return f"SELECT round(t, 6) AS t, df, round({area.format('atan(abs(t) / sqrt(df))')} / (2 * ({area.format('0')})), 6) AS p FROM ({sql})"
+
+
+_T = "SELECT (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)) AS t, na + nb - 2 AS df, ma, mb FROM (SELECT count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb, avg(value) FILTER (grp = 'a') AS ma, avg(value) FILTER (grp = 'b') AS mb, var_samp(value) FILTER (grp = 'a') AS va, var_samp(value) FILTER (grp = 'b') AS vb FROM x)"
+
+
+@query(f"{_SETTINGS}, x AS (SELECT CASE WHEN method = 'ctic' THEN 'a' ELSE 'b' END AS grp, f1 AS value FROM ss WHERE given = 1 AND method IN ('ctic', 'emic')) " + _student(_T))
+def method_t_test(s: SparkSession, d: str) -> DataFrame:
+    """Student's t and p of two methods' f1 from the first two levels."""
+    x = settings_of(s, d).where("given = 1 and method in ('ctic', 'emic')").select(F.when(F.col("method") == "ctic", "a").otherwise("b").alias("grp"), F.col("f1").alias("value"))
+    return evaluate.t_test(x).select(F.round("t", 6).alias("t"), "df", F.round("p", 6).alias("p"))
+
+
+@query()
+def tuned_threshold(s: SparkSession, d: str) -> DataFrame:
+    """Mean scores of each threshold over three folds, all fitted and predicted in one loop each."""
+    n = nodes_of(s, d)
+    _, means = experiment.tune("emic", experiment.Data(n, act_of(s, d)), n.select("cascade_id").distinct(), list(_GRID), init_depth=1)
+    return _rounded(means)
+
+
+@query()
+def random_search(s: SparkSession, d: str) -> DataFrame:
+    """The best of ten draws of threshold and penalty over two folds, all draws side by side."""
+    n = nodes_of(s, d)
+    best, f1 = experiment.search("daic", experiment.Data(n, act_of(s, d)), n.select("cascade_id").distinct(), {"threshold": (0.02, 0.3), "penalty": (1.0, 20.0)}, iterations=10, folds=2, init_depth=1)
+    return s.createDataFrame([(best["threshold"], best["penalty"], f1)], "threshold double, penalty double, f1 double")
+
+
 @query(f"{R}{_CASC}, x AS (SELECT CASE WHEN cascade_id LIKE 'click-%' THEN 'a' ELSE 'b' END AS grp, size AS value FROM casc WHERE cascade_id LIKE 'click-%' OR cascade_id LIKE 'view-%'), q AS (SELECT count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb, avg(value) FILTER (grp = 'a') AS ma, avg(value) FILTER (grp = 'b') AS mb, var_samp(value) FILTER (grp = 'a') AS va, var_samp(value) FILTER (grp = 'b') AS vb FROM x) SELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 8) AS t, na + nb - 2 AS df, round(ma, 8) AS mean_a, round(mb, 8) AS mean_b FROM q")
 def t_statistic(s: SparkSession, d: str) -> DataFrame:
     """Student's t of two groups."""

@@ -55,3 +55,10 @@ def trials(act: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFr
     pos = active_parents(act, edges, by).groupBy(*by, "u", "v").agg(F.count(F.lit(1)).alias("n_pos"))
     neg = exposed(act, edges, by).groupBy(*by, "u", "v").agg(F.count(F.lit(1)).alias("n_neg"))
     return pos.join(neg, [*by, "u", "v"], "full").fillna(0, ["n_pos", "n_neg"])
+
+
+def pruned(act: DataFrame, drop: DataFrame, nodes: DataFrame) -> DataFrame:
+    """act without the users of drop (user_id), of the cascades that pruned trees (nodes) still have; max_t is the last time that is left."""
+    kept = act.join(drop.select("user_id").distinct(), "user_id", "left_anti").join(nodes.select("cascade_id").distinct(), "cascade_id", "left_semi")
+    last = kept.groupBy("cascade_id").agg(F.max("t").alias("max_t"))
+    return kept.drop("max_t").join(last, "cascade_id").select("cascade_id", "user_id", "t", "max_t")

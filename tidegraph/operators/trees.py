@@ -85,6 +85,11 @@ def to_reshares(nodes: DataFrame) -> DataFrame:
     return child.join(parent, ["cascade_id", "ref_user_id"]).select(post("user_id").alias("post_id"), post("ref_user_id").alias("reshared_post_id"), "cascade_id", "user_id", "ref_user_id", "datetime", "ref_datetime")
 
 
+def with_edges(nodes: DataFrame) -> DataFrame:
+    """nodes of the cascades that have an edge."""
+    return nodes.join(nodes.where("parent_id is not null").select("cascade_id").distinct(), "cascade_id", "left_semi")
+
+
 def pruned(nodes: DataFrame, drop: DataFrame) -> DataFrame:
     """nodes without the users of drop (user_id) and all that hangs below them."""
     marked = nodes.join(drop.select("user_id", F.lit(True).alias("__gone")).distinct(), "user_id", "left")

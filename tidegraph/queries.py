@@ -284,6 +284,18 @@ def graph_neighbours(s: SparkSession, d: str) -> DataFrame:
     return n.select("user_id", F.when(F.col("predecessors").isNotNull(), F.size("predecessors")).cast("long").alias("n_pred"), F.when(F.col("successors").isNotNull(), F.size("successors")).cast("long").alias("n_succ"))
 
 
+_KEPT = f"{_LOW.replace(_TREE, _ACT)}, kept AS (SELECT {_N} FROM nodes WHERE parent_id IS NULL AND user_id NOT IN (FROM low) UNION ALL SELECT n.cascade_id, n.user_id, n.parent_id, n.act_time, n.depth FROM nodes n JOIN kept k ON k.cascade_id = n.cascade_id AND k.user_id = n.parent_id WHERE n.user_id NOT IN (FROM low)), ke AS (SELECT DISTINCT cascade_id FROM kept WHERE parent_id IS NOT NULL)"
+
+
+@query(f"{R}{_KEPT} SELECT cascade_id, user_id, round(t, 9) AS t, round(max(t) OVER (PARTITION BY cascade_id), 9) AS max_t FROM act WHERE user_id NOT IN (FROM low) AND cascade_id IN (FROM ke)")
+def prune_sequences(s: SparkSession, d: str) -> DataFrame:
+    """Sequences without users of low degree, of cascades whose trees keep an edge."""
+    nodes = nodes_of(s, d)
+    low = graphs.low_degree(nodes, 40)
+    out = sequences.pruned(act_of(s, d), low, trees.with_edges(trees.pruned(nodes, low)))
+    return out.select("cascade_id", "user_id", F.round("t", 9).alias("t"), F.round("max_t", 9).alias("max_t"))
+
+
 # samples
 
 
