@@ -107,5 +107,5 @@ def test_rows_with_null_and_shared_ids_go_by_their_own_text(spark, corpus):
 
 
 def test_names():
-    assert [q.split("_")[0] for q in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLE_SQL) <= set(QUERIES)
