@@ -182,21 +182,25 @@ def mail_reshares(s: SparkSession, d: str) -> DataFrame:
     return readers.thread_reshares(mail)
 
 
-@query()
-def mail_threads(s: SparkSession, d: str) -> DataFrame:
-    """Mails of conversations in threads, the first that matches (J20, F10): a turn is a mail between two people with the first words of its conversation as subject, some with a mark or one word more."""
+def _mails(s: SparkSession, d: str) -> DataFrame:
+    """A mail for each turn of a conversation, between two people, with the first words of the conversation as subject, some with a mark or one word more."""
     t = adapter.table(s, d, "conversations").where("conv_id is not null and turn is not null")
     topic = t.groupBy("conv_id").agg(F.array_join(F.slice(C.words(F.min_by("text", "turn")), 1, 4), " ").alias("topic"))
     person = lambda x: F.concat(F.lit("p"), F.pmod(F.xxhash64("conv_id", x), F.lit(40)).cast("string"))
     even = F.col("turn") % 2 == 0
-    mail = t.join(topic, "conv_id").select(
+    return t.join(topic, "conv_id").select(
         (F.col("conv_id") * 10_000 + F.col("turn")).alias("mail_id"),
         (F.col("conv_id") * 10_000 + F.col("turn")).alias("place"),
         F.when(even, person(F.lit(0))).otherwise(person(F.lit(1))).alias("sender"),
         F.array(F.when(even, person(F.lit(1))).otherwise(person(F.col("turn")))).alias("to"),
         F.concat_ws(" ", F.when(F.col("turn") > 0, F.lit("re")), "topic", F.when(F.col("turn") % 3 == 2, F.lit("more"))).alias("subject"),
     )
-    return readers.threads(mail).select("mail_id", "thread")
+
+
+@query()
+def mail_threads(s: SparkSession, d: str) -> DataFrame:
+    """Mails in threads, the first that matches."""
+    return readers.threads(_mails(s, d)).select("mail_id", "thread")
 
 
 # store
