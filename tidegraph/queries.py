@@ -20,7 +20,7 @@ from tidegraph.sources import adapter
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-_made: dict[tuple[str, str, str], DataFrame] = {}
+_made: dict[tuple[str, str, str, int], DataFrame] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -33,9 +33,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _written_at(spark: SparkSession, sf_dir: str) -> int:
+    """When the table events was last written, 0 if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getFileStatus(path).getModificationTime() if files.exists(path) else 0
+
+
 def _once(name: str, make: Query) -> Query:
+    """make's table, made once for a session and a folder, and again when the folder's events are written anew."""
+
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, name)
+        key = (spark.sparkContext.applicationId, sf_dir, name, _written_at(spark, sf_dir))
         if key not in _made:
             _made[key] = settled(make(spark, sf_dir))
         return _made[key]
