@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,31 +134,3 @@ def kmeans(vectors: DataFrame, k: int = 20, seed: int = 0, iterations: int = 20)
     data = vectors.select("id", array_to_vector(F.col("features").cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=iterations).fit(data)
     return model.transform(data).select("id", F.col("prediction").alias("label"))
-
-
-def paris(pairs: pd.DataFrame, ids: list, k: int) -> dict:
-    """label of each id: agglomeration by the distance w_a w_b / w_ab of a small graph, cut at k clusters. For reports on few clusters, on the driver."""
-    at = {c: i for i, c in enumerate(ids)}
-    n = len(ids)
-    w = np.zeros((n, n))
-    for i, j, s in pairs[["i", "j", "sim"]].itertuples(index=False):
-        w[at[i], at[j]] = w[at[j], at[i]] = s
-    total = w.sum() or 1.0
-    p = w / total
-    weight = p.sum(axis=1)
-    members = {i: [i] for i in range(n)}
-    while len(members) > k:
-        alive = sorted(members)
-        sub = p[np.ix_(alive, alive)].copy()
-        np.fill_diagonal(sub, 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            closeness = np.where(sub > 0, sub / np.outer(weight[alive], weight[alive]), 0)
-        a, b = np.unravel_index(int(closeness.argmax()), closeness.shape)
-        if closeness[a, b] == 0:
-            a, b = 0, 1
-        a, b = alive[min(a, b)], alive[max(a, b)]
-        members[a] += members.pop(b)
-        p[a] += p[b]
-        p[:, a] += p[:, b]
-        weight[a] += weight[b]
-    return {ids[i]: label for label, m in enumerate(members.values()) for i in m}

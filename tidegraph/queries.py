@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions import scalar as C
-from tidegraph.operators import cascades, clusters, features, graphs, sampling, sequences, trees
+from tidegraph.operators import cascades, clusters, dendrogram, features, graphs, sampling, sequences, trees
 from tidegraph.plans import em, experiment, mln, mrf
 from tidegraph.plans.loops import settled
 from tidegraph.sources import adapter
@@ -440,6 +440,21 @@ def similar_groups(s: SparkSession, d: str) -> DataFrame:
     return clusters.connected(pairs_of(s, d), cascades_of(s, d).select("cascade_id"), 0.5)
 
 
+merges_of = _once("merges", lambda s, d: dendrogram.merges(pairs_of(s, d)))
+
+
+@query()
+def paris_dendrogram(s: SparkSession, d: str) -> DataFrame:
+    """Merges of cascades by distance."""
+    return merges_of(s, d).withColumn("distance", F.round("distance", 9))
+
+
+@query()
+def paris_clusters(s: SparkSession, d: str) -> DataFrame:
+    """The dendrogram cut at twenty clusters."""
+    return dendrogram.cut(merges_of(s, d), cascades_of(s, d), 20)
+
+
 @query()
 def kmeans(s: SparkSession, d: str) -> DataFrame:
     """KMeans of vectors."""
