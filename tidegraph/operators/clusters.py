@@ -116,16 +116,6 @@ def heat_map(pairs: DataFrame, ids: DataFrame, cells: int = 1000) -> DataFrame:
     return pairs.join(x, "i").join(y, "j").groupBy((F.col("p_i") / step).cast("int").alias("row"), (F.col("p_j") / step).cast("int").alias("col")).agg(F.sum("sim").alias("sim"))
 
 
-def spectral(pairs: DataFrame, ids: DataFrame, k: int, iterations: int = 20) -> DataFrame:
-    """cascade_id, label by power iteration on the affinity."""
-    from pyspark.ml.clustering import PowerIterationClustering
-    place = numbered(ids.select("cascade_id"), "p", "cascade_id")
-    x, y = place.selectExpr("cascade_id i", "p src"), place.selectExpr("cascade_id j", "p dst")
-    affinity = pairs.join(x, "i").join(y, "j").select("src", "dst", "sim")
-    labels = PowerIterationClustering(k=k, maxIter=iterations, weightCol="sim", initMode="degree").assignClusters(affinity)
-    return place.join(labels, place["p"] == labels["id"]).select("cascade_id", F.col("cluster").alias("label"))
-
-
 def kmeans(vectors: DataFrame, k: int = 20, seed: int = 0, iterations: int = 20) -> DataFrame:
     """id, label for rows (id, features array)."""
     from pyspark.ml.clustering import KMeans

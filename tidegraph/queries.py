@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions import scalar as C
-from tidegraph.operators import cascades, clusters, dendrogram, features, graphs, sampling, sequences, trees
+from tidegraph.operators import cascades, clusters, dendrogram, features, graphs, sampling, sequences, spectrum, trees
 from tidegraph.plans import em, experiment, mln, mrf
 from tidegraph.plans.loops import settled
 from tidegraph.sources import adapter
@@ -455,6 +455,12 @@ def paris_clusters(s: SparkSession, d: str) -> DataFrame:
     return dendrogram.cut(merges_of(s, d), cascades_of(s, d), 20)
 
 
+@query()
+def spectral_clusters(s: SparkSession, d: str) -> DataFrame:
+    """Spectral clusters of cascades."""
+    return spectrum.clusters(pairs_of(s, d), cascades_of(s, d), 5)
+
+
 @query()
 def kmeans(s: SparkSession, d: str) -> DataFrame:
     """KMeans of vectors."""
