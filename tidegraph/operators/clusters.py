@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators.sampling import numbered
-from tidegraph.plans.loops import settled
+from tidegraph.operators.sampling import numbered, shuffled
+from tidegraph.plans.loops import settled, written
 
 
 def jaccard_pairs(act: DataFrame) -> DataFrame:
@@ -124,3 +124,33 @@ def kmeans(vectors: DataFrame, k: int = 20, seed: int = 0, iterations: int = 20)
     data = vectors.select("id", array_to_vector(F.col("features").cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=iterations).fit(data)
     return model.transform(data).select("id", F.col("prediction").alias("label"))
+
+
+def user_means(act: DataFrame, k: int = 20, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """cascade_id, label (0 ..), distance: k-means of the rows of the cascade-user matrix, which is 1 where a user took part and is never made.
+
+    The first means are k cascades in the order of shuffled(seed). A mean is kept as its cascades' count n and its users' counts s, whole numbers, so that the squared
+    distance of a cascade with m users is m + (sum of s^2 - 2 n (sum of s over its users)) / n^2. A round is one join on users, in which a user has a row for each mean
+    it counts in; the nearest of the means that share no user with a cascade is never nearer than the mean of least length, which stands in for all of them. Equal
+    distances: the smaller label. A mean without cascades goes. Rounds end when no label changes, or after ``rounds``. Rows with a null are left out, repeated ones count once.
+    """
+    x = written(act.select("cascade_id", "user_id").where("cascade_id is not null and user_id is not null").distinct(), "matrix")
+    sizes = x.groupBy("cascade_id").agg(F.count(F.lit(1)).alias("m"))
+    now = written(shuffled(x, seed).where(F.col("place") <= k).select("cascade_id", (F.col("place") - 1).cast("int").alias("label"), F.lit(0.0).alias("distance")), "labels")
+    for _ in range(rounds + 1):  # the first assigns to single cascades
+        counts = written(x.join(now, "cascade_id").groupBy("label", "user_id").agg(F.count(F.lit(1)).alias("s")), "means")
+        means = now.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(counts.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("q")), "label")
+        means = written(means, "means")  # k rows
+        length = F.col("q").cast("double") / (F.col("n") * F.col("n")).cast("double")
+        least = means.agg(F.min(F.struct(length.alias("part"), "label")).alias("best"))
+        shared = x.join(counts, "user_id").groupBy("cascade_id", "label").agg(F.sum("s").alias("dot"))
+        part = (F.col("q") - 2 * F.col("dot") * F.col("n")).cast("double") / (F.col("n") * F.col("n")).cast("double")
+        near = shared.join(F.broadcast(means), "label").groupBy("cascade_id").agg(F.min(F.struct(part.alias("part"), "label")).alias("near"))
+        best = sizes.join(near, "cascade_id", "left").crossJoin(F.broadcast(least)).withColumn("to", F.least("near", "best"))  # least: one row
+        before = now.select("cascade_id", F.col("label").alias("was"))
+        moved = best.join(before, "cascade_id", "left").select("cascade_id", F.col("to.label").alias("label"), (F.col("m") + F.col("to.part")).alias("distance"), F.coalesce(F.col("was") != F.col("to.label"), F.lit(True)).alias("moved"))
+        moved = written(moved, "labels")
+        now = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    return now

@@ -468,6 +468,24 @@ def kmeans(s: SparkSession, d: str) -> DataFrame:
     return clusters.kmeans(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")))
 
 
+def _user_means_sql(k: int, rounds: int) -> str:
+    steps = [f"l0 AS MATERIALIZED (SELECT cascade_id, row_number() OVER (ORDER BY md5(cascade_id || '0'), cascade_id) - 1 AS label, 0.0 AS distance FROM sz QUALIFY row_number() OVER (ORDER BY md5(cascade_id || '0'), cascade_id) <= {k})"]
+    for r in range(rounds + 1):
+        steps += [
+            f"s{r} AS MATERIALIZED (SELECT label, user_id, count(*) AS s FROM act JOIN l{r} USING (cascade_id) GROUP BY 1, 2)",
+            f"c{r} AS MATERIALIZED (SELECT label, n, q FROM (SELECT label, count(*) AS n FROM l{r} GROUP BY 1) JOIN (SELECT label, sum(s * s) AS q FROM s{r} GROUP BY 1) USING (label))",
+            f"d{r} AS MATERIALIZED (SELECT sz.cascade_id, c{r}.label, sz.n AS m, CAST(q - 2 * coalesce(dot, 0) * c{r}.n AS DOUBLE) / CAST(c{r}.n * c{r}.n AS DOUBLE) AS part FROM sz CROSS JOIN c{r} LEFT JOIN (SELECT cascade_id, label, sum(s) AS dot FROM act JOIN s{r} USING (user_id) GROUP BY 1, 2) x ON x.cascade_id = sz.cascade_id AND x.label = c{r}.label)",
+            f"l{r + 1} AS MATERIALIZED (SELECT cascade_id, label, m + part AS distance FROM d{r} QUALIFY row_number() OVER (PARTITION BY cascade_id ORDER BY part, label) = 1)",
+        ]
+    return f"{R}{_PAIRS.replace(', act AS (', ', act AS MATERIALIZED (').replace(chr(10) + 'act AS (', chr(10) + 'act AS MATERIALIZED (')}, {', '.join(steps)} SELECT cascade_id, CAST(label AS INTEGER) AS label, round(distance, 6) AS distance FROM l{rounds + 1}"
+
+
+@query(_user_means_sql(20, 20))
+def kmeans_users(s: SparkSession, d: str) -> DataFrame:
+    """Means of the cascade-user matrix."""
+    return clusters.user_means(act_of(s, d)).withColumn("distance", F.round("distance", 6))
+
+
 # evidence, features and sequence models
 
 _EV = f"""{_ACT}, ix AS (SELECT dst AS v, src AS u, row_number() OVER (PARTITION BY dst ORDER BY src) AS pos, count(*) OVER (PARTITION BY dst) AS d FROM g),
