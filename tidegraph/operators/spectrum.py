@@ -68,7 +68,7 @@ def eigenvectors(links: DataFrame, ids: DataFrame, k: int, spare: int = 4, round
 
     A conjugate-gradient method on blocks: in each round the best k + spare vectors are taken from the span of the last ones, their residuals and the last steps. A round is
     one join of the residuals with the links and sums of products, 3 (k + spare) squared; these alone come to the driver. It ends when no residual of the first k is
-    over ``least``. The first vectors are hashes of the ids. With fewer ids than k the missing vectors have zeros.
+    over ``least``, or after ``rounds`` with the best vectors so far. The first vectors are hashes of the ids. With fewer ids than k the missing vectors have zeros.
     """
     ids = ids.select("cascade_id").where("cascade_id is not null").distinct()
     width = k + spare
