@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.operators import graphs
-from tidegraph.plans import em
+from tidegraph.plans import em, mln
 from tidegraph.plans.loops import settled
 
 
@@ -33,3 +33,12 @@ def test_rounds_are_no_joins(spark, data, monkeypatch, method):
     assert tables.count("round") == 3 and got.keys() == want.keys()
     for k in got:
         assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12)
+
+
+def test_each_file_of_weights_has_its_own_end(spark, tmp_path):
+    line = lambda u: f'0.5 !isActivated("N{u}",v0) v activates("N{u}","N9",v0)'
+    (tmp_path / "a.txt").write_text("\n".join([line(1), "// end", line(7)]))
+    (tmp_path / "b.txt").write_text("\n".join([line(2), line(3), line(4), "// end", line(8)]))
+    (tmp_path / "c.txt").write_text("\n".join(["// end", line(6)]))
+    (tmp_path / "d.txt").write_text(line(5))
+    assert {r["u"] for r in mln.weights(spark, str(tmp_path), "// end").collect()} == {1, 2, 3, 4, 5}

@@ -34,11 +34,12 @@ def evidence(nodes: DataFrame, dialect: str = "tuffy") -> DataFrame:
 
 
 def weights(spark: SparkSession, path: str, end: str = "") -> DataFrame:
-    """u, v, weight from a result text, up to the first line that starts with ``end``. A result is one program's output: small, and read in order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ln", "line"))
+    """u, v, weight from a result text, or a folder of them, each up to its first line that starts with ``end``. A file is one program's output: small, and read in order."""
+    lines = F.split("value", "\n")
     if end:
-        stop = lines.where(F.col("line").startswith(end)).agg(F.min("ln").alias("stop"))
-        lines = lines.crossJoin(F.broadcast(stop)).where("stop is null or ln < stop")  # stop: one row
+        stop = F.array_position(F.transform(lines, lambda x: F.startswith(x, F.lit(end))), F.lit(True))
+        lines = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
+    lines = spark.read.text(path, wholetext=True).select(F.explode(lines).alias("line"))
     pattern = r'^\s*(-?[\d.]+(?:[eE][-+]?\d+)?)\s+!isActivated.*activates\("N(\d+)",\s*"N(\d+)"'
     hit = lines.where(F.col("line").rlike(pattern))
     part = lambda i, kind: F.regexp_extract("line", pattern, i).cast(kind)
