@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.operators import graphs
-from tidegraph.plans import em, mln
+from tidegraph.operators import features, graphs
+from tidegraph.plans import em, mln, seqlabel
 from tidegraph.plans.loops import settled
 
 
@@ -42,3 +42,10 @@ def test_each_file_of_weights_has_its_own_end(spark, tmp_path):
     (tmp_path / "c.txt").write_text("\n".join(["// end", line(6)]))
     (tmp_path / "d.txt").write_text(line(5))
     assert {r["u"] for r in mln.weights(spark, str(tmp_path), "// end").collect()} == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("fit", [seqlabel.fit_memm, seqlabel.fit_crf])
+def test_models_of_receivers_keep_all_cores_at_work(spark, data, fit):
+    nodes, _, graph = data
+    models = fit(features.bin_features(features.evidence(nodes, graph)))
+    assert models.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism  # small partitions are not merged
