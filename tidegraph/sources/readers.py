@@ -36,15 +36,19 @@ def raw_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFr
     return lines.select("file", "block", "at", F.regexp_replace(value, "\r$", "").alias("line"))
 
 
-def _ahead(ends: DataFrame, how: Callable[[Column], Column], columns: list[str]) -> DataFrame:
-    """For each split, the columns combined over the splits before it in its file. ends: a row for each split."""
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return ends.select("file", "block", *[how(F.col(c)).over(w).alias(c) for c in columns])
+#: Lines of a piece of a split, as a power of two: the most that a running value goes through in one order.
+PIECE = 18
 
 
-def _of_split(lines: DataFrame, ahead: DataFrame) -> DataFrame:
+def _ahead(ends: DataFrame, how: Callable[[Column], Column], columns: list[str], *part: str) -> DataFrame:
+    """For each split (or part of one), the columns combined over those before it in its file. ends: a row for each."""
+    w = Window.partitionBy("file").orderBy("block", *part).rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select("file", "block", *part, *[how(F.col(c)).over(w).alias(c) for c in columns])
+
+
+def _of_split(lines: DataFrame, ahead: DataFrame, *part: str) -> DataFrame:
     """lines with what comes from the splits before; a line whose split is unknown (the files were dealt out anew between two reads) is an error, not lost."""
-    found = lines.join(ahead.withColumn("__known", F.lit(True)), ["file", "block"], "left")
+    found = lines.join(F.broadcast(ahead.withColumn("__known", F.lit(True))), ["file", "block", *part], "left")  # a row for each split or piece: lines stay where they are
     return found.where(F.when(F.col("__known"), True).otherwise(F.raise_error(F.lit("splits changed while the files were read")).cast("boolean"))).drop("__known")
 
 
@@ -60,13 +64,13 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> D
 def running(lines: DataFrame, how: Callable[[Column], Column], **columns: Column) -> DataFrame:
     """lines (file, block, at and others) with running values: how (F.sum or F.max) of a column over the lines of a file down to each line.
 
-    A segmented scan: each split on its own, and what the splits before it end with.
+    A segmented scan: each piece of a split on its own, and what the pieces before it end with.
     """
-    given = lines.withColumns({f"__{c}": x for c, x in columns.items()})
-    ends = given.groupBy("file", "block").agg(*[how(F.col(f"__{c}")).alias(f"__ahead_{c}") for c in columns])
-    w = Window.partitionBy("file", "block").orderBy("at")
+    given = lines.withColumns({f"__{c}": x for c, x in columns.items()}).withColumn("__piece", F.shiftright("at", PIECE))
+    ends = given.groupBy("file", "block", "__piece").agg(*[how(F.col(f"__{c}")).alias(f"__ahead_{c}") for c in columns])
+    w = Window.partitionBy("file", "block", "__piece").orderBy("at")
     local = given.withColumns({f"__{c}": how(F.col(f"__{c}")).over(w) for c in columns})
-    out = _of_split(local, _ahead(ends, how, [f"__ahead_{c}" for c in columns]))
+    out = _of_split(local, _ahead(ends, how, [f"__ahead_{c}" for c in columns], "__piece"), "__piece")
     both = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if how is F.sum else F.greatest
     return out.select(*lines.columns, *[both(F.col(f"__{c}"), F.col(f"__ahead_{c}")).alias(c) for c in columns])
 
@@ -166,7 +170,8 @@ def tweets(spark: SparkSession, path: str) -> DataFrame:
         )
     )
     parts = numbered_lines(spark, path, "iso-8859-1").select("file", line.alias("value"), F.explode(can).alias("c"))
-    rec = parts.groupBy("file", "c.rec").agg(*[F.max(F.when(F.col("c.role") == r, F.col("value"))).alias(r) for r in ("username", "tweet_id", "date", "reply")])
+    parts = parts.select("file", "c.rec", "c.role", "value").repartition("file", "rec")  # before the sums, which sort: a task then has a share of all records, not a split's
+    rec = parts.groupBy("file", "rec").agg(*[F.max(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in ("username", "tweet_id", "date", "reply")])
     day = F.regexp_replace("date", r"^\w+ (\w+ \d+ [\d:]+) \+0000 (\d+)$", "$1 $2")
     reply = F.split("reply", r"\s+")
     found = rec.where("username <> '' and tweet_id is not null and date is not null")
